@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import exact, mixing, packing, quality, simhash, urls
+from . import exact, html, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document: place, redacted text and the forest's probability."""
+    found = secrets.scan(_table(spark, sf_dir, "documents")).where("is_secret")
+    return found.select("doc_id", "start", "length", "redacted", F.sha2(F.col("token").cast("binary"), 256).alias("token_sha256"), F.round("probability", 6).alias("probability"))
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses to passages of 200 bytes that repeat."""
+    found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, in training order."""
     x = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -38,6 +55,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("_row.doc_id", toxicity.held_out(F.col("_row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document, and which one stays."""
     return exact.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -49,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op6_mixing, op7_urls, op9_exact, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_suffix, op5_html, op6_mixing, op7_urls, op8_toxicity, op9_exact, op10_quality)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
