@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,17 @@ class Tokens:
     def __init__(self, name: str = "byte_bpe_50k") -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.file = public_tokenizers.path(f"{name}.json")
+
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
 
     def ids(self, text: str) -> list[int]:
         if SPECIAL in text:
@@ -66,6 +72,12 @@ class Tokens:
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(maxsize=2)
+def tokens(name: str) -> Tokens:
+    """One for all tasks of a worker."""
+    return Tokens(name)
+
+
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n tokens, the remainder first."""
     first = n % length or min(n, length)
@@ -77,11 +89,11 @@ def _tokenise(name: str, length: int, with_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", *["ids"] * with_ids]
 
     def kernel(batches):
-        tokens, task, seen = Tokens(name), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        known, task, seen = tokens(name), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*tokens.ids(text.as_py() or ""), END], "<u4")
+                ids = np.array([*known.ids(text.as_py() or ""), END], "<u4")
                 for k, (start, size) in enumerate(cut(len(ids), length)):
                     own = ids[start : start + size]
                     rows.append((doc, k, start, size, zlib.crc32(own), task, int(seen[size]), *[own.astype(np.int32)] * with_ids))
