@@ -10,8 +10,9 @@ The corpus is cut into shards so that equal strings always meet, and suffix arra
    that stand twice or more repeat as a whole too, and one region of each kind goes on.
 3. Shards. The regions that go on meet by gram. Their suffix array and permuted common prefixes (up to LENGTH,
    compared byte by byte) give the starts whose strings are equal. A gram with more than CROWD different regions (a common
-   passage amid ever new text) would make a hot shard: its strings are counted one by one instead, by 128-bit hashes
-   and with a map-side combine.
+   passage amid ever new text) would make a hot shard. Its regions are cut into parts of STEP starts at a fixed distance from the
+   anchor, which meet by the bytes that all strings of such a part share; where parts differ, their strings are counted one by one, by
+   128-bit hashes. Both counts combine on the map side.
 4. Removal. Intervals are gathered by document and applied to its bytes.
 
 Strings are judged on the input, matches never cross documents, and overlaps of a string with itself count.
@@ -39,7 +40,9 @@ from . import common as c
 from .sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 100
-CROWD = 256
+CROWD = 1024
+#: Starts in a part of a crowded region: about the square root of the starts of an anchor.
+STEP = 10
 #: Bytes of regions that one suffix array takes; a shard ends with a gram.
 SHARD = 1 << 20
 _AT = 24  # bits of a place in a block
@@ -48,6 +51,16 @@ _SECOND = c.mix(np.arange(301, 557, dtype=np.uint64) * np.uint64(0xD1342543DE82E
 MARK = "struct<k:bigint,c:int,s:int,n:int,hot:boolean>"
 
 
+def _order(prefix: np.ndarray) -> np.ndarray:
+    """By place: a hash of the gram there, then the place."""
+    low = prefix[GRAM:] - prefix[:-GRAM]
+    low *= c.powers(len(prefix))[1][: len(low)]
+    low *= np.uint64(0xBF58476D1CE4E5B9)
+    low &= np.uint64(~((1 << _AT) - 1) & (1 << 64) - 1)
+    low |= np.arange(len(low), dtype=np.uint64)
+    return low
+
+
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Document, first start, starts, gram hash and region hash of each piece."""
     n, span = len(data), LENGTH - GRAM + 1
@@ -61,12 +74,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     counts = np.maximum(np.diff(offs) - LENGTH + 1, 0)
     if not counts.sum():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    prefix, back = c.prefix_hash(data), c.powers(n + 1)[1]
-    low = prefix[GRAM:] - prefix[:-GRAM]
-    low *= back[: len(low)]
-    low *= np.uint64(0xBF58476D1CE4E5B9)
-    low &= np.uint64(~((1 << _AT) - 1) & (1 << 64) - 1)
-    low |= np.arange(len(low), dtype=np.uint64)
+    prefix = c.prefix_hash(data)
+    low = _order(prefix)
     width = 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -84,6 +93,12 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[at], s - offs[doc[at]], many, c.hash_between(prefix, a, a + GRAM), c.hash_between(prefix, s, s + many - 1 + LENGTH)
 
 
+def anchor_of(region: np.ndarray) -> int:
+    """Place of the anchor in a piece's region: the smallest gram, the first of equal ones."""
+    prefix = c.prefix_hash(region)
+    return int(_order(prefix).argmin())
+
+
 def _pieces(batches):
     for batch in batches:
         doc_id, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -93,10 +108,10 @@ def _pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "key", "k", "r", "s", "n"])
 
 
-def _second_hash(data: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Another hash of data[s:s+LENGTH], independent of the first."""
+def _second_hash(data: np.ndarray, s: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Another hash of data[s:s+length], independent of the first."""
     out = np.zeros(len(s), np.uint64)
-    for j in range(LENGTH):
+    for j in range(length):
         out = (out ^ _SECOND[data[s + j]]) * np.uint64(0x100000001B3)
         out ^= out >> np.uint64(31)
     return out
@@ -125,7 +140,7 @@ _WAITING = _struct(
     text=T.StringType(),
     sure=_SPANS,
     regions=T.ArrayType(_struct(k=_LONG, c=_INT, s=_INT, n=_INT, bytes=T.BinaryType())),
-    windows=T.ArrayType(_struct(h=_LONG, g=_LONG, c=_INT, s=_INT)),
+    parts=T.ArrayType(_struct(h=_LONG, g=_LONG, r=_LONG, c=_INT, s=_INT, n=_INT, strings=T.ArrayType(_struct(h=_LONG, g=_LONG, s=_INT)))),
 )
 
 
@@ -144,6 +159,26 @@ def _columns(rows: list[dict], schema: T.StructType) -> list[pa.Array]:
     return [pa.array([r.get(f.name) for r in rows], _arrow_type(f.dataType)) for f in schema]
 
 
+def _parts(text: np.ndarray, marks: list[dict]) -> list[dict]:
+    """The parts of crowded regions: the hashes of what their strings share (h, g) and of their region (r), and their strings."""
+    if not marks:
+        return []
+    prefix, out = c.prefix_hash(text), []
+    for m in marks:
+        anchor = m["s"] + anchor_of(text[m["s"] : m["s"] + m["n"] - 1 + LENGTH])
+        s = np.arange(m["s"], m["s"] + m["n"])
+        h, g = c.hash_between(prefix, s, s + LENGTH).view(np.int64).tolist(), _second_hash(text, s).view(np.int64).tolist()
+        for lot in np.split(s, np.flatnonzero(np.diff((anchor - s) // STEP)) + 1):
+            # Bytes in all strings that start at this part's distances from the anchor, whichever of them this region has.
+            far = int((anchor - lot[0]) // STEP) * STEP
+            a, b = np.array([anchor - far]), np.array([anchor - far - STEP + 1 + LENGTH])
+            own = slice(int(lot[0] - s[0]), int(lot[-1] - s[0]) + 1)
+            strings = [{"h": x, "g": y, "s": z} for x, y, z in zip(h[own], g[own], lot.tolist(), strict=True)]
+            region = c.hash_between(prefix, lot[:1], lot[-1:] + LENGTH)
+            out.append({"h": int(c.hash_between(prefix, a, b).view(np.int64)[0]), "g": int(_second_hash(text, a, LENGTH - STEP + 1).view(np.int64)[0]) ^ far, "r": int(region.view(np.int64)[0]), "c": m["c"], "s": int(lot[0]), "n": len(lot), "strings": strings})
+    return out
+
+
 def _apply(batches):
     """Documents without regions to shard are done; the others wait, with their regions."""
     for batch in batches:
@@ -158,18 +193,9 @@ def _apply(batches):
                 if not asked:
                     rows.append(_result(text, sure) | {"done": True})
                     continue
-                regions, windows = [], []
-                hot = [m for m in asked if m["hot"]]
-                for m in asked:
-                    if not m["hot"]:
-                        regions.append({k: m[k] for k in ("k", "c", "s", "n")} | {"bytes": text[m["s"] : m["s"] + m["n"] - 1 + LENGTH].tobytes()})
-                if hot:
-                    prefix = c.prefix_hash(text)
-                    s = np.concatenate([np.arange(m["s"], m["s"] + m["n"]) for m in hot])
-                    times = np.repeat([m["c"] for m in hot], [m["n"] for m in hot])
-                    h, g = c.hash_between(prefix, s, s + LENGTH).view(np.int64), _second_hash(text, s).view(np.int64)
-                    windows = [{"h": a, "g": b, "c": t, "s": p} for a, b, t, p in zip(h.tolist(), g.tolist(), times.tolist(), s.tolist(), strict=True)]
-                rows.append({"done": False, "text": text.tobytes().decode(errors="replace"), "sure": [{"start": a, "end": b} for a, b in sure], "regions": regions, "windows": windows})
+                regions = [{k: m[k] for k in ("k", "c", "s", "n")} | {"bytes": text[m["s"] : m["s"] + m["n"] - 1 + LENGTH].tobytes()} for m in asked if not m["hot"]]
+                parts = _parts(text, [m for m in asked if m["hot"]])
+                rows.append({"done": False, "text": text.tobytes().decode(errors="replace"), "sure": [{"start": a, "end": b} for a, b in sure], "regions": regions, "parts": parts})
         columns = _columns(rows, _WAITING) + _columns(rows, _RESULT)
         yield pa.RecordBatch.from_arrays([x["_row"], x["doc"], x["key"], *columns], ["_row", "doc", "key", *_WAITING.names, *_RESULT.names])
 
@@ -256,9 +282,14 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> D
     regions = waiting.select("doc", "key", F.explode("regions").alias("x")).select("doc", "key", "x.k", "x.c", "x.s", "x.n", "x.bytes")
     found = c.in_arrow(regions.repartition("k").sortWithinPartitions("k"), _suffix, "doc long, key long, s int, n int")
     if crowded:
-        windows = waiting.select("doc", "key", F.explode("windows").alias("x")).select("doc", "key", "x.*")
-        twice = c.written(windows.groupBy("h", "g").agg(F.sum("c").alias("m")).where("m > 1").select("h", "g"), "strings")
-        found = found.union(windows.where("c = 1").join(twice, ["h", "g"]).select("doc", "key", "s", F.lit(1).alias("n")))
+        parts = waiting.select("doc", "key", F.explode("parts").alias("x")).select("doc", "key", "x.*")
+        met = parts.groupBy("h", "g").agg(F.sum("c").alias("m"), F.min("r").alias("low"), F.max("r").alias("high")).where("m > 1")
+        met = c.written(met.select("h", "g", (F.col("low") == F.col("high")).alias("same")), "parts")
+        parts = parts.join(met, ["h", "g"])
+        strings = parts.where("NOT same").select("doc", "key", "c", F.explode("strings").alias("x")).select("doc", "key", "c", "x.*")
+        twice = c.written(strings.groupBy("h", "g").agg(F.sum("c").alias("m")).where("m > 1").select("h", "g"), "strings")
+        found = found.union(parts.where("same").select("doc", "key", "s", "n"))
+        found = found.union(strings.where("c = 1").join(twice, ["h", "g"]).select("doc", "key", "s", F.lit(1).alias("n")))
     found = found.groupBy("doc", "key").agg(F.collect_list(F.struct("s", "n")).alias("found"))
     rest = waiting.select("_row", "doc", "key", "text", "sure").join(found, ["doc", "key"], "left").select("_row", "text", "sure", "found")
     late = c.in_arrow(rest, _finish, T.StructType([base.schema["_row"], *_RESULT.fields]))
