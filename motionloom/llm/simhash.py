@@ -10,8 +10,9 @@ falls into one of them, so that two linked fingerprints agree in some segment af
 one of its bits is blanked out. Each distinct fingerprint is therefore indexed under
 all its segments with each bit blanked in turn (64 keys); those that share a key
 meet in one bucket, where the distance is verified. A bucket of more than ``BUCKET``
-fingerprints is cut again by the same rule over the bits that its key leaves open,
-so that the comparisons of a hot bucket stay far below all pairs. A bucket gives a spanning forest
+fingerprints first gives up its dense groups, each absorbed at once, and is then cut
+again by the same rule over the bits that its key leaves open, so that the
+comparisons of a hot bucket stay far below all pairs. A bucket gives a spanning forest
 of its links (fewer rows than fingerprints), never all pairs, and no link is lost:
 components of the forests are components of the links.
 
@@ -88,40 +89,45 @@ def _fingerprint(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
 
-def _meet(fp: np.ndarray, join) -> None:
-    """Joins link groups of a small set, spreading from one member after another."""
-    left = np.arange(len(fp))
-    while len(left):
-        root, left = left[0], left[1:]
-        front = np.array([root])
-        while len(front) and len(left):
-            near = (np.bitwise_count(fp[front[:64], None] ^ fp[None, left]) <= MAX_BITS).any(axis=0)
-            found, left = left[near], left[~near]
-            for x in found.tolist():
-                join(int(root), x)
-            front = np.concatenate([front[64:], found])
+def _absorb(fp: np.ndarray, left: np.ndarray, join) -> np.ndarray:
+    """Joins the whole link group of the first of left; the places that aren't in it stay."""
+    root, left = left[0], left[1:]
+    front = np.array([root])
+    while len(front) and len(left):
+        some = max(1, min(64, (1 << 22) // len(left)))
+        near = (np.bitwise_count(fp[front[:some], None] ^ fp[None, left]) <= MAX_BITS).any(axis=0)
+        found, left = left[near], left[~near]
+        for x in found.tolist():
+            join(int(root), x)
+        front = np.concatenate([front[some:], found])
+    return left
 
 
 def linked(fp: np.ndarray, free: np.ndarray, join) -> None:
     """Joins all link groups of fp (distinct fingerprints that differ in the bits of free only).
 
-    A set of more than BUCKET is cut by blanking one bit of a third of the free bits in turn.
+    Dense groups are absorbed whole, at a cost that grows with their size only. If more than BUCKET others are
+    left, they are cut by blanking one bit of a third of the free bits in turn, as the segments were.
     """
-    n = len(fp)
-    if n <= BUCKET or len(free) < 12:
-        _meet(fp, join)
+    left = np.arange(len(fp))
+    for _ in range(16):
+        if len(left) <= BUCKET:
+            break
+        left = _absorb(fp, left, join)
+    if len(left) > BUCKET:
+        for part in np.array_split(free, 3):
+            mask = int(sum(1 << int(b) for b in part))
+            for bit in part:
+                key = fp[left] & np.uint64(mask & ~(1 << int(bit)))
+                order = np.argsort(key, kind="stable")
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(left)]])
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    run = left[order[a:b]]
+                    while len(run) > 1:
+                        run = _absorb(fp, run, join)
         return
-    for part in np.array_split(free, 3):
-        rest = np.setdiff1d(free, part)
-        mask = int(sum(1 << int(b) for b in part))
-        for bit in part:
-            key = fp & np.uint64(mask & ~(1 << int(bit)))
-            order = np.argsort(key, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [n]])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1:
-                    own = order[a:b]
-                    linked(fp[own], np.append(rest, bit), lambda x, y, own=own: join(int(own[x]), int(own[y])))
+    while len(left) > 1:
+        left = _absorb(fp, left, join)
 
 
 class Forest:
