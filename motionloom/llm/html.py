@@ -325,29 +325,26 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
         around[b][a] = around[b].get(a, 0.0) + capacity
     while True:
         before = {x: -1 for x in range(n) if left[x] > 1e-12}
-        queue, end = list(before), -1
+        queue, ends = list(before), []
         for x in queue:  # breadth first; grows while it runs
             for y, capacity in around[x].items():
                 if capacity > 1e-12 and y not in before:
                     before[y] = x
-                    if left[y] < -1e-12:
-                        end = y
-                        break
-                    queue.append(y)
-            if end >= 0:
-                break
-        if end < 0:
+                    (ends if left[y] < -1e-12 else queue).append(y)
+        if not ends:
             return [x in before for x in range(n)]
-        path, x = [], end
-        while before[x] >= 0:
-            path.append((before[x], x))
-            x = before[x]
-        flow = min(left[x], -left[end], *(around[a][b] for a, b in path))
-        left[x] -= flow
-        left[end] += flow
-        for a, b in path:
-            around[a][b] -= flow
-            around[b][a] += flow
+        for end in ends:  # all that the tree reaches, as far as what was pushed before leaves room
+            path, x = [], end
+            while before[x] >= 0:
+                path.append((before[x], x))
+                x = before[x]
+            flow = min(left[x], -left[end], *(around[a][b] for a, b in path))
+            if flow > 1e-12:
+                left[x] -= flow
+                left[end] += flow
+                for a, b in path:
+                    around[a][b] -= flow
+                    around[b][a] += flow
 
 
 def extract(page: str | None) -> str:
