@@ -135,7 +135,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: of each suffix, by its place, with the one before it in the array, up to `most`.
+    """Permuted common prefixes: of each suffix, by its place, with the one before it in sa, up to `most`.
+
+    sa may leave suffixes out.
 
     Lengths are found by halving steps on prefix hashes; what reaches `most` is compared byte by byte.
     """
