@@ -20,7 +20,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step takes at once; a single document may be longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -44,7 +44,7 @@ CROWD = 1024
 #: Starts in a part of a crowded region: about the square root of the starts of an anchor.
 STEP = 10
 #: Bytes of regions that one suffix array takes; a shard ends with a gram.
-SHARD = 1 << 20
+SHARD = 1 << 19
 _AT = 24  # bits of a place in a block
 _SECOND = c.mix(np.arange(301, 557, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -180,24 +180,23 @@ def _parts(text: np.ndarray, marks: list[dict]) -> list[dict]:
 
 
 def _apply(batches):
-    """Documents without regions to shard are done; the others wait, with their regions."""
+    """Documents without regions to shard are done; the others wait, with their regions. One batch out per block of text."""
     for batch in batches:
         x = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-        rows = []
         for first, last, data, offs in c.text_blocks(x["text"]):
-            marks = x["marks"].slice(first, last - first).to_pylist()
-            for i, own in enumerate(marks):
-                text = data[offs[i] : offs[i + 1]]
-                sure = [(m["s"], m["s"] + m["n"] - 1 + LENGTH) for m in own or () if m["c"] == 0]
-                asked = [m for m in own or () if m["c"]]
+            own, rows = {k: v.slice(first, last - first) for k, v in x.items()}, []
+            for i, marks in enumerate(own["marks"]):
+                text, marks = data[offs[i] : offs[i + 1]], marks.as_py() or []
+                sure = [(m["s"], m["s"] + m["n"] - 1 + LENGTH) for m in marks if m["c"] == 0]
+                asked = [m for m in marks if m["c"]]
                 if not asked:
                     rows.append(_result(text, sure) | {"done": True})
                     continue
                 regions = [{k: m[k] for k in ("k", "c", "s", "n")} | {"bytes": text[m["s"] : m["s"] + m["n"] - 1 + LENGTH].tobytes()} for m in asked if not m["hot"]]
                 parts = _parts(text, [m for m in asked if m["hot"]])
                 rows.append({"done": False, "text": text.tobytes().decode(errors="replace"), "sure": [{"start": a, "end": b} for a, b in sure], "regions": regions, "parts": parts})
-        columns = _columns(rows, _WAITING) + _columns(rows, _RESULT)
-        yield pa.RecordBatch.from_arrays([x["_row"], x["doc"], x["key"], *columns], ["_row", "doc", "key", *_WAITING.names, *_RESULT.names])
+            columns = _columns(rows, _WAITING) + _columns(rows, _RESULT)
+            yield pa.RecordBatch.from_arrays([own["_row"], own["doc"], own["key"], *columns], ["_row", "doc", "key", *_WAITING.names, *_RESULT.names])
 
 
 def shard(regions: list[bytes], starts: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
@@ -249,13 +248,12 @@ def _suffix(batches):
 def _finish(batches):
     for batch in batches:
         x = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-        rows = []
         for first, last, data, offs in c.text_blocks(x["text"]):
-            sure, found = (x[k].slice(first, last - first).to_pylist() for k in ("sure", "found"))
-            for i in range(last - first):
-                spans = [(m["start"], m["end"]) for m in sure[i] or ()] + [(m["s"], m["s"] + m["n"] - 1 + LENGTH) for m in found[i] or ()]
+            own, rows = {k: v.slice(first, last - first) for k, v in x.items()}, []
+            for i, (sure, found) in enumerate(zip(own["sure"].to_pylist(), own["found"].to_pylist(), strict=True)):
+                spans = [(m["start"], m["end"]) for m in sure or ()] + [(m["s"], m["s"] + m["n"] - 1 + LENGTH) for m in found or ()]
                 rows.append(_result(data[offs[i] : offs[i + 1]], spans))
-        yield pa.RecordBatch.from_arrays([x["_row"], *_columns(rows, _RESULT)], ["_row", *_RESULT.names])
+            yield pa.RecordBatch.from_arrays([own["_row"], *_columns(rows, _RESULT)], ["_row", *_RESULT.names])
 
 
 def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
