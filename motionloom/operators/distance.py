@@ -20,10 +20,10 @@ from ..session import in_arrow, materialised
 BLOCK = 512
 
 
-def _blocks(df: DataFrame, key: str, vec: str, side: str) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vec: str, side: str, block: int) -> DataFrame:
     """One row per block: side_b, side_keys, side_vecs; keys are whole numbers from 0, nearly dense."""
     row = F.struct(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
-    x = df.groupBy(F.floor(F.col(key) / BLOCK).cast("long").alias(f"{side}_b")).agg(F.sort_array(F.collect_list(row)).alias("_r"))
+    x = df.groupBy(F.floor(F.col(key) / block).cast("long").alias(f"{side}_b")).agg(F.sort_array(F.collect_list(row)).alias("_r"))
     return x.select(f"{side}_b", F.transform("_r", lambda r: r["k"]).alias(f"{side}_keys"), F.transform("_r", lambda r: r["v"]).alias(f"{side}_vecs"))
 
 
@@ -41,13 +41,14 @@ def _matrix(column: pa.Array, i: int) -> np.ndarray:
     return rows.flatten().to_numpy().reshape(len(rows), -1)
 
 
-def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple[str, ...] = ("i", "j", "d"), *, upper: bool = False, key: str = "win", other: str = "win", vec: str = "vec") -> DataFrame:
+def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple[str, ...] = ("i", "j", "d"), *, upper: bool = False, key: str = "win", other: str = "win", vec: str = "vec", block: int | None = None) -> DataFrame:
     """Meets all blocks of two sides; kernel(left keys, left vectors, right keys, right vectors, same block) gives arrays of names.
 
     upper: only pairs of blocks in order, for symmetric joins of a table with itself.
     """
-    a = materialised(_blocks(left, key, vec, "l"), "blocks")
-    b = a.select(*(F.col(x).alias("r" + x[1:]) for x in a.columns)) if right is left else materialised(_blocks(right, other, vec, "r"), "blocks")
+    block = block or BLOCK
+    a = materialised(_blocks(left, key, vec, "l", block), "blocks")
+    b = a.select(*(F.col(x).alias("r" + x[1:]) for x in a.columns)) if right is left else materialised(_blocks(right, other, vec, "r", block), "blocks")
     numbers = b.agg(F.collect_set("r_b")).first()[0]  # one number per block
     asked = a.withColumn("r_b", F.explode(F.lit(sorted(numbers)).cast("array<bigint>") if numbers else F.array().cast("array<bigint>")))
     if upper:
@@ -60,8 +61,9 @@ def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple
                 out = kernel(x["l_keys"][i].values.to_numpy(), _matrix(x["l_vecs"], i), x["r_keys"][i].values.to_numpy(), _matrix(x["r_vecs"], i), x["l_b"][i].as_py() == x["r_b"][i].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in out], list(names))
 
-    # A row is two blocks of vectors: spread them, a few to a batch.
-    joined = asked.join(b, "r_b").select("l_b", "l_keys", "l_vecs", "r_b", "r_keys", "r_vecs")
+    # A row is two blocks of vectors and much work for few bytes: spread rows, not bytes.
+    most = left.sparkSession.sparkContext.defaultParallelism * 16
+    joined = asked.join(b, "r_b").select("l_b", "l_keys", "l_vecs", "r_b", "r_keys", "r_vecs").repartition(max(1, min(len(numbers) ** 2, most)))
     types = ["long"] * (len(names) - 1) + ["double"]
     return in_arrow(joined, run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
 

@@ -56,13 +56,12 @@ def around(df: DataFrame, key: str, columns: Sequence[str], block: int = BLOCK)
     known = {x: F.when(F.col(x).isNotNull(), F.struct(F.col(key).alias("i"), F.col(x).alias("v"))) for x in columns}
     df = df.withColumn("_b", b).withColumns({f"_known_{x}": v for x, v in known.items()})
     ends = df.groupBy("_b").agg(*(F.min(f"_known_{x}").alias(f"_first_{x}") for x in columns), *(F.max(f"_known_{x}").alias(f"_last_{x}") for x in columns))
-    order = Window.orderBy("_b")  # one row per block
-    past, future = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select("_b", *(F.last(f"_last_{x}", True).over(past).alias(f"_before_{x}") for x in columns), *(F.first(f"_first_{x}", True).over(future).alias(f"_after_{x}") for x in columns))
-    own = Window.partitionBy("_b").orderBy(key)
-    up, down = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    # Frames that look ahead are looked through in reverse order: a frame that only grows costs one step per row.
+    past, future = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))  # one row per block
+    carried = ends.select("_b", *(F.last(f"_last_{x}", True).over(past).alias(f"_before_{x}") for x in columns), *(F.last(f"_first_{x}", True).over(future).alias(f"_after_{x}") for x in columns))
+    up, down = (Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(key), F.desc(key)))
     df = df.join(carried, "_b")
-    df = df.withColumns({f"_prev_{x}": F.coalesce(F.last(f"_known_{x}", True).over(up), F.col(f"_before_{x}")) for x in columns} | {f"_next_{x}": F.coalesce(F.first(f"_known_{x}", True).over(down), F.col(f"_after_{x}")) for x in columns})
+    df = df.withColumns({f"_prev_{x}": F.coalesce(F.last(f"_known_{x}", True).over(up), F.col(f"_before_{x}")) for x in columns} | {f"_next_{x}": F.coalesce(F.last(f"_known_{x}", True).over(down), F.col(f"_after_{x}")) for x in columns})
     return df.drop("_b", *(f"_{k}_{x}" for k in ("known", "before", "after") for x in columns))
 
 
