@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions.expressions import floored_log
 from .operators import affinity, clean, density, distance, metrics, sampling, signal, transport, windows
+from .operators.sequence import ranked
 from .plans import methods, oracle, pipeline
 from .plans.oracle import sql
 from .session import materialised
@@ -77,17 +78,17 @@ def packet_log(spark, d):
     return events.packets(spark, d).select("seq", "command", "register", "ts", "ax", "gz", "counter", "folder")
 
 
-@query(sql("SELECT seq AS line, command AS c0, register AS c1, CASE WHEN seq % 7 = 3 THEN NULL ELSE counter END AS c12, CASE WHEN seq % 5 = 0 THEN 1.5 END AS c14 FROM packets WHERE seq < 400", "packets"))
+@query(sql("SELECT seq AS line, command AS c0, register AS c1, CASE WHEN seq % 7 = 3 THEN NULL ELSE counter END AS c12, CASE WHEN seq % 5 = 0 THEN 1.5 END AS c14 FROM packets", "packets"))
 def ragged_scan(spark, d):
     """Lines of varying width, with cells that aren't numbers, parsed as a packet log."""
-    p = events.packets(spark, d).where("seq < 400")
+    p = events.packets(spark, d)
     cells = [F.col("command").cast("string"), F.col("register").cast("string"), F.col("ts").cast("string"), *(F.col(k).cast("string") for k in S.SENSORS)]
     counter = F.when(F.col("seq") % 7 == 3, F.lit("n/a")).otherwise(F.col("counter").cast("string"))
     line = F.concat_ws(",", *cells, counter, F.when(F.col("seq") % 5 == 0, F.lit(",1.5")))
     head = spark.createDataFrame([(-1, "Command,RegisterAddress,Timestamp")], "_at long, value string")
     raw = files.ragged(head.union(p.select(F.col("seq").alias("_at"), line.alias("value"))))
-    ids = p.select("seq", F.row_number().over(Window.orderBy("seq")).alias("_n"))
-    return raw.join(ids.select(F.col("seq").alias("line"), (F.col("_n") - 1).alias("seq")), "seq").select("line", F.col("Command").alias("c0"), F.col("RegisterAddress").alias("c1"), F.col("DataElement9").alias("c12"), F.col("DataElement11").alias("c14"))
+    ids = ranked(p.select(F.col("seq").alias("line")), "line", "seq")
+    return raw.join(ids, "seq").select("line", F.col("Command").alias("c0"), F.col("RegisterAddress").alias("c1"), F.col("DataElement9").alias("c12"), F.col("DataElement11").alias("c14"))
 
 
 @query(sql("SELECT seq, ts, ax, counter FROM packets WHERE register = 34", "packets"))
@@ -155,9 +156,9 @@ def window_quantiles(spark, d):
     return q.select("win", *(F.round(F.element_at("q", i * 60 + n).cast("double"), 4).alias(f"{k}_{n}") for i, k in enumerate(windows.CHANNELS) for n in (1, 30, 60)))
 
 
-@query(sql("SELECT win, place, round((z / 2.5)::FLOAT::DOUBLE, 4) AS p1, round((z_gyro / 200.0)::FLOAT::DOUBLE, 4) AS p2 FROM win WHERE place % 20 = 0 AND win IN (SELECT win FROM reps)", "reps"))
+@query(sql("SELECT win, place, round((z / 2.5)::FLOAT::DOUBLE, 4) AS p1, round((z_gyro / 200.0)::FLOAT::DOUBLE, 4) AS p2 FROM win WHERE win IN (SELECT win FROM reps)", "reps"))
 def window_joint(spark, d):
-    x = windows.joint(_signals(spark, d)).select("win", F.posexplode("pts").alias("place", "p")).where("place % 20 = 0")
+    x = windows.joint(_signals(spark, d)).select("win", F.posexplode("pts").alias("place", "p"))
     return x.select("win", F.col("place").cast("long").alias("place"), F.round(F.col("p")[1].cast("double"), 4).alias("p1"), F.round(F.col("p")[2].cast("double"), 4).alias("p2"))
 
 
@@ -228,12 +229,12 @@ def sliced_distance(spark, d):
 
 @query()
 def exact_transport(spark, d):
-    return transport.joint_distances(windows.joint(_signals(spark, d)).where("win % 4 = 0"), "exact_emd")
+    return transport.joint_distances(windows.joint(_signals(spark, d)), "exact_emd")
 
 
 @query()
 def entropic_transport(spark, d):
-    return transport.joint_distances(windows.joint(_signals(spark, d)).where("win % 4 = 0"), "sinkhorn", reg=0.5)
+    return transport.joint_distances(windows.joint(_signals(spark, d)), "sinkhorn", reg=0.5)
 
 
 # Samples
@@ -411,12 +412,12 @@ def method_matrix(spark, d):
 
 @query()
 def preference_sweep(spark, d):
-    return _rows(spark, pipeline.preference_sweep(_vectors(spark, d), unit=S.UNIT, limit=300), "preference double, K long, split_half_ami double, best boolean")
+    return _rows(spark, pipeline.preference_sweep(_vectors(spark, d), unit=S.UNIT), "preference double, K long, split_half_ami double, best boolean")
 
 
 @query()
 def split_half_stability(spark, d):
-    return _rows(spark, [pipeline.split_half(_vectors(spark, d), unit=S.UNIT, limit=400)], "splits long, ami_mean double, ami_std double")
+    return _rows(spark, [pipeline.split_half(_vectors(spark, d), unit=S.UNIT)], "splits long, ami_mean double, ami_std double")
 
 
 @query()
