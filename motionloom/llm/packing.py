@@ -26,6 +26,7 @@ the tasks with their code.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import cached_property, lru_cache
@@ -41,6 +42,9 @@ from . import common as c
 LENGTH, END = 1024, 2
 #: Stands for itself in a text that the fast path can't take; see Tokens.
 SPECIAL = "<|endoftext|>"
+#: The fast path's look-ahead for white space fails on runs of more than about half a million characters; those of this many are kept from it.
+LONG_BLANK = 1 << 16
+_BLANK = re.compile(r"\s{2,}")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -48,7 +52,8 @@ class Tokens:
     """Ids of the byte-level vocabulary ``name``.json.
 
     The rank table ``name``.tiktoken holds the same vocabulary and merges and is about five times
-    as fast; it has no special tokens, so that texts that spell one out go to the json's own tokenizer.
+    as fast; it has no special tokens, so that texts that spell one out go to the json's own tokenizer,
+    and so do texts with very long runs of white space (LONG_BLANK).
     """
 
     def __init__(self, name: str = "byte_bpe_50k") -> None:
@@ -67,7 +72,7 @@ class Tokens:
         return Tokenizer.from_file(self.file)
 
     def ids(self, text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in _BLANK.finditer(text))):
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
