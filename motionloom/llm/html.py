@@ -9,7 +9,8 @@ container; they carry the more capacity the closer the two stand in the DOM. The
 augmenting paths) is the labelling of least cost; content blocks are joined in page order.
 
 Parsing is tolerant: comments, scripts, styles and other raw text are skipped whole, paragraphs and list items
-close by themselves, unmatched end tags are ignored, and an open element ends with the page. Character
+close by themselves, unmatched end tags are ignored, and an open element ends with the page (a button or another element
+that may hold markup is passed over if it has no end). Names of html, body, article and main aren't read as boilerplate's. Character
 references are decoded once; white space inside a block becomes one blank; <br> is white space.
 
 Defined cases. A null or empty page, one without text, or one of boilerplate only gives the empty
@@ -40,6 +41,10 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is no page text; the parser skips to their end tag.
 RAW_TAGS = frozenset("script style textarea noscript template iframe object svg math canvas audio video select button".split())
+#: Those of them that hold no markup, so that an unclosed one goes on to the end of the page; the others are passed over then.
+TEXT_TAGS = frozenset("script style textarea noscript iframe".split())
+#: Elements whose own names tell about the page or the article as a whole, not whether it is boilerplate.
+WHOLE_TAGS = frozenset("html body article main".split())
 #: Tags that close an open element of the same kind, up to the containers after it.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu", "dir")),
@@ -152,16 +157,20 @@ L2, STEPS = 0.01, 600
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 _SPLIT = re.compile(r"[^a-z]+")
+_LONG_REFERENCE = re.compile(r"&#0*([0-9]{8})[0-9]*")
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)]*$")
 
 
 class Element:
-    __slots__ = ("tag", "depth", "parent", "bad", "good", "hidden", "seen")
+    __slots__ = ("tag", "depth", "parent", "bad", "good", "hidden", "seen", "within")
 
     def __init__(self, tag: str, names: str, parent: Element | None) -> None:
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.bad, self.good, self.hidden = (parent.bad, parent.good, parent.hidden) if parent else (False, False, False)
         self.seen = parent.seen if parent else frozenset()
+        self.within = parent.within if parent else frozenset()
+        if tag not in self.within:
+            self.within = self.within | {tag}
         if tag in ("article", "main"):
             self.seen = self.seen | {"content"}
         elif tag in ("nav", "header", "footer", "aside", "form", "head"):
@@ -169,7 +178,9 @@ class Element:
             self.seen = self.seen | ({tag} if tag != "header" or "content" not in self.seen else set())
         if names:
             words = set(_SPLIT.split(names))
-            self.bad = self.bad or not words.isdisjoint(BOILERPLATE_NAMES)
+            if "content" in self.seen:
+                words -= {"head", "header"}
+            self.bad = self.bad or (tag not in WHOLE_TAGS and not words.isdisjoint(BOILERPLATE_NAMES))
             self.good = self.good or not words.isdisjoint(CONTENT_NAMES)
 
 
@@ -193,11 +204,13 @@ def blocks(page: str) -> list[tuple[Element, str, float]]:
     root = here = Element("", "", None)
     parts: list[str] = []
     linked, link = 0, False
+    unclosed: set[str] = set()  # raw tags without an end tag from here on
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            # A number of eight digits is beyond all code points, however many more follow.
+            text = " ".join(entities.unescape(_LONG_REFERENCE.sub(r"&#\1", "".join(parts))).split())
             if text and not here.hidden:
                 out.append((here, text, min(1.0, linked / len(text))))
             parts.clear()
@@ -223,6 +236,8 @@ def blocks(page: str) -> list[tuple[Element, str, float]]:
                 link = False
             elif tag in BLOCK_TAGS:
                 flush()
+                if tag not in here.within:
+                    continue
                 x = here
                 while x.parent and x.tag != tag:
                     x = x.parent
@@ -236,8 +251,12 @@ def blocks(page: str) -> list[tuple[Element, str, float]]:
             parts.append(" ")
             continue
         if tag in RAW_TAGS and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else size
+            if tag not in unclosed:
+                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if close or tag in TEXT_TAGS:
+                    at = close.end() if close else size
+                else:
+                    unclosed.add(tag)
             parts.append(" ")
             continue
         if tag not in BLOCK_TAGS:
@@ -249,7 +268,7 @@ def blocks(page: str) -> list[tuple[Element, str, float]]:
         if tag in CLOSES:
             own, stops = CLOSES[tag]
             x = here
-            while x.parent and x.tag not in stops and x.tag not in own.split():
+            while not here.within.isdisjoint(own.split()) and x.parent and x.tag not in stops and x.tag not in own.split():
                 x = x.parent
             while x.parent and x.tag in own.split():
                 here = x = x.parent
