@@ -11,8 +11,8 @@ Labelled findings: ``findings`` makes a bounded, deterministic set from rules (s
 of one's own with the same columns can take its place.
 
 Positions are code points from 0. Defined cases. Null and empty texts have no candidates. A text's own
-control characters x01 and x02 are read as blanks. Candidates longer than MAX_LENGTH are cut there and go on
-as the next candidate. A repeated token is a finding each time; rows that repeat a doc_id are scanned one by one.
+control characters x01 and x02 are read as blanks. A candidate has any length. A repeated token is a finding each time; rows that repeat a doc_id are
+scanned one by one.
 An empty table gives no rows. Other columns are not used.
 
 Scale. One scan of the text without shuffle; findings are exploded with 64 characters around them. The forest is
@@ -28,10 +28,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_LENGTH, MAX_LENGTH, AROUND = 12, 256, 64
+MIN_LENGTH, AROUND = 12, 64
 #: Token characters: a digit somewhere, or quotes after = or :.
 TOKEN = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"(?<!{TOKEN})(?=[A-Za-z+/_\-]{{0,{MAX_LENGTH}}}[0-9]){TOKEN}{{{MIN_LENGTH},{MAX_LENGTH}}}={{0,2}}|(?<=[=:] ?[\"']){TOKEN}{{{MIN_LENGTH},{MAX_LENGTH}}}={{0,2}}(?=[\"'])"
+CANDIDATE = rf"(?<!{TOKEN})(?=[A-Za-z+/_\-]*+[0-9]){TOKEN}{{{MIN_LENGTH},}}+={{0,2}}|(?<=[=:] ?[\"']){TOKEN}{{{MIN_LENGTH},}}+={{0,2}}(?=[\"'])"
+#: Fixed value: all characters of a candidate.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+#: Running sums are made in blocks of this many parts, since each of their steps copies the sums so far.
+STEP = 256
 
 # Words that tell findings apart.
 SECRET_WORDS = "access auth authorization bearer credential credentials key passwd password private pwd secret signature token".split()
@@ -60,12 +64,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     token = lambda p: F.substring_index(p, "\x02", 1)
     rest = lambda p: F.substring_index(p, "\x02", -1)
     # Each piece but the first: its token, what follows it up to the next, and how far it reaches.
-    parts = F.transform("pieces", lambda p, i: F.struct(F.when(i > 0, token(p)).alias("token"), F.left(rest(p), F.lit(AROUND)).alias("head"), F.right(rest(p), F.lit(AROUND)).alias("tail"), (F.length(p) - F.when(i > 0, 1).otherwise(0)).alias("size")))
+    parts = F.transform("pieces", lambda p, i: F.struct(F.when(i > 0, token(p)).alias("token"), F.left(rest(p), F.lit(AROUND)).alias("head"), F.right(rest(p), F.lit(AROUND)).alias("tail"), (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("long").alias("size")))
     x = x.select("doc_id", "path", parts.alias("parts"))
-    # Running sums of the sizes; each step carries one number on.
-    ends = F.aggregate("parts", F.array(F.lit(0)), lambda sums, p: F.concat(sums, F.array(F.element_at(sums, -1) + p["size"])))
-    x = x.select("doc_id", "path", "parts", ends.alias("ends")).select("doc_id", "path", "parts", "ends", F.posexplode("parts").alias("i", "part")).where("i > 0")
-    return x.select("doc_id", "path", F.get("ends", "i").cast("long").alias("start"), F.col("part.token").alias("token"), F.get("parts", F.col("i") - 1)["tail"].alias("left"), F.col("part.head").alias("right"))
+    block = lambda b: F.slice("parts", b * STEP + 1, F.lit(STEP))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / STEP).cast("int"))
+    sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0).cast("long"), lambda s, p: s + p["size"]))
+    x = x.select("doc_id", "path", "parts", _before(sums, lambda s: s, F.lit(0).cast("long")).alias("base"))
+    places = F.flatten(F.transform(blocks, lambda b: _before(block(b), lambda p: p["size"], F.get("base", b))))
+    x = x.select("doc_id", "path", "parts", places.alias("places"))
+    # Whole findings before they are exploded, so that no row carries its document's arrays.
+    at = F.sequence(F.lit(1), F.size("parts") - 1)
+    found = F.transform(at, lambda i: F.struct(F.get("places", i).alias("start"), F.get("parts", i)["token"].alias("token"), F.get("parts", i - 1)["tail"].alias("left"), F.get("parts", i)["head"].alias("right")))
+    return x.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*")
+
+
+def _before(items: Column, size, start: Column) -> Column:
+    """The sum of the sizes before each item, from start."""
+    sums = F.aggregate(items, F.array(start), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + size(x))))
+    return F.slice(sums, F.lit(1), F.size(items))
 
 
 def _any(words: list[str]) -> str:
@@ -86,7 +102,7 @@ def described(found: DataFrame) -> DataFrame:
         "upper_lower": share(count(r"[A-Z](?=[a-z])")),
         "lower_upper": share(count(r"[a-z](?=[A-Z])")),
         "vowel_consonant": share(count(r"[aeiouy](?=[bcdfghjklmnpqrstvwxz])|[bcdfghjklmnpqrstvwxz](?=[aeiouy])", F.lower(token))),
-        "distinct": F.size(F.array_distinct(F.split(token, ""))) / F.sqrt(size),
+        "distinct": (len(ALPHABET) - F.length(F.call_function("translate", F.lit(ALPHABET), token, F.lit("")))) / F.sqrt(size),
         "digits": share(count("[0-9]")),
         "hex": token.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "covered": 1 - F.length(F.regexp_replace(F.lower(token), _any(DICTIONARY), "")) / size,

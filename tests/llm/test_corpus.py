@@ -327,6 +327,12 @@ def test_fast_tokens_are_the_tokenizers(text):
     assert known.ids(text) == known.full.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n\t" * 700_000 + "b", "x" * 500_000, "- " * 200_000])
+def test_tokens_of_long_runs(text):
+    known = packing.tokens("byte_bpe_50k")
+    assert known.ids(text) == known.full.encode(text, add_special_tokens=False).ids
+
+
 def test_mixing_meets_targets(docs, empty):
     rows = documents()
     sizes = defaultdict(int)
@@ -413,6 +419,10 @@ def test_html_extraction(spark):
     assert html.extract("<p>" + "x" * 100_000 + "</p>") == "x" * 100_000
     assert html.extract("<div>" * 3000 + "<p>deep text here.</p>") == "deep text here."
     assert html.extract("<article><p>cut &am") == "cut &am"
+    assert html.extract('<body class="with-sidebar"><article class="post category-news"><header class="entry-header"><h1>Title</h1></header><p>Text of it.') == "Title\nText of it."
+    assert html.extract("<article><p>Start of it.<button>Go on<p>Rest of the text.</p></article>") == "Start of it. Go on\nRest of the text."
+    assert html.extract("<p>&#" + "9" * 6000 + "; &#00000000065; goes here.") == "\ufffd A goes here."
+    assert html.extract("<div>" * 20_000 + "<td>a</td></section>" * 5000).split() == ["a"] * 5000
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "", "<p>a")], "page_id long, url string, html string")
     found = html.extract_pages(pages).collect()
     assert [r["n_chars"] for r in found] == [len(r["text"]) for r in found] and len(found) == 4
@@ -474,6 +484,17 @@ def test_secrets(spark, docs, empty):
     assert [r["start"] for r in found if r["doc_id"] == 5] == [5, 28]
 
 
+def test_secrets_of_long_documents(spark):
+    key = "Zx81mQp0Lr55TnWv93bK" * 5000
+    text = " ".join(f"key{i} = abcdef{i:012d}" for i in range(3000)) + f' api_key = "{key}" é ' + "secret7" * 3
+    found = secrets.candidates(spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")).collect()
+    assert len(found) == 3002 and all(text[r["start"] :].startswith(r["token"]) for r in found)
+    assert all(text[: r["start"]].endswith(r["left"]) and text[r["start"] + len(r["token"]) :].startswith(r["right"]) for r in found)
+    assert key in {r["token"] for r in found}
+    row = secrets.described(spark.createDataFrame([("aab1==", "", "", "")], "token string, left string, right string, path string")).first()
+    assert row["distinct"] == pytest.approx(4 / 6**0.5)
+
+
 def test_forest_on_held_out_findings(spark):
     model = secrets.train(secrets.findings(spark, 3000))
     rows = model.transform(secrets.described(secrets.findings(spark, 6000))).select("label", "prediction").collect()[3000:]
