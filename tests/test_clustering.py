@@ -109,6 +109,14 @@ def test_graphs(spark):
         affinity.graph(edges, "other")
 
 
+def test_sparse_exemplars_in_one_task_or_several(spark, blobs, monkeypatch):
+    _, df = blobs
+    edges = affinity.graph(distance.similarity(distance.neighbours(df, 20), 10).select("i", "j", "s"), "union").cache()
+    one = sorted(r[0] for r in affinity.sparse_exemplars(edges, df, -300.0).collect())
+    monkeypatch.setattr(affinity, "ONE_TASK_EDGES", 0)
+    assert one and one == sorted(r[0] for r in affinity.sparse_exemplars(edges, df, -300.0).collect())
+
+
 def test_methods(spark, blobs):
     x, df = blobs
     for name in methods.METHODS:
