@@ -32,6 +32,8 @@ from . import common as c
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
+#: Places that one step takes, so that a very long document needs no more memory than its code points.
+STARTS = 1 << 20
 MAX_PER_CLASS = 2000
 SMOOTH, MIN_DOCS, ERRORS, L2, STEPS = 0.5, 3, 3.0, 0.03, 400
 THRESHOLD = 0.7
@@ -64,8 +66,22 @@ def _points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def features(data: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, bucket) pairs, sorted, and the log of one more than their times; wanted: a mask of the buckets that count."""
     points, doc = _points(data, offs)
-    n = len(points)
     blank = points == 32
+    parts = []
+    for a in range(0, len(points), STARTS):
+        reach = slice(a, a + STARTS + max(SIZES) - 1)
+        parts.append(_grams(points[reach], doc[reach], blank[reach], wanted))
+    if len(parts) == 1:
+        pairs, times = parts[0]
+    else:
+        pairs, at = np.unique(np.concatenate([p for p, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([t for _, t in parts] or [np.zeros(0)]), minlength=len(pairs))
+    return pairs // BUCKETS, pairs % BUCKETS, np.log1p(times)
+
+
+def _grams(points: np.ndarray, doc: np.ndarray, blank: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct document * BUCKETS + bucket of the n-grams from the first STARTS points, and their times."""
+    n = len(points)
     blanks = np.zeros(n + 1, np.int32)
     np.cumsum(blank, out=blanks[1:])
     word = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -81,13 +97,13 @@ def features(data: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = Non
             continue
         # No blank inside; the first and last may be blanks, which also keeps documents apart.
         at = np.flatnonzero((blanks[size - 1 : size - 1 + m] == blanks[1 : m + 1]) & (doc[:m] == doc[size - 1 : size - 1 + m]))
+        at = at[: np.searchsorted(at, STARTS)]
         bucket = ((h[at] ^ h[at] >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> np.uint64(44)).astype(np.int64)
         if wanted is not None:
             hit = wanted[bucket]
             at, bucket = at[hit], bucket[hit]
         found.append(doc[at].astype(np.int64) * BUCKETS + bucket)
-    pairs, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-    return pairs // BUCKETS, pairs % BUCKETS, np.log1p(times)
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:

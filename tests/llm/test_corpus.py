@@ -463,6 +463,16 @@ def test_toxicity_on_held_out_documents(spark, docs, labels, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_steps_agree(monkeypatch):
+    data, offs = next((x[2], x[3]) for x in common.text_blocks(pa.array([r[1] for r in documents()][:40], pa.string()), 1 << 30))
+    whole = toxicity.features(data, offs)
+    for starts in (7, 1000):
+        monkeypatch.setattr(toxicity, "STARTS", starts)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, toxicity.features(data, offs), strict=True))
+    none = toxicity.features(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
 def test_toxicity_block_sizes_agree():
     texts = pa.array([r[1] for r in documents()])
     weights = np.random.default_rng(0).standard_normal(toxicity.BUCKETS)
