@@ -11,7 +11,7 @@ from .operators import affinity, clean, density, distance, metrics, sampling, si
 from .operators.sequence import ranked
 from .plans import methods, oracle, pipeline
 from .plans.oracle import sql
-from .session import materialised
+from .session import materialised, scratch
 from .sources import events, files
 
 QUERIES: dict = {}
@@ -116,6 +116,14 @@ def clean_stats(spark, d):
     return clean.clean(events.packets(spark, d))[1]
 
 
+@query(sql(f"SELECT {float(S.MOTION_REGISTER)}::DOUBLE AS register, k.ts, k.counter, c.folder, {', '.join(f'c.{k}' for k in S.SENSORS)} FROM clean c JOIN kept k USING (pos) UNION ALL SELECT register, ts, counter, folder, {', '.join(S.SENSORS)} FROM packets WHERE register IS DISTINCT FROM {S.MOTION_REGISTER}", "clean"))
+def cleaned_log(spark, d):
+    """Repaired motion rows and other registers' packets, written as one table and read again."""
+    path = scratch(spark, "cleaned")
+    files.write_cleaned(_clean(spark, d), clean.others(events.packets(spark, d)), path)
+    return files.read_cleaned(spark, path).select("register", "ts", "counter", "folder", *S.SENSORS)
+
+
 # Signals
 
 
@@ -283,6 +291,13 @@ def contingency(spark, d):
     return metrics.contingency(_both(spark, d))
 
 
+@query()
+def matched_clusters(spark, d):
+    """Pairs of clusters of two labellings with the greatest overlap in all."""
+    table, a, b = metrics.table_of(metrics.contingency(_both(spark, d)))
+    return _rows(spark, [{"a": int(a[i]), "b": int(b[j]), "n": int(table[i, j])} for i, j in metrics.match_clusters(table)], "a long, b long, n long")
+
+
 _AGREE = """
 , cells AS (SELECT a, b, count(*)::DOUBLE AS n FROM ab WHERE a >= 0 {more} GROUP BY a, b),
 ra AS (SELECT sum(n) AS n FROM cells GROUP BY a), rb AS (SELECT sum(n) AS n FROM cells GROUP BY b),
@@ -358,6 +373,13 @@ def seed_summary(spark, d):
     return metrics.seed_summary(x.select(F.concat(F.lit("d"), F.col("win") % 3).alias("dataset"), F.concat(F.lit("m"), F.col("win") % 2).alias("method"), F.col("label").alias("K"), (F.col("win") / 7.0).alias("ari_vs_ap_full")))
 
 
+@query("SELECT 'd' || (vec_id % 50) AS dataset, max(label) FILTER (WHERE vec_id % 3 = 0) AS ap_full, max(label) FILTER (WHERE vec_id % 3 = 1) AS ap_sampled, max(label) FILTER (WHERE vec_id % 3 = 2) AS hdbscan FROM embeddings WHERE vec_id < 150 GROUP BY 1")
+def figure_table(spark, d):
+    x = events.vectors(spark, d).where("win < 150")  # one value per cell
+    method = F.element_at(F.array(F.lit("ap_full"), F.lit("ap_sampled"), F.lit("hdbscan")), (F.col("win") % 3 + 1).cast("int"))
+    return metrics.figure_table(x.select(F.concat(F.lit("d"), F.col("win") % 50).alias("dataset"), method.alias("method"), "label"), "label", ["ap_full", "ap_sampled", "hdbscan"])
+
+
 @query("SELECT count(*) AS n, count(*)::DOUBLE * count(*) * 8 AS matrix_bytes, count(*)::DOUBLE * count(*) * 0.0005 AS distance_s, 1000 * count(*)::DOUBLE * count(*) * 1e-6 AS ap_s FROM embeddings")
 def cost_model(spark, d):
     return metrics.cost_model(events.vectors(spark, d).agg(F.count("*").alias("n")))

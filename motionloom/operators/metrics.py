@@ -251,6 +251,11 @@ def seed_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("dataset", "method").agg(*of("K", "K"), *of("ari_vs_ap_full", "ari"), F.count("*").alias("n_seeds"))
 
 
+def figure_table(matrix: DataFrame, value: str, methods: list[str]) -> DataFrame:
+    """dataset, and a column for each of methods with its value (null where there is none): the table behind a grouped bar chart."""
+    return matrix.groupBy("dataset").pivot("method", methods).agg(F.first(value, ignorenulls=True))
+
+
 def cost_model(sizes: DataFrame) -> DataFrame:
     """n, bytes of a distance matrix, and modelled seconds of the older system: 0.5 ms a distance, 1000 iterations of n * n microseconds."""
     n = F.col("n").cast("double")
