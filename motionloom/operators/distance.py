@@ -18,6 +18,8 @@ from ..functions.expressions import shuffle_key
 from ..session import in_arrow, materialised
 
 BLOCK = 512
+#: Rows whose exact neighbours tell how many cells a search must ask.
+TRIAL = 256
 
 
 def _blocks(df: DataFrame, key: str, vec: str, side: str, block: int) -> DataFrame:
@@ -93,10 +95,18 @@ def cross(left: DataFrame, right: DataFrame, *, key: str = "win", other: str = "
 
 
 def _least(lk, lv, rk, rv, k: int):
-    """Of each left row the k nearest right rows of this block, ties by the lowest key."""
+    """Of each left row the k nearest right rows of this block (in ascending order of keys), ties by the lowest key."""
     d = cityblock(lv, rv)
-    order = np.lexsort((np.broadcast_to(rk, d.shape), d), axis=1)[:, :k]
-    return np.repeat(lk, order.shape[1]), rk[order].ravel(), np.take_along_axis(d, order, 1).ravel()
+    k = min(k, d.shape[1])
+    if not d.size or np.isnan(d).any():
+        order = np.lexsort((np.broadcast_to(rk, d.shape), d), axis=1)[:, :k]
+        return np.repeat(lk, order.shape[1]), rk[order].ravel(), np.take_along_axis(d, order, 1).ravel()
+    a, b = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])  # the k nearest and all that tie with the last
+    near = d[a, b]
+    order = np.lexsort((b, near, a))
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    order = order[place < k]
+    return lk[a[order]], rk[b[order]], near[order]
 
 
 def nearest(df: DataFrame, exemplars: DataFrame, *, key: str = "win", other: str = "pos", vec: str = "vec", k: int = 1) -> DataFrame:
@@ -108,35 +118,59 @@ def nearest(df: DataFrame, exemplars: DataFrame, *, key: str = "win", other: str
     return x.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbours(df: DataFrame, k: int, *, key: str = "win", vec: str = "vec") -> DataFrame:
-    """i, j, d and rank: the k nearest other rows of each row, exact, ties by the lowest key."""
+def _others(left: DataFrame, df: DataFrame, k: int, key: str, vec: str) -> DataFrame:
+    """i, j, d and rank: the k nearest other rows in df of each row of left, exact, ties by the lowest key."""
 
     def kernel(lk, lv, rk, rv, _):
         i, j, d = _least(lk, lv, rk, rv, k + 1)
         keep = i != j
         return i[keep], j[keep], d[keep]
 
-    x = block_join(df, df, kernel, key=key, other=key, vec=vec)
+    # Each block goes out once per block of the other side: of many blocks, larger ones move less.
+    block = BLOCK * 4 if df.count() >= BLOCK * 32 else BLOCK
+    x = block_join(left, df, kernel, key=key, other=key, vec=vec, block=block)
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
-def neighbours_in_cells(df: DataFrame, k: int, *, cells: int | None = None, probes: int | None = None, seed: int = 42, key: str = "win", vec: str = "vec") -> DataFrame:
+def neighbours(df: DataFrame, k: int, *, key: str = "win", vec: str = "vec") -> DataFrame:
+    """i, j, d and rank: the k nearest other rows of each row, exact, ties by the lowest key."""
+    return _others(df, df, k, key, vec)
+
+
+def neighbours_in_cells(df: DataFrame, k: int, *, cells: int | None = None, probes: int | None = None, recall: float = 0.95, seed: int = 42, key: str = "win", vec: str = "vec") -> DataFrame:
     """neighbours, approximately: rows meet in cells around sampled centres; each row asks its nearest `probes` cells.
 
-    Cells default to the square root of the rows (64 at least), probes to a tenth of the cells (10 at least). A row whose
-    cells hold fewer than k others gets fewer.
+    Cells default to the square root of the rows (64 at least). Probes default to as many as find the share `recall` of the exact
+    neighbours of TRIAL rows; if that is over half of the cells, they save too little and all rows are compared. A row whose
+    cells hold fewer than k others is compared with all rows.
     """
     n = df.count()
+    if n < 2:
+        return neighbours(df, k, key=key, vec=vec)
     cells = min(n, cells or max(int(n**0.5), 64))
-    probes = min(cells, probes or max(cells // 10, 10))
     centres = df.orderBy(shuffle_key(F.col(key), seed), key).limit(cells).select(vec, F.row_number().over(Window.orderBy(key)).cast("long").alias("pos"))
+    centres = materialised(centres, "centres")
+    if probes is None:
+        home = nearest(df, centres, key=key, vec=vec).select(F.col("i").alias("_i"), F.col("j").alias("cell"))
+        trial = materialised(df.orderBy(shuffle_key(F.col(key), seed + 1), key).limit(TRIAL).select(key, vec), "trial")
+        order = nearest(trial, centres, key=key, vec=vec, k=max(cells, 2)).select("i", F.col("j").alias("cell"), F.col("rank").alias("asked"))
+        wanted = _others(trial, df, k, key, vec).select("i", F.col("j").alias("_i")).join(home, "_i").join(order, ["i", "cell"])
+        probes = int(wanted.agg(F.expr(f"percentile_disc({float(recall)}) WITHIN GROUP (ORDER BY asked)")).first()[0])
+        if probes > cells // 2:
+            return neighbours(df, k, key=key, vec=vec)
+    probes = min(cells, probes)
     asked = materialised(nearest(df, centres, key=key, vec=vec, k=max(probes, 2)), "probes")
-    rows = df.select(F.col(key).alias("i"), F.col(vec).cast("array<double>").alias("v"))
+    rows = df.select(F.col(key).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v"))
     home = asked.where("rank = 1").select(F.col("j").alias("cell"), F.col("i").alias("_i")).join(rows.select(F.col("i").alias("_i"), F.col("v").alias("_v")), "_i")
     visits = asked.where(F.col("rank") <= probes).select(F.col("j").alias("cell"), "i").join(rows, "i")
     d = F.aggregate(F.zip_with("v", "_v", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
     met = visits.join(home, "cell").where("i <> _i").select("i", F.col("_i").alias("j"), d.alias("d"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+    met = materialised(met.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k), "met")
+    full = met.where(F.col("rank") == min(k, n - 1)).select(F.col("i").alias(key))
+    short = materialised(df.select(F.col(key).cast("long").alias(key), vec).join(full, key, "left_anti"), "short")
+    if short.isEmpty():
+        return met
+    return met.join(short.select(F.col(key).alias("i")), "i", "left_anti").select("i", "j", "d", "rank").union(_others(short, df, k, key, vec).select("i", "j", "d", "rank"))
 
 
 def similarity(edges: DataFrame, unit: float = 1.0) -> DataFrame:

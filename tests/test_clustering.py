@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from motionloom import catalog
 from motionloom.operators import affinity, density, distance, metrics, sampling, transport
 from motionloom.plans import methods, pipeline
 from motionloom.sources import files
@@ -46,6 +47,37 @@ def test_joins(spark, blobs, monkeypatch):
         distance.min_affinity(df, mode="other")
 
 
+def test_search_in_cells_finds_nine_of_ten_neighbours(spark, data):
+    """The registered query by its own defaults, against all distances."""
+    x = catalog._embeddings(spark, data).orderBy("win").toPandas()
+    wins, d = x["win"].to_numpy(), l1(np.array(x["vec"].tolist()))
+    np.fill_diagonal(d, np.inf)
+    exact = {(wins[i], wins[j]) for i in range(len(d)) for j in np.lexsort((wins, d[i]))[:5]}
+    found = catalog.QUERIES["k_nearest_in_cells"](spark, data).collect()
+    assert len(found) == len(exact) == 5 * len(wins)
+    assert len({(r["i"], r["j"]) for r in found} & exact) >= 0.9 * len(exact)
+
+
+def test_search_in_cells_prunes_and_fills_up(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c * 100, 3, (n, 6)) for c, n in enumerate((2, 60, 60, 60, 60, 60))]).round().astype(int)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "win long, vec array<int>").cache()
+    exact = {(r["i"], r["j"], r["d"], r["rank"]) for r in distance.neighbours(df, 4).collect()}
+    short = distance.neighbours_in_cells(df, 4, cells=30, probes=1).groupBy("i").count().where("count <> 4")
+    assert short.isEmpty()
+    monkeypatch.setattr(distance, "neighbours", None)  # well apart, a few cells do
+    found = {(r["i"], r["j"], r["d"], r["rank"]) for r in distance.neighbours_in_cells(df, 4).collect()}
+    assert len(found) == len(exact) == 4 * len(x) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_nearest_of_a_block_by_distance_and_key():
+    rng = np.random.default_rng(4)
+    a, b, keys = rng.integers(0, 3, (20, 3)), rng.integers(0, 3, (30, 3)), np.arange(30) * 2
+    i, j, d = distance._least(np.arange(20), a, keys, b, 7)
+    want = [sorted((v, k) for v, k in zip(row, keys, strict=True))[:7] for row in l1(a, b)]
+    assert list(zip(d, j, strict=True)) == [x for row in want for x in row] and i.tolist() == np.repeat(np.arange(20), 7).tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 6))
 def test_assignment_is_optimal(seed, n):
