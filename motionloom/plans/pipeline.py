@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import affinity, clean, metrics, sampling, signal, windows
-from ..operators.distance import cityblock, cross, nearest
+from ..operators.distance import block_join, cityblock, cross, nearest
 from ..operators.transport import joint_distances
 from ..session import materialised
 from .methods import Clustering, cluster
@@ -132,17 +132,40 @@ def _ap(x: np.ndarray, unit: float, preference) -> tuple[np.ndarray, np.ndarray]
     return affinity.cluster_matrix(cityblock(x, x) / unit, preference)
 
 
-def split_half(rows: DataFrame, *, splits: int = 5, seed: int = 42, preference=None, unit: float = 1.0, limit: int = 6000) -> dict:
+def _halves(rows: DataFrame, wins: list[int], order: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """place (from 0 in each half) and vec of the rows of either half of an order of wins."""
+    half = len(order) // 2
+    places = [(int(wins[w]), int(p >= half), int(p - half if p >= half else p)) for p, w in enumerate(order)]
+    x = materialised(rows.select("win", "vec").join(rows.sparkSession.createDataFrame(places, "win long, half int, place long"), "win"), "halves")
+    return tuple(x.where(F.col("half") == k).select("place", "vec") for k in (0, 1))
+
+
+def split_half(rows: DataFrame, *, splits: int = 5, seed: int = 42, preference=None, unit: float = 1.0, limit: int = S.AP_FULL_LIMIT) -> dict:
     """Mean and population deviation of the AMI between clusters of half B and half B assigned to half A's exemplars.
 
-    A bounded test (limit rows): each half is clustered on its own.
+    All rows take part, each half clustered on its own: in the driver where all rows fit one task's matrix, else by block rows.
+    Halves above limit rows are refused.
     """
-    some = sampling.uniform(rows, limit, seed).orderBy("win").select("win", "vec").collect()
-    wins, x = np.array([r[0] for r in some]), np.array([r[1] for r in some], float)
-    scores = []
+    n = rows.count()
+    if n - n // 2 > limit:
+        raise ValueError(f"half of {n} rows make too large a matrix; the limit is {limit}")
+    alone = n <= affinity.ONE_TASK
+    some = rows.orderBy("win").select("win", *(["vec"] if alone else [])).collect()
+    wins, scores = [r[0] for r in some], []
+    x = np.array([r[1] for r in some], float) if alone else None
     for k in range(splits):
-        order = np.random.default_rng((seed, k)).permutation(len(wins))
-        a, b = order[: len(order) // 2], order[len(order) // 2 :]
+        order = np.random.default_rng((seed, k)).permutation(n)
+        if not alone:
+            a, b = _halves(rows, wins, order)
+            exemplars = affinity.dense(a, preference, unit=unit, limit=limit, key="place").where("label >= 0").select(F.col("exemplar").alias("place")).distinct()
+            exemplars = materialised(a.join(exemplars, "place"), "exemplars")
+            if exemplars.isEmpty():
+                continue
+            own = affinity.dense(b, preference, unit=unit, limit=limit, key="place").select(F.col("win").alias("i"), F.col("label").alias("a"))
+            asked = nearest(b, exemplars, key="place", other="place").select("i", F.col("j").alias("b"))
+            scores.append(metrics.ami(own.join(asked, "i")))
+            continue
+        a, b = order[: n // 2], order[n // 2 :]
         _, exemplars = _ap(x[a], unit, preference)
         own, _ = _ap(x[b], unit, preference)
         if len(exemplars):
@@ -153,16 +176,41 @@ def split_half(rows: DataFrame, *, splits: int = 5, seed: int = 42, preference=N
     return {"splits": len(scores), "ami_mean": float(np.mean(scores)) if scores else None, "ami_std": float(np.std(scores)) if scores else None}
 
 
-def preference_sweep(rows: DataFrame, *, steps: int = 12, splits: int = 3, seed: int = 42, unit: float = 1.0, limit: int = 3000) -> list[dict]:
-    """K and split-half AMI for preferences from the least to the median similarity, the best marked (the first on a tie)."""
-    some = sampling.uniform(rows, limit, seed).orderBy("win").select("vec").collect()
-    x = np.array([r[0] for r in some], float)
-    d = cityblock(x, x) / unit
-    s = -(d * d)
+def _range(rows: DataFrame, unit: float) -> tuple[float, float]:
+    """The least and the median similarity of the whole matrix with its zero diagonal, from counts of its distances."""
+
+    def kernel(_, lv, __, rv, same):
+        d, n = np.unique(cityblock(lv, rv), return_counts=True)
+        return n if same else 2 * n, d
+
+    x = block_join(rows, rows, kernel, ("n", "d"), upper=True).groupBy("d").agg(F.sum("n").alias("n"))
+    d = F.col("d") / F.lit(float(unit))
+    return tuple(x.select((-(d * d)).alias("s"), "n").agg(F.min("s"), F.expr("percentile(s, 0.5, n)")).first())
+
+
+def preference_sweep(rows: DataFrame, *, steps: int = 12, splits: int = 3, seed: int = 42, unit: float = 1.0, limit: int = S.AP_FULL_LIMIT) -> list[dict]:
+    """K and split-half AMI for preferences from the least to the median similarity, the best marked (the first on a tie).
+
+    All rows take part; above limit rows the matrix is refused.
+    """
+    n = rows.count()
+    if n > limit:
+        raise ValueError(f"{n} rows make too large a matrix; the limit is {limit}")
+    alone = n <= affinity.ONE_TASK
+    if alone:
+        x = np.array([r[0] for r in rows.orderBy("win").select("vec").collect()], float)
+        d = cityblock(x, x) / unit
+        s = -(d * d)
+        ends = s.min(), np.median(s)
+    else:
+        ends = _range(rows, unit)
     out = []
-    for p in np.linspace(s.min(), np.median(s), steps):
-        labels, found = affinity.cluster_matrix(d, float(p))
-        out.append({"preference": float(p), "K": len(found), "split_half_ami": split_half(rows, splits=splits, seed=seed, preference=float(p), unit=unit, limit=limit)["ami_mean"]})
+    for p in np.linspace(*ends, steps):
+        if alone:
+            found = len(affinity.cluster_matrix(d, float(p))[1])
+        else:
+            found = affinity.dense(rows, float(p), unit=unit, limit=limit).where("label >= 0").select("label").distinct().count()
+        out.append({"preference": float(p), "K": found, "split_half_ami": split_half(rows, splits=splits, seed=seed, preference=float(p), unit=unit, limit=limit)["ami_mean"]})
     best = max(range(len(out)), key=lambda k: (out[k]["split_half_ami"] if out[k]["split_half_ami"] is not None else -2, -k))
     return [r | {"best": k == best} for k, r in enumerate(out)]
 

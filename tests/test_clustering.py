@@ -236,3 +236,20 @@ def test_stability(spark, blobs):
     joint = spark.createDataFrame([(i, [[float(i // 4) * 5 + 0.01 * i] * 4] * 6) for i in range(8)], "win long, pts array<array<float>>")
     found = {r["win"]: r["label"] for r in pipeline.cluster_joint(joint, "exact_emd").collect()}
     assert not {found[i] for i in range(4)} & {found[i] for i in range(4, 8)}
+
+
+def test_stability_takes_all_rows(spark, blobs, monkeypatch):
+    """Of few rows in the driver, of more by block rows: the same; of too many: refused, not sampled."""
+    _, df = blobs
+    with pytest.raises(ValueError):
+        pipeline.split_half(df, splits=1, unit=10, limit=37)
+    with pytest.raises(ValueError):
+        pipeline.preference_sweep(df, steps=2, splits=1, unit=10, limit=74)
+    one = pipeline.preference_sweep(df, steps=2, splits=1, unit=10, limit=75), pipeline.split_half(df, splits=1, unit=10, limit=38)
+    monkeypatch.setattr(affinity, "ONE_TASK", 1)
+    monkeypatch.setattr(distance, "BLOCK", 16)
+    monkeypatch.setattr(pipeline, "_ap", None)
+    spread = pipeline.preference_sweep(df, steps=2, splits=1, unit=10, limit=75), pipeline.split_half(df, splits=1, unit=10, limit=38)
+    assert [r["K"] for r in spread[0]] == [r["K"] for r in one[0]] and [r["best"] for r in spread[0]] == [r["best"] for r in one[0]]
+    for a, b in zip((*spread[0], spread[1]), (*one[0], one[1]), strict=True):
+        assert list(a.values()) == pytest.approx(list(b.values()))
