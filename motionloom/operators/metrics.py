@@ -252,8 +252,8 @@ def seed_summary(runs: DataFrame) -> DataFrame:
 
 
 def figure_table(matrix: DataFrame, value: str, methods: list[str]) -> DataFrame:
-    """dataset, and a column for each of methods with its value (null where there is none): the table behind a grouped bar chart."""
-    return matrix.groupBy("dataset").pivot("method", methods).agg(F.first(value, ignorenulls=True))
+    """dataset, and a column for each of methods with its value (the largest of several, null where there is none): the table behind a grouped bar chart."""
+    return matrix.groupBy("dataset").pivot("method", methods).agg(F.max(value))
 
 
 def cost_model(sizes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from motionloom import catalog
 from motionloom.operators import affinity, density, distance, metrics, sampling, transport
@@ -253,3 +254,14 @@ def test_stability_takes_all_rows(spark, blobs, monkeypatch):
     assert [r["K"] for r in spread[0]] == [r["K"] for r in one[0]] and [r["best"] for r in spread[0]] == [r["best"] for r in one[0]]
     for a, b in zip((*spread[0], spread[1]), (*one[0], one[1]), strict=True):
         assert list(a.values()) == pytest.approx(list(b.values()))
+
+
+def test_figure_table_of_a_whole_table(spark, data):
+    """Several rows meet in a cell: the largest counts, in whatever order they come."""
+    x = catalog._embeddings(spark, data).selectExpr("win", "'d' || (win % 50) AS dataset", "'m' || (win % 3) AS method", "label")
+    rows = x.toPandas()
+    assert len(rows) > 300
+    want = {(d, m): v for (d, m), v in rows.groupby(["dataset", "method"])["label"].max().items()}
+    for order in ("win", "-win"):
+        found = metrics.figure_table(x.orderBy(F.expr(order)).coalesce(1), "label", ["m0", "m1", "m2"]).collect()
+        assert {(r["dataset"], m): r[m] for r in found for m in ("m0", "m1", "m2")} == want
