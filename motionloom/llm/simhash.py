@@ -18,8 +18,8 @@ components of the forests are components of the links.
 
 Defined cases. Null and empty texts have fingerprint 0 and are linked like any
 other. Rows that repeat a text or a doc_id each get their row. A null doc_id gets
-its fingerprint and the component of its link group, but names no component unless
-all are null. An empty table gives an empty result. Other columns pass through.
+its fingerprint and the component of its link group, and links others like any row, but
+names no component: a group of null doc_ids alone has a null one. An empty table gives an empty result. Other columns pass through.
 
 Scale. One scan of the text; from there on 16 bytes per row and 64 keys of 16 bytes per
 distinct fingerprint are shuffled. Copies collapse into one fingerprint first. Each
@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -44,6 +44,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET = 1024
 #: Buckets up to this size are compared together, by the distance of their members' places.
 SMALL = 32
+#: Parts by which fingerprints without a doc_id are numbered.
+PARTS = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -222,15 +224,24 @@ def _keys(batches):
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits) and component_id of each row."""
+    """doc_id, fp (signed 64 bits) and component_id (the smallest doc_id of its link group, null without any) of each row."""
     prints = c.written(c.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprint, "doc_id long, fp long"), "fingerprints")
-    # A fingerprint's node is its smallest doc_id; those of null ids only come after all others.
+    # A fingerprint's node is its smallest doc_id; those that only rows without a doc_id hold are numbered above all others.
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     distinct = c.written(distinct, "distinct")
-    index = c.in_arrow(distinct.where("node IS NOT NULL").select("fp", "node"), _keys, "key long, fp long, node long")
+    top, unknown = distinct.agg(F.max("node"), F.count_if(F.col("node").isNull())).first()
+    if unknown:
+        part = F.pmod(F.xxhash64("fp"), F.lit(PARTS))
+        place = (F.row_number().over(Window.partitionBy("_part").orderBy("fp")).cast("long") - 1) * PARTS + F.col("_part")
+        above = distinct.where("node IS NULL").withColumn("_part", part).select("fp", (place + F.lit(-1 if top is None else top) + 1).alias("node"))
+        distinct = c.written(distinct.where("node IS NOT NULL").union(above), "nodes")
+    index = c.in_arrow(distinct.select("fp", "node"), _keys, "key long, fp long, node long")
     sorted_keys = index.repartition("key").sortWithinPartitions("key")
     found = components(c.in_arrow(sorted_keys, _links, "a long, b long"))
-    of = distinct.join(found, distinct["node"] == found["node"], "left").select("fp", F.coalesce("component", distinct["node"]).alias("component_id"))
+    least = F.coalesce("component", distinct["node"])
+    if unknown:
+        least = F.when(least <= F.lit(top).cast("long"), least)
+    of = distinct.join(found, distinct["node"] == found["node"], "left").select("fp", least.alias("component_id"))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 

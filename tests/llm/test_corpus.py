@@ -107,6 +107,26 @@ def test_simhash_dedup_keeps_one_of_each_group(docs):
     assert ids.count(None) == 2
 
 
+def test_simhash_links_through_rows_without_an_id(spark):
+    """Two documents too far from each other, and a row near both whose text no known document holds."""
+    words, chain = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        words[i * 2] = f"other{i}"
+        chain.append(" ".join(words))
+    prints = [fingerprint(t) for t in chain]
+    far = lambda x, y: (prints[x] ^ prints[y]).bit_count()
+    a, n, b = next((x, y, z) for x in range(60) for y in range(x + 1, 60) for z in range(y + 1, 60) if 0 < far(x, y) <= 4 and 0 < far(y, z) <= 4 < far(x, z))
+    rows = [(7, chain[a]), (None, chain[n]), (9, chain[b]), (None, "alone in the world"), (None, "far from it all, and from that")]
+    expected = brute_components([fingerprint(t) for _, t in rows], [x for x, _ in rows])
+    assert expected == [7, 7, 7, None, None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_groups(df).collect()}
+    assert found == {(x, fingerprint(t), g) for (x, t), g in zip(rows, expected, strict=True)}
+    assert [r["doc_id"] for r in simhash.dedup(df).collect() if r["doc_id"] is not None] == [7]
+    nobody = simhash.near_groups(df.where("doc_id IS NULL")).collect()
+    assert len(nobody) == 3 and {r["component_id"] for r in nobody} == {None}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**9), st.integers(2, 120), st.integers(1, 12))
 def test_buckets_lose_no_link(seed, n, spread):
