@@ -428,7 +428,7 @@ def sparse_graph(spark, d):
 
 @query()
 def method_matrix(spark, d):
-    rows = pipeline.matrix({"events": _vectors(spark, d)}, ("ap_full", "ap_sampled", "ap_twolevel", "hdbscan"), options={"sample_size": 100, "min_cluster_size": 5})
+    rows = pipeline.matrix({"events": _vectors(spark, d)}, S.METHODS, options={"sample_size": 100, "neighbours_k": 30, "min_cluster_size": 5, "strata": 10})
     return _rows(spark, rows, "dataset string, method string, status string, n_windows long, n_clusters long, noise_pct double, silhouette double, t_s double, ri_vs_ap_full double, ari_vs_ap_full double")
 
 
@@ -446,7 +446,7 @@ def split_half_stability(spark, d):
 def seed_variance(spark, d):
     v = _vectors(spark, d)
     full = methods.ap_full(v)
-    return _rows(spark, pipeline.seed_variance(v, "events", full.labels, methods=("ap_sampled",), seeds=(1, 2), sample_size=100), "dataset string, method string, seed long, K long, ari_vs_ap_full double, t_s double")
+    return _rows(spark, pipeline.seed_variance(v, "events", full.labels, sample_size=100, strata=10), "dataset string, method string, seed long, K long, ari_vs_ap_full double, t_s double")
 
 
 @query()

@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__
 from motionloom import catalog
+from motionloom import schema as S
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -39,3 +40,10 @@ def test_entry(spark):
 def test_entry_without_the_corpus_operators():
     code = "import sys; sys.modules['motionloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'window_histogram' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_evaluations_cover_all_methods_and_seeds(spark, data):
+    rows = catalog.QUERIES["method_matrix"](spark, data).collect()
+    assert sorted(r["method"] for r in rows) == sorted(S.METHODS) and {r["status"] for r in rows} == {"ok"}
+    rows = catalog.QUERIES["seed_variance"](spark, data).collect()
+    assert {(r["method"], r["seed"]) for r in rows} == {(m, s) for m in ("ap_sampled", "ap_coreset", "ap_kmeans", "ap_stratified") for s in range(1, 11)}
