@@ -71,7 +71,7 @@ def k_centres(df: DataFrame, k: int, seed: int = 0, key: str = "win", vec: str =
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64()))], ["pos", "win", "vec"])
 
-    return materialised(in_arrow(rows.repartition(parts, "win"), kernel, "pos long, win long, vec array<double>", barrier=True), "centres")
+    return materialised(in_arrow(rows.repartition(parts, "win"), kernel, "pos long, win long, vec array<double>", barrier=True), "centres", barrier=True)
 
 
 def slots(df: DataFrame) -> int:

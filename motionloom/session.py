@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[1])
+#: Files for each core of the cluster that a written table has at most.
+FILES = 4
 
 
 def session(name: str = "motionloom", **conf: str) -> SparkSession:
@@ -25,18 +27,29 @@ def session(name: str = "motionloom", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where that is unset."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that setting is missing, a session within one machine (master local, as in tests) gets a
+    temporary folder; a cluster gets an error, since its executors don't see each other's folders.
+    """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None) or getattr(context, "_motionloom_tables", None)
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {context.master} share")
         base = context._motionloom_tables = tempfile.mkdtemp(prefix="motionloom-")
     return f"{base.rstrip('/')}/motionloom/{uuid.uuid4().hex}-{name}"
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage and survives lost executors."""
+def compact(df: DataFrame) -> DataFrame:
+    """df in at most FILES partitions for each core: a table of short rows needs no file for every split of its input."""
+    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def materialised(df: DataFrame, name: str, barrier: bool = False) -> DataFrame:
+    """df as a written table: cuts the lineage and survives lost executors. barrier: its last stage is a barrier stage, whose partitions stay."""
     spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if barrier else compact(df)).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
