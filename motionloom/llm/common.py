@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import compact, in_arrow
+from ..session import materialised as written
+
+__all__ = ["compact", "in_arrow", "written"]
+
 #: ASCII white space as in the contracts: blank and \x09-\x0D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,37 +27,6 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 U64 = np.uint64
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Only where that setting is missing, as in tests, a temporary folder stands in.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(context, "_motionloom_scratch", None)
-        if not base:
-            base = context._motionloom_scratch = tempfile.mkdtemp(prefix="motionloom-")
-    return f"{base.rstrip('/')}/motionloom/{uuid.uuid4().hex}-{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def in_arrow(df: DataFrame, kernel, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow(kernel), with this library on the workers' import path."""
-    env = df.sparkSession.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return df.mapInArrow(kernel, schema)
-
-
 def order_key(doc_id: Column) -> Column:
     """A pseudo-random order of ids in [0, 2**31) that any SQL engine can compute."""
     return F.pmod(F.pmod(doc_id.cast("long"), F.lit(1 << 31)) * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31))
