@@ -3,10 +3,11 @@
 A document of up to ``LENGTH`` tokens is one piece; a longer one is cut into pieces
 of LENGTH tokens, the remainder first. Packing works on the histogram of piece
 lengths, at most LENGTH counts at any size of corpus, in two steps. Exact
-complements: from the longest length down, the gap that a piece leaves is looked up
-in an index of single lengths, sums of pairs and sums of triples, and combinations
-that fill it exactly are consumed, as often as the available counts allow (see plan). Best fit:
-what is left goes, longest first, into the open sequence with the smallest gap that
+complements: an index (``Sums``) holds the available single lengths and the pairs and triples by their
+sums. The gap that a piece leaves is looked up there, first among singles for all lengths, longest first, then among
+pairs, then among triples, and combinations that fill it exactly are consumed as often as the available counts
+allow, those with the longest part first; pairs and triples that would take a piece below a reserve are left,
+since only short pieces fill the odd gaps later (see plan). Best fit: what is left goes, longest first, into the open sequence with the smallest gap that
 holds it. The plan is a list of slots (length, ranks from, sequences from, offset);
 it has a few thousand rows at most, since each step uses up one length or one kind
 of open sequence. A piece finds its slot by its rank among pieces of its length.
@@ -15,20 +16,23 @@ Ranks need no shuffle of rows by length: each task numbers its own pieces, and
 offsets come from the counts per task and length.
 
 Defined cases. Null and empty texts are one piece that holds the end token only.
-Rows that repeat a doc_id are packed one by one. An empty table gives no rows.
+Rows that repeat a doc_id are packed one by one. An empty table gives no rows. A very long text is
+tokenised in parts (see Tokens), with the same ids.
 Other columns are not used, whatever their names.
 
 Scale. One scan of the text (tokenising); pieces (about 60 bytes each) are written
 once and joined with the counts per task and length. The plan (bounded) goes to
-the tasks with their code.
+the tasks with their code. A worker holds one batch of texts, the ids of one document (4 bytes a token) and ROWS rows.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -40,20 +44,28 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LENGTH, END = 1024, 2
-#: Stands for itself in a text that the fast path can't take; see Tokens.
-SPECIAL = "<|endoftext|>"
-#: The fast path's look-ahead for white space fails on runs of more than about half a million characters; those of this many are kept from it.
-LONG_BLANK = 1 << 16
-_BLANK = re.compile(r"\s{2,}")
+#: The vocabulary's only special token, and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: Characters of a part of a text, and white space of which a longer run is a part of its own.
+PART, RUN = 1 << 18, 1 << 12
+#: Rows of a batch that a task returns.
+ROWS = 4096
+#: Pairs and triples take no piece below one of these shares of the length.
+RESERVES = (0.0, 0.03, 0.06, 0.08, 0.095, 0.1, 0.11, 0.125, 0.16, 0.2, 0.25)
+#: White space of the vocabulary's pattern.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_WHITE}]{{{RUN},}}")
+_CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
 class Tokens:
-    """Ids of the byte-level vocabulary ``name``.json.
+    """Ids of the byte-level vocabulary ``name``.json, from the rank table ``name``.tiktoken, which holds the same merges.
 
-    The rank table ``name``.tiktoken holds the same vocabulary and merges and is about five times
-    as fast; it has no special tokens, so that texts that spell one out go to the json's own tokenizer,
-    and so do texts with very long runs of white space (LONG_BLANK).
+    Texts are cut where the vocabulary's own pattern always cuts, so that the parts' ids make up the text's: around the
+    special token's name, before white space that follows something else, and inside a run of white space before its
+    last character (the pattern gives the last one to what follows, or, at the end of the text, takes the whole run). So
+    a part has about PART characters, but for a longer run of other characters, and the pattern's look-ahead never walks a long run.
     """
 
     def __init__(self, name: str = "byte_bpe_50k") -> None:
@@ -62,19 +74,42 @@ class Tokens:
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.table = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.file = public_tokenizers.path(f"{name}.json")
 
     @cached_property
     def full(self):
+        """The json's own tokenizer, to compare with; packing doesn't load it."""
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.file)
 
     def ids(self, text: str) -> list[int]:
-        if SPECIAL in text or (len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in _BLANK.finditer(text))):
-            return self.full.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        return self.array(text).tolist()
+
+    def array(self, text: str) -> np.ndarray:
+        parts: list[np.ndarray] = []
+        for k, plain in enumerate(text.split(SPECIAL)):
+            if k:
+                parts.append(np.array([SPECIAL_ID], np.uint32))
+            if len(plain) <= RUN:
+                parts.append(self.table.encode_to_numpy(plain, disallowed_special=()))
+                continue
+            at = 0
+            for run in _RUN.finditer(plain):
+                parts += self._parts(plain[at : run.start()])
+                at = run.end() if run.end() == len(plain) else run.end() - 1
+                parts.append(np.array(self.table._core_bpe.encode_single_piece(plain[run.start() : at].encode()), np.uint32))
+            parts += self._parts(plain[at:])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _parts(self, text: str) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + PART) if len(text) > at + PART else None
+            end = cut.start() if cut else len(text)
+            yield self.table.encode_to_numpy(text[at:end], disallowed_special=())
+            at = end
 
 
 @lru_cache(maxsize=2)
@@ -93,40 +128,82 @@ def _tokenise(name: str, length: int, with_ids: bool):
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int32())] * with_ids)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", *["ids"] * with_ids]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(types)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
     def kernel(batches):
-        known, task, seen = tokens(name), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
+        known, task, seen, rows = tokens(name), TaskContext.get().partitionId(), np.zeros(length + 1, np.int64), []
+        end = np.array([END], np.uint32)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*known.ids(text.as_py() or ""), END], "<u4")
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, ids = doc.as_py(), np.concatenate([known.array(text.as_py() or ""), end]).astype("<u4", copy=False)
                 for k, (start, size) in enumerate(cut(len(ids), length)):
                     own = ids[start : start + size]
                     rows.append((doc, k, start, size, zlib.crc32(own), task, int(seen[size]), *[own.astype(np.int32)] * with_ids))
                     seen[size] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+                    if len(rows) >= (ROWS >> 4 if with_ids else ROWS):
+                        yield made(rows)
+        yield made(rows)
 
     return kernel
 
 
+class Sums:
+    """Index of available lengths: of each sum up to `length` its single, its pairs and its triples, longest part first.
+
+    free[x] pieces of length x are left. Combinations leave the index when a length of theirs is used up, which is for good;
+    each is looked at only while it stands at the end of its list.
+    """
+
+    def __init__(self, counts: dict[int, int], length: int) -> None:
+        self.length, self.free = length, [counts.get(x, 0) for x in range(length + 1)]
+        self.sizes = [x for x in range(length, 0, -1) if self.free[x]]
+        self.pairs: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
+        for a in reversed(self.sizes):
+            for b in self.sizes:
+                if b <= a and a + b <= length:
+                    self.pairs[a + b].append((a, b))
+        self.firsts = [[a for a in reversed(self.sizes) if a < total] for total in range(length + 1)]  # of triples
+
+    def times(self, parts: tuple[int, ...]) -> int:
+        """How often the combination can be taken from what is left."""
+        return min(self.free[x] // parts.count(x) for x in parts)
+
+    def single(self, total: int, others: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if self.times((*others, total)) else None
+
+    def pair(self, total: int, others: tuple[int, ...]) -> tuple[int, ...] | None:
+        pairs = self.pairs[total]
+        while pairs and not self.times(pairs[-1]):
+            pairs.pop()
+        return next((x for x in reversed(pairs) if self.times((*others, *x))), None)
+
+    def triple(self, total: int, others: tuple[int, ...]) -> tuple[int, ...] | None:
+        firsts = self.firsts[total]
+        while firsts and not self.free[firsts[-1]]:
+            firsts.pop()
+        for a in reversed(firsts):
+            if 3 * a < total:  # the longest of three has a third at least
+                break
+            if self.free[a] and (x := self.pair(total - a, (*others, a))):
+                return (a, *x)
+        return None
+
+
 class _Plan:
     """Slots as (length, rank, times, sequence, offset)."""
 
     def __init__(self, counts: dict[int, int], length: int) -> None:
-        self.left = {k: n for k, n in counts.items() if n}
-        self.length, self.used, self.sequences = length, dict.fromkeys(counts, 0), 0
+        self.index = Sums(counts, length)
+        self.length, self.used, self.sequences = length, [0] * (length + 1), 0
         self.slots: list[tuple[int, int, int, int, int]] = []
 
     def take(self, size: int, times: int, sequence: int, offset: int) -> None:
         self.slots.append((size, self.used[size], times, sequence, offset))
         self.used[size] += times
-        self.left[size] -= times
-        if not self.left[size]:
-            del self.left[size]
-
-    def times(self, parts: tuple[int, ...]) -> int:
-        """How often a combination can be taken from what is left."""
-        return min(self.left.get(x, 0) // parts.count(x) for x in parts)
+        self.index.free[size] -= times
 
     def consume(self, parts: tuple[int, ...], times: int) -> None:
         offset = 0
@@ -136,47 +213,25 @@ class _Plan:
         self.sequences += times
 
 
-def _exact(p: _Plan, shortest: int, most: int) -> None:
-    """Consumes pieces of `shortest` tokens or more, each with up to `most` others that fill its sequence."""
-    if p.left.get(p.length):
-        p.consume((p.length,), p.left[p.length])
-    for size in sorted((x for x in p.left if x >= shortest), reverse=True):
-        while p.left.get(size):
-            parts = _complement(p, size, p.length - size, most)
-            if not parts:
-                break
-            p.consume((size, *parts), p.times((size, *parts)))
-
-
-def _complement(p: _Plan, size: int, gap: int, most: int) -> tuple[int, ...] | None:
-    """Up to `most` available lengths that add up to gap; long ones first, since short ones fit almost anywhere."""
-
-    def free(*parts: int) -> bool:
-        return p.times((size, *parts)) > 0
-
-    if gap in p.left and free(gap):
-        return (gap,)
-    sizes = sorted(x for x in p.left if x < gap)
-    for a in reversed(sizes) if most > 1 else ():
-        if 2 * a < gap:
-            break
-        if gap - a in p.left and free(a, gap - a):
-            return a, gap - a
-    for a in reversed(sizes) if most > 2 else ():
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in reversed(sizes[bisect_left(sizes, (rest + 1) // 2) : bisect_left(sizes, min(a, rest - 1) + 1)]):
-            if rest - b in p.left and free(a, b, rest - b):
-                return a, b, rest - b
-    return None
+def _exact(p: _Plan, reserve: int) -> None:
+    """Consumes combinations that fill a sequence exactly: a piece and one, two or three others."""
+    index, length = p.index, p.length
+    if index.free[length]:
+        p.consume((length,), index.free[length])
+    for find, least in ((index.single, 1), (index.pair, reserve), (index.triple, reserve)):
+        for size in index.sizes:
+            while size < length and index.free[size]:
+                parts = find(length - size, (size,))
+                if not parts or min(parts) < least:
+                    break
+                p.consume((size, *parts), index.times((size, *parts)))
 
 
 def _best_fit(p: _Plan) -> None:
     """Longest first, into the open sequence with the smallest gap that holds the piece."""
     open_: list[tuple[int, int, int]] = []  # gap, first sequence, sequences
-    for size in sorted(p.left, reverse=True):
-        while n := p.left.get(size):
+    for size in p.index.sizes:
+        while n := p.index.free[size]:
             k = bisect_left(open_, (size, -1, -1))
             if k < len(open_):
                 gap, first, many = open_.pop(k)
@@ -199,18 +254,19 @@ def _best_fit(p: _Plan) -> None:
 def plan(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Slots for a histogram of piece lengths, and how many sequences they make.
 
-    How far the exact step should go depends on the histogram: pieces that it uses
-    up can't fill gaps later. It is run to several depths, and the plan with the fewest
-    sequences is taken; each run takes milliseconds, at any number of pieces.
+    Which reserve serves best depends on the histogram. The steps are run with each of RESERVES, until the
+    sequences are as few as their tokens allow, and the plan with the fewest is taken; a run takes a
+    tenth of a second, at any number of pieces.
     """
-    best = None
-    for most in (3, 2, 1):
-        for share in (0.0, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 0.95):
-            p = _Plan(counts, length)
-            _exact(p, round(share * length), most)
-            _best_fit(p)
-            if best is None or p.sequences < best.sequences:
-                best = p
+    best, bound = None, math.ceil(sum(x * n for x, n in counts.items()) / length)
+    for share in RESERVES:
+        p = _Plan(counts, length)
+        _exact(p, round(share * length))
+        _best_fit(p)
+        if best is None or p.sequences < best.sequences:
+            best = p
+        if best.sequences <= bound:
+            break
     return best.slots, best.sequences
 
 

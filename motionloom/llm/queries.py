@@ -1,4 +1,7 @@
-"""The registered queries of the corpus operators, with production parameters, and their SQL."""
+"""The registered queries of the corpus operators, with production parameters, and their SQL.
+
+Queries that return short digests of long rows hand them out in few partitions (``common.compact``).
+"""
 
 from __future__ import annotations
 
@@ -16,12 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_groups(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return c.compact(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 1024 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return c.compact(packing.pack(_table(spark, sf_dir, "documents")))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +36,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that every document loses to passages of 200 bytes that repeat."""
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return c.compact(found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,24 +55,24 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
     rules = [(True, *r) for r in urls.RULES] + [(False, "block", s, "") for s in urls.SITES]
     listed = urls.listing(spark.createDataFrame(rules, "first boolean, verdict string, host string, path string"))
-    return urls.judge(_table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+    return c.compact(urls.judge(_table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("_row.doc_id", toxicity.held_out(F.col("_row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return c.compact(found.select("_row.doc_id", toxicity.held_out(F.col("_row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")))
 
 
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document, and which one stays."""
-    return exact.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return c.compact(exact.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface counts and verdict of every document."""
     found = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept")
+    return c.compact(found.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_suffix, op5_html, op6_mixing, op7_urls, op8_toxicity, op9_exact, op10_quality)}
