@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ ORDER_KEY_SQL = "((((({0} % 2147483648) + 2147483648) % 2147483648) * 1103515245
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of rows (first, last, bytes, offsets); null counts as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """Cuts a string or binary column into runs of rows (first, last, bytes, offsets); null counts as empty."""
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "").cast(pa.large_binary())
     n = len(column)
     if not n:
         return
@@ -64,34 +65,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Odd base of the polynomial hash of byte strings.
-BASE = 0x9E3779B97F4A7C15
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes that one prefix hash may cover; longer texts are hashed in segments.
+SEGMENT = 1 << 20
+#: Odd bases of the two polynomial hashes of byte strings, and the values of bytes in each.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BYTES = tuple(mix(np.arange(k, k + 256, dtype=U64) * U64(0xD1342543DE82EF95)) for k in (1, 301))
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+def powers(n: int, kind: int = 0) -> list[np.ndarray]:
+    """BASES[kind]**i and BASES[kind]**-i modulo 2**64 for i < n (at most SEGMENT + 1); the tables stay, at 16 MB or less each."""
+    if n > SEGMENT + 1:
+        raise ValueError(f"{n} bytes at once; hash in segments of {SEGMENT}")
+    if kind not in _powers or len(_powers[kind][0]) < n:
+        size = min(1 << (n - 1).bit_length(), SEGMENT + 1)
+        _powers[kind] = []
+        for base in (BASES[kind], pow(BASES[kind], -1, 1 << 64)):
             steps = np.full(size, base, U64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+            _powers[kind].append(np.multiply.accumulate(steps))
+    return _powers[kind]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, kind: int = 0) -> np.ndarray:
     """P with n+1 entries; see hash_between."""
     n = len(data)
     out = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[data] * powers(n + 1)[0][:n], out=out[1:])
+    np.cumsum(_BYTES[kind][data] * powers(n + 1, kind)[0][:n], out=out[1:])
     return out
 
 
-def hash_between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+def hash_between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand; the two kinds make up 128 bits."""
+    return mix((prefix[end] - prefix[start]) * powers(len(prefix), kind)[1][start])
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,6 +120,57 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def per_doc(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sums of mask over each document's bytes."""
+    if len(offs) == 2:
+        return np.array([np.count_nonzero(mask)])
     total = np.zeros(len(mask) + 1, np.int64)
     np.cumsum(mask, out=total[1:])
     return total[offs[1:]] - total[offs[:-1]]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word (in text order), in segments of bounded size."""
+    out = np.empty(len(starts), U64)
+    long = np.flatnonzero(ends - starts > SEGMENT // 2)
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    for part in np.split(np.arange(len(starts)), np.unique(np.concatenate([long, long + 1]))):
+        while len(part):
+            base = starts[part[0]]
+            k = int(np.searchsorted(ends[part[0] : part[-1] + 1], base + SEGMENT, "right"))
+            own, part = part[:k], part[k:]
+            if len(own) == 1 and own[0] in long:
+                continue
+            out[own] = hash_between(prefix_hash(data[base : ends[own[-1]]]), starts[own] - base, ends[own] - base)
+    return out
+
+
+def decoded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block, and each document's number of them."""
+    try:
+        return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), per_doc((data & 0xC0) != 0x80, offs)
+    except UnicodeDecodeError:
+        each = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return np.frombuffer("".join(each).encode("utf-32-le"), np.uint32), np.array([len(x) for x in each], np.int64)
+
+
+def overlapping(data: np.ndarray, offs: np.ndarray, points: int, limit: int = 4 * BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """The block itself, or parts of one long document with up to `points` code points of what follows; how many, and whether they reach the end."""
+    if len(offs) > 2 or len(data) <= limit:
+        yield data, offs, 0, True
+        return
+    a, n = 0, len(data)
+
+    def after(at: int) -> int:
+        """The next place where a code point begins."""
+        at += 1
+        while at < n and data[at] & 0xC0 == 0x80:
+            at += 1
+        return min(at, n)
+
+    while a < n:
+        b = after(a + limit - 1)
+        end, more = b, 0
+        while end < n and more < points:
+            end, more = after(end), more + 1
+        yield data[a:end], np.array([0, end - a]), more, end == n
+        a = b

@@ -21,8 +21,6 @@ of corpus. The ids of the target are a broadcast of at most ``max_target_docs``
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,13 +47,7 @@ _SYMBOL[list(SYMBOLS.encode())] = True
 
 def gram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each 4-gram of code points, and the first gram of each document (one entry more)."""
-    lengths = c.per_doc((data & 0xC0) != 0x80, offs)
-    try:
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    except UnicodeDecodeError:
-        each = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        lengths = np.array([len(x) for x in each], np.int64)
-        points = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32)
+    points, lengths = c.decoded(data, offs)
     ends = np.cumsum(lengths)
     n = len(points) - 3
     grams = np.maximum(lengths - 3, 0)
@@ -70,16 +62,50 @@ def gram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return bucket[keep].astype(np.int64), firsts
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words in windows of five that stand twice or more in the text."""
-    windows = list(zip(*(words[k:] for k in range(WINDOW)), strict=False))
-    times = Counter(windows)
-    covered, last = 0, 0
-    for k, w in enumerate(windows):
-        if times[w] > 1:
-            covered += k + WINDOW - max(last, k)
-            last = k + WINDOW
-    return covered
+def _equal_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows of WINDOW words at a and at b are the same words, byte by byte."""
+    out = np.ones(len(a), bool)
+    for k in range(WINDOW):
+        size = ends[a + k] - starts[a + k]
+        out &= size == ends[b + k] - starts[b + k]
+        at = np.flatnonzero(out)
+        for lot in np.array_split(at, 1 + int(size[at].sum()) // c.BLOCK) if len(at) else ():
+            many = size[lot]
+            ramp = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            same = data[np.repeat(starts[a[lot] + k], many) + ramp] == data[np.repeat(starts[b[lot] + k], many) + ramp]
+            out[lot] = np.logical_and.reduceat(same, np.cumsum(many) - many)
+    return out
+
+
+def _repeated(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Words of each document in windows of WINDOW words that stand twice or more in it."""
+    m = len(starts) - WINDOW + 1
+    if m <= 0:
+        return np.zeros(n, np.int64)
+    word = c.word_hashes(data, starts, ends)
+    key = doc[:m].astype(c.U64)
+    for k in range(WINDOW):
+        key = c.mix(key * c.U64(c.BASES[0]) + word[k : m + k])
+    at = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
+    at = at[np.argsort(key[at], kind="stable")]
+    same = key[at][1:] == key[at][:-1]
+    twice = np.zeros(len(starts) + 1, np.int64)  # +1 where a repeated window begins, -1 after its end
+    pair = np.flatnonzero(same)
+    equal = _equal_windows(data, starts, ends, at[pair], at[pair + 1])
+    clash = np.unique(key[at[pair[~equal]]])
+    good = pair[equal & ~np.isin(key[at[pair]], clash)]
+    hit = np.unique(np.concatenate([at[good], at[good + 1], *(_exactly(data, starts, ends, at[key[at] == x]) for x in clash)]))
+    np.add.at(twice, hit, 1)
+    np.add.at(twice, hit + WINDOW, -1)
+    return np.bincount(doc[np.cumsum(twice[:-1]) > 0], minlength=n)
+
+
+def _exactly(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of windows with one hash, whose contents differ, those that stand twice or more."""
+    found: dict[tuple, list[int]] = {}
+    for i in at.tolist():
+        found.setdefault(tuple(data[a:b].tobytes() for a, b in zip(starts[i : i + WINDOW], ends[i : i + WINDOW], strict=True)), []).append(i)
+    return np.array([i for x in found.values() if len(x) > 1 for i in x], np.int64)
 
 
 def surface(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -91,22 +117,11 @@ def surface(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "word_chars": c.per_doc(~c.IS_SPACE[data] & ((data & 0xC0) != 0x80), offs),
         "n_symbols": c.per_doc(_SYMBOL[data], offs),
         "n_dup_lines": np.zeros(n, np.int64),
-        "n_repeat_words": np.zeros(n, np.int64),
+        "n_repeat_words": _repeated(data, starts, ends, doc, n),
     }
     for i in range(n):
         lines = [x for x in data[offs[i] : offs[i + 1]].tobytes().split(b"\n") if x.strip()]
         out["n_dup_lines"][i] = len(lines) - len(set(lines))
-    m = len(starts) - WINDOW + 1
-    if m > 0:
-        word = c.hash_between(c.prefix_hash(data), starts, ends)
-        key = doc[:m].astype(c.U64)
-        for k in range(WINDOW):
-            key = c.mix(key * c.U64(c.BASE) + word[k : m + k])
-        at = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
-        at = at[np.argsort(key[at])]
-        same = key[at][1:] == key[at][:-1]
-        for i in np.unique(doc[at[1:][same]]):  # equal hashes only say where to count exactly
-            out["n_repeat_words"][i] = repeat_words(data[offs[i] : offs[i + 1]].tobytes().split())
     return out
 
 
@@ -116,10 +131,11 @@ def _count(batches):
     for batch in batches:
         is_target = np.array(batch.column(1).fill_null(False), bool)
         for first, last, data, offs in c.text_blocks(batch.column(0)):
-            bucket, firsts = gram_buckets(data, offs)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            for i in np.flatnonzero(is_target[first:last]):
-                target += np.bincount(bucket[firsts[i] : firsts[i + 1]], minlength=BUCKETS)
+            for part, at, _, _ in c.overlapping(data, offs, 3):
+                bucket, firsts = gram_buckets(part, at)
+                raw += np.bincount(bucket, minlength=BUCKETS)
+                for i in np.flatnonzero(is_target[first:last]):
+                    target += np.bincount(bucket[firsts[i] : firsts[i + 1]], minlength=BUCKETS)
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
 
@@ -152,10 +168,14 @@ def _scorer(ratios: np.ndarray, threshold: float):
             for _, _, data, offs in c.text_blocks(batch.column(1)):
                 for k, v in surface(data, offs).items():
                     found[k].append(v)
-                bucket, firsts = gram_buckets(data, offs)
-                total = np.concatenate([[0], np.cumsum(ratios[bucket])])
-                found["score"].append(total[firsts[1:]] - total[firsts[:-1]])
-                found["grams"].append(np.diff(firsts))
+                score, grams = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1, np.int64)
+                for part, at, _, _ in c.overlapping(data, offs, 3):
+                    bucket, firsts = gram_buckets(part, at)
+                    total = np.concatenate([[0], np.cumsum(ratios[bucket])])
+                    score += total[firsts[1:]] - total[firsts[:-1]]
+                    grams += np.diff(firsts)
+                found["score"].append(score)
+                found["grams"].append(grams)
             x = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
             failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
             kept = ~failed & (x["score"] >= limit * x["grams"])

@@ -41,6 +41,8 @@ from .graph import components
 BITS, MAX_BITS, SHINGLE, SEED = 64, 4, 4, 42
 #: First bit and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Shingles that are hashed at once.
+STEP = 1 << 14
 BUCKET = 1024
 #: Buckets up to this size are compared together, by the distance of their members' places.
 SMALL = 32
@@ -71,16 +73,17 @@ def fingerprints(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     first = np.searchsorted(doc, np.arange(n), "left")
     count = np.searchsorted(doc, np.arange(n), "right") - first
     digest = xxhash.xxh64_intdigest
-    begin, stop = new_starts.tolist(), (new_ends - 1).tolist()
     for i in np.flatnonzero(count):
         a, k = int(first[i]), int(count[i])
-        last = a + max(k - SHINGLE, 0)
+        end = a + max(k - SHINGLE, 0) + 1
         reach = min(SHINGLE, k) - 1
-        h = np.array([digest(text[begin[j] : stop[j + reach]], SEED) for j in range(a, last + 1)], np.uint64)
         ones = np.zeros(BITS, np.int64)
-        for p in range(0, len(h), 1 << 14):
-            ones += np.unpackbits(h[p : p + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+        for p in range(a, end, STEP):
+            q = min(p + STEP, end)
+            begin, stop = new_starts[p:q].tolist(), (new_ends[p + reach : q + reach] - 1).tolist()
+            h = np.array([digest(text[x:y], SEED) for x, y in zip(begin, stop, strict=True)], np.uint64)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > end - a, bitorder="little").view(np.uint64)[0]
     return out
 
 

@@ -33,7 +33,7 @@ from . import common as c
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 #: Places that one step takes, so that a very long document needs no more memory than its code points.
-STARTS = 1 << 20
+STARTS = 1 << 18
 MAX_PER_CLASS = 2000
 SMOOTH, MIN_DOCS, ERRORS, L2, STEPS = 0.5, 3, 3.0, 0.03, 400
 THRESHOLD = 0.7
@@ -43,15 +43,8 @@ _SPACES = np.array([9, 10, 11, 12, 13, 32, 0xA0, 0x2028, 0x2029, 0x3000], np.uin
 
 def _points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points with a blank before and after each document, and each point's document."""
-    texts = data.tobytes()
-    try:
-        whole = np.frombuffer(texts.decode().encode("utf-32-le"), np.uint32)
-        lengths = c.per_doc((data & 0xC0) != 0x80, offs)
-    except UnicodeDecodeError:
-        each = [texts[a:b].decode(errors="replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        whole = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32)
-        lengths = np.array([len(x) for x in each], np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths + 2)
+    whole, lengths = c.decoded(data, offs)
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 2)
     out = np.full(len(doc), 32, np.uint32)
     ends = np.cumsum(lengths + 2)
     inner = np.ones(len(doc), bool)
@@ -63,14 +56,22 @@ def _points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, doc
 
 
+def _steps(data: np.ndarray, offs: np.ndarray):
+    """Points and their documents, STARTS places at a time with what their n-grams reach; and how many of the places count."""
+    reach, begin = max(SIZES) - 1, True
+    for part, at, extra, ended in c.overlapping(data, offs, reach):
+        points, doc = _points(part, at)
+        # Only the document's own beginning and end have a blank.
+        inner = slice(None if begin else 1, None if ended else -1)
+        points, doc, begin = points[inner], doc[inner], False
+        own = len(points) - (extra + ended if extra else 0)
+        for a in range(0, own, STARTS):
+            yield points[a : a + STARTS + reach], doc[a : a + STARTS + reach], min(STARTS, own - a)
+
+
 def features(data: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, bucket) pairs, sorted, and the log of one more than their times; wanted: a mask of the buckets that count."""
-    points, doc = _points(data, offs)
-    blank = points == 32
-    parts = []
-    for a in range(0, len(points), STARTS):
-        reach = slice(a, a + STARTS + max(SIZES) - 1)
-        parts.append(_grams(points[reach], doc[reach], blank[reach], wanted))
+    parts = [_grams(points, doc, points == 32, wanted, own) for points, doc, own in _steps(data, offs)]
     if len(parts) == 1:
         pairs, times = parts[0]
     else:
@@ -79,8 +80,8 @@ def features(data: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = Non
     return pairs // BUCKETS, pairs % BUCKETS, np.log1p(times)
 
 
-def _grams(points: np.ndarray, doc: np.ndarray, blank: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct document * BUCKETS + bucket of the n-grams from the first STARTS points, and their times."""
+def _grams(points: np.ndarray, doc: np.ndarray, blank: np.ndarray, wanted: np.ndarray | None, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct document * BUCKETS + bucket of the n-grams from the first `starts` points, and their times."""
     n = len(points)
     blanks = np.zeros(n + 1, np.int32)
     np.cumsum(blank, out=blanks[1:])
@@ -97,7 +98,7 @@ def _grams(points: np.ndarray, doc: np.ndarray, blank: np.ndarray, wanted: np.nd
             continue
         # No blank inside; the first and last may be blanks, which also keeps documents apart.
         at = np.flatnonzero((blanks[size - 1 : size - 1 + m] == blanks[1 : m + 1]) & (doc[:m] == doc[size - 1 : size - 1 + m]))
-        at = at[: np.searchsorted(at, STARTS)]
+        at = at[: np.searchsorted(at, starts)]
         bucket = ((h[at] ^ h[at] >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> np.uint64(44)).astype(np.int64)
         if wanted is not None:
             hit = wanted[bucket]
