@@ -1,19 +1,19 @@
-"""Suffix arrays by induced sorting, in whole-array numpy steps.
-
-Suffixes are classified as smaller (S) or larger (L) than their successor. Leftmost
-S suffixes are sorted by the substrings between them, which are named; where names repeat, pairs, fours,
-eights ... of consecutive names are named in turn until all differ. From the sorted leftmost S
-suffixes, L suffixes are induced bucket by bucket from the left, then S suffixes from the right.
-A bucket is induced in waves: entries that put new ones into the same bucket are
-followed by these, in order, as in a scan one by one.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
+
+Suffixes are classified as smaller (S) or larger (L) than their successor. A first induction sorts the substrings
+between leftmost S suffixes; they are named in that order, equal ones (compared byte by byte) alike. Where names repeat, the
+string of names is sorted by the same method, recursively. From the sorted leftmost S
+suffixes, a second induction places all others: L suffixes bucket by bucket from the left, S suffixes from the right.
+
+Bytes are induced in whole-array steps: a bucket is read in waves, entries that put new ones into the same bucket being
+followed by these, in order, as in a scan one by one; a wave is dealt out by a radix sort of its 16-bit keys. Names, whose alphabet may be as large as
+their string, are induced one by one. Either way an induction reads each suffix once, so that the whole takes linear time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from . import common as c
-
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True for S suffixes; t ends with a sentinel that is its only smallest."""
@@ -95,6 +95,70 @@ def _push(now: np.ndarray, kinds: np.ndarray, wanted: np.ndarray, sa: np.ndarray
     ends += step * counts
 
 
+def _named(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the substrings from one leftmost S suffix to the next (both ends included), in text order; and how many names there are."""
+    place = np.empty(len(t), np.int64)
+    place[lms] = np.arange(len(lms))
+    sizes = (np.append(lms[1:], len(t) - 1) + 1 - lms)[place[order]]
+    # Neighbours in the sorted order that are as long as each other, compared place by place; the sentinel is nobody's equal.
+    pairs = np.flatnonzero(sizes[1:] == sizes[:-1])
+    new = np.ones(len(order), bool)
+    if len(pairs):
+        many = sizes[pairs]
+        firsts = np.cumsum(many) - many
+        ramp = np.arange(int(many.sum())) - np.repeat(firsts, many)
+        equal = t[np.repeat(order[pairs], many) + ramp] == t[np.repeat(order[pairs + 1], many) + ramp]
+        new[pairs + 1] = ~np.logical_and.reduceat(equal, firsts)
+    names = np.empty(len(order), np.int64)
+    names[place[order]] = np.cumsum(new) - 1
+    return names, int(new.sum())
+
+
+def _scan(t: list[int], small: list[bool], lms: list[int], size: int) -> list[int]:
+    """As _induce, one by one, for any alphabet."""
+    n = len(t)
+    starts = [0] * (size + 1)
+    for x in t:
+        starts[x + 1] += 1
+    for k in range(size):
+        starts[k + 1] += starts[k]
+    sa, tail = [-1] * n, starts[1:]
+    for x in reversed(lms):
+        k = t[x]
+        tail[k] -= 1
+        sa[tail[k]] = x
+    head = starts[:size]
+    for x in sa:
+        if x > 0 and not small[x - 1]:
+            k = t[x - 1]
+            sa[head[k]] = x - 1
+            head[k] += 1
+    tail = starts[1:]
+    for i in range(n - 1, -1, -1):
+        x = sa[i] - 1
+        if x >= 0 and small[x]:
+            k = t[x]
+            tail[k] -= 1
+            sa[tail[k]] = x
+    return sa
+
+
+def _sorted_names(names: np.ndarray, size: int) -> np.ndarray:
+    """The suffix array of a string of names, which ends with a sentinel (0, its only smallest)."""
+    if size == len(names):
+        out = np.empty(size, np.int64)
+        out[names] = np.arange(size)
+        return out
+    small = _types(names)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    t, kinds = names.tolist(), small.tolist()
+    is_lms = np.zeros(len(names), bool)
+    is_lms[lms] = True
+    sa = np.array(_scan(t, kinds, lms.tolist(), size))
+    inner, many = _named(names, lms, sa[is_lms[sa]])
+    return np.array(_scan(t, kinds, lms[_sorted_names(inner, many)].tolist(), size))
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of a byte string."""
     t = np.concatenate([text.astype(np.int64) + 1, [0]])
@@ -106,64 +170,39 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sa = _induce(t, small, lms, size)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    # Names: substrings from one leftmost S suffix to the next, both ends included.
-    place = np.empty(n, np.int64)
-    place[lms] = np.arange(len(lms))
-    after = np.append(lms[1:], n - 1) + 1
-    prefix = c.prefix_hash(np.append(text, 0).astype(np.uint8))
-    # The sentinel ends its own substring; its length tells it apart from a zero byte.
-    value = c.hash_between(prefix, lms, after)
-    k = place[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (value[k][1:] != value[k][:-1]) | ((after - lms)[k][1:] != (after - lms)[k][:-1]) | (after[k][1:] == n) | (after[k][:-1] == n)
-    rank = np.empty(len(lms), np.int64)
-    rank[k] = np.cumsum(new) - 1
-    step = 1
-    while rank.max() + 1 < len(lms):
-        following = np.zeros(len(lms), np.int64)
-        following[:-step] = rank[step:] + 1
-        key = rank * (len(lms) + 1) + following
-        by = np.argsort(key, kind="stable")
-        new = np.ones(len(by), np.int64)
-        new[1:] = key[by][1:] != key[by][:-1]
-        rank[by] = np.cumsum(new) - 1
-        step *= 2
-    sorted_lms = np.empty(len(lms), np.int64)
-    sorted_lms[rank] = lms
-    return _induce(t, small, sorted_lms, size)[1:]
+    names, many = _named(t, lms, sa[is_lms[sa]])
+    return _induce(t, small, lms[_sorted_names(names, many)], size)[1:]
+
+
+#: Places that one lane of common_prefixes goes through.
+LANE = 256
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Permuted common prefixes: of each suffix, by its place, with the one before it in sa, up to `most`.
 
-    sa may leave suffixes out.
-
-    Lengths are found by halving steps on prefix hashes; what reaches `most` is compared byte by byte.
+    In text order a prefix is at most one shorter than the one before, so that each comparison of two bytes either makes a
+    prefix longer or ends it: linear time. The text is cut into lanes of LANE places that take such steps side by side.
     """
     n = len(text)
-    out, before = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(before >= 0)
-    prev = before[at]
-    prefix, back = c.prefix_hash(text), c.powers(n + 1)[1]
-    got, step = np.zeros(len(at), np.int64), 1 << (most.bit_length() - 1)
-    room = n - np.maximum(at, prev)
-    while step:
-        a, b = at + got, prev + got
-        ok = got + step <= room
-        hi = np.where(ok, step, 0)
-        same = ok & ((prefix[a + hi] - prefix[a]) * back[a] == (prefix[b + hi] - prefix[b]) * back[b])
-        got += np.where(same, step, 0)
-        step >>= 1
-    got = np.minimum(got, most)
-    if n >= most:
-        windows = np.lib.stride_tricks.sliding_window_view(text, most)
-        full = np.flatnonzero(got == most)
-        for i in range(0, len(full), 4096):
-            x = full[i : i + 4096]
-            differ = windows[at[x]] != windows[prev[x]]
-            wrong = differ.any(axis=1)
-            got[x[wrong]] = differ[wrong].argmax(axis=1)
-    out[at] = got
+    padded = np.concatenate([text, np.zeros(most, np.uint8)])
+    at = np.arange(0, n, LANE)
+    stop = np.minimum(at + LANE, n)
+    got = np.zeros(len(at), np.int64)
+    while len(at):
+        prev = before[at]
+        more = (prev >= 0) & (got < most) & (np.maximum(at, prev) + got < n)
+        more &= padded[at + got] == padded[prev + got]
+        out[at] = got  # stands once the lane goes on to the next place
+        got += np.where(more, 1, -np.minimum(got, 1))
+        at = at + ~more
+        if (ended := at == stop).any():
+            on = ~ended
+            at, stop, got = at[on], stop[on], got[on]
+    out[sa[0]] = 0
     return out

@@ -6,24 +6,30 @@ The corpus is cut into shards so that equal strings always meet, and suffix arra
 1. Anchors. A string of LENGTH bytes holds LENGTH - GRAM + 1 grams of GRAM bytes; the one with the smallest hash is its
    anchor, which depends on the string alone. Consecutive starts with one anchor form a piece; its region is what their
    strings cover. Equal strings have equal anchors, so only pieces whose gram stands twice or more matter.
-2. Copies. Pieces of one gram whose regions are all equal (by hash) repeat as a whole. Of the other grams, regions
-   that stand twice or more repeat as a whole too, and one region of each kind goes on.
-3. Shards. The regions that go on meet by gram. Their suffix array and permuted common prefixes (up to LENGTH,
-   compared byte by byte) give the starts whose strings are equal. A gram with more than CROWD different regions (a common
-   passage amid ever new text) would make a hot shard. Its regions are cut into parts of STEP starts at a fixed distance from the
-   anchor, which meet by the bytes that all strings of such a part share; where parts differ, their strings are counted one by one, by
-   128-bit hashes. Both counts combine on the map side.
-4. Removal. Intervals are gathered by document and applied to its bytes.
-
-Strings are judged on the input, matches never cross documents, and overlaps of a string with itself count.
+2. Copies. Equal regions of a gram are one region that stands c times; if c > 1, all its strings are repeated. A gram with
+   one region is done with that.
+3. Shards. The other grams' regions meet by gram, one of each kind with its c. Their suffix array and permuted common
+   prefixes (up to LENGTH, byte by byte) give the starts whose strings are equal, and so how often each stands.
+4. More context. A gram with more than CROWD kinds of region (a common passage amid ever new text) would make a hot
+   shard. Its regions are cut into parts of STEP starts at a fixed distance from the anchor, which meet by gram, distance and the bytes that
+   all strings of such a part share. Parts go the way of regions: copies, then shards with suffix arrays. A part that is crowded
+   again differs in less than STEP bytes on either side; it is cut into its single strings, of which all that
+   meet are copies.
+5. Removal. Intervals are gathered by document and applied to its bytes.
+
+Grams meet by 64-bit hashes, which only decide what a shard holds. Copies are told by two independent 64-bit hashes; among
+10**13 regions two different ones would be taken for copies with a chance below 10**-12. Strings are judged on the
+input, matches never cross documents, and overlaps of a string with itself count.
 
 Defined cases. Null and empty texts have 0 bytes; texts shorter than LENGTH lose nothing. Rows that repeat a doc_id are
-documents of their own, so that a repeated row of LENGTH bytes or more is removed whole in each. An empty table gives no rows. Other
-columns pass through in ``_row`` if named in keep.
-
-Scale. Two scans make pieces (40 bytes for about 50 bytes of text); those of single grams end in the first aggregate. The text is
-shuffled once, to meet its intervals, and again for documents whose intervals wait for a shard (a few per cent). No task holds a
-gram's pieces: they are aggregated with a map-side combine, and the joins are plain equality joins, which adaptive execution splits.
+documents of their own, so that a repeated row of LENGTH bytes or more is removed whole in each; equal rows share their intervals. An empty
+table gives no rows. Other columns pass through in ``_row`` if named in keep.
+
+Scale. Two scans make pieces (48 bytes for about 50 bytes of text); those of single grams end in the first aggregate. The text is
+shuffled once, to meet its intervals, and again for documents with a region for a shard (the first document of each
+kind has it). No task holds a gram's pieces: they are aggregated with a map-side combine, and the joins are plain equality
+joins, which adaptive execution splits. Kernels take and give slices of about a quarter of a megabyte of text as columns; a very long document
+costs a few bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -40,15 +46,17 @@ from . import common as c
 from .sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 100
+#: Kinds of region above which a gram is cut by more context.
 CROWD = 1024
 #: Starts in a part of a crowded region: about the square root of the starts of an anchor.
 STEP = 10
 #: Bytes of regions that one suffix array takes; a shard ends with a gram.
 SHARD = 1 << 19
-_AT = 24  # bits of a place in a block
-_SECOND = c.mix(np.arange(301, 557, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+#: Bytes of regions in a batch that a task returns.
+OUT = 1 << 20
+_AT = 20  # bits of a place in a block
 
-MARK = "struct<k:bigint,c:int,s:int,n:int,hot:boolean>"
+_MARK = "struct<k:bigint,c:bigint,s:int,n:int,hot:boolean>"
 
 
 def _order(prefix: np.ndarray) -> np.ndarray:
@@ -62,18 +70,18 @@ def _order(prefix: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document, first start, starts, gram hash and region hash of each piece."""
+    """Document, first start, starts, gram hash and the two region hashes of each piece."""
     n, span = len(data), LENGTH - GRAM + 1
-    if n > 1 << _AT:  # one very long document: in overlapping segments, each start in one of them
+    if n > 1 << _AT:  # one long document: in overlapping segments, each start in one of them
         step, out = 1 << (_AT - 1), []
         for a in range(0, n - LENGTH + 1, step):
             part = data[a : a + step + LENGTH - 1]
-            doc, s, m, k, r = anchors(part, np.array([0, len(part)]))
-            out.append((doc, s + a, m, k, r))
+            doc, s, *rest = anchors(part, np.array([0, len(part)]))
+            out.append((doc, s + a, *rest))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
     counts = np.maximum(np.diff(offs) - LENGTH + 1, 0)
     if not counts.sum():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     prefix = c.prefix_hash(data)
     low = _order(prefix)
     width = 1
@@ -90,170 +98,254 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(first)
     many = np.diff(np.append(at, len(doc)))
     s, a = starts[at], anchor[at]
-    return doc[at], s - offs[doc[at]], many, c.hash_between(prefix, a, a + GRAM), c.hash_between(prefix, s, s + many - 1 + LENGTH)
+    end = s + many - 1 + LENGTH
+    return doc[at], s - offs[doc[at]], many, c.hash_between(prefix, a, a + GRAM), c.hash_between(prefix, s, end), c.hash_between(c.prefix_hash(data, 1), s, end, 1)
 
 
 def anchor_of(region: np.ndarray) -> int:
     """Place of the anchor in a piece's region: the smallest gram, the first of equal ones."""
-    prefix = c.prefix_hash(region)
-    return int(_order(prefix).argmin())
+    return int(_order(c.prefix_hash(region)).argmin())
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
 def _pieces(batches):
     for batch in batches:
         doc_id, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, _, data, offs in c.text_blocks(batch.column(2)):
-            doc, s, n, k, r = anchors(data, offs)
-            columns = [doc_id[first + doc], key[first + doc], k.view(np.int64), r.view(np.int64), s.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "key", "k", "r", "s", "n"])
-
-
-def _second_hash(data: np.ndarray, s: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Another hash of data[s:s+length], independent of the first."""
-    out = np.zeros(len(s), np.uint64)
-    for j in range(length):
-        out = (out ^ _SECOND[data[s + j]]) * np.uint64(0x100000001B3)
-        out ^= out >> np.uint64(31)
+            doc, s, n, k, r, q = anchors(data, offs)
+            yield _batch({"doc": doc_id[first + doc], "key": key[first + doc], "k": k.view(np.int64), "r": r.view(np.int64), "q": q.view(np.int64), "s": s.astype(np.int32), "n": n.astype(np.int32)})
+
+
+def _bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of data[start : start + size]."""
+    offs = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offs[1:])
+    at = np.arange(offs[-1]) + np.repeat(starts - offs[:-1], sizes)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(data[at])]).cast(pa.binary())
+
+
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary or string column."""
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64, count=len(column) + 1, offset=8 * column.offset)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _lots(sizes: np.ndarray, limit: int = OUT):
+    """Runs (first, last) of rows whose sizes add up to about the limit."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield first, last
+        first = last
+
+
+def _fields(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """Row of each element of a column of lists of structs, and the named fields of the elements."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    row = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    inner = column.flatten()
+    return np.repeat(np.arange(len(column)), row), *(inner.field(k).to_numpy(zero_copy_only=False) for k in names)
+
+
+def _removal(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
+    """Columns of what each document loses; start and end are places in it."""
+    order = np.lexsort((start, doc))
+    doc, first, stop = doc[order], (offs[doc] + start)[order], np.maximum.accumulate((offs[doc] + end)[order])
+    new = np.ones(len(doc), bool)
+    new[1:] = (first[1:] > stop[:-1]) | (doc[1:] != doc[:-1])
+    at, n = np.flatnonzero(new), len(offs) - 1
+    own, first, stop = doc[at], first[at], stop[np.append(at[1:], len(doc)) - 1] if len(at) else at
+    spans, sha, k = np.bincount(own, minlength=n), [], 0
+    for a, b, many in zip(offs[:-1].tolist(), offs[1:].tolist(), spans.tolist(), strict=True):
+        digest = hashlib.sha256()
+        for x, y in zip(first[k : k + many].tolist(), stop[k : k + many].tolist(), strict=True):
+            digest.update(data[a:x])
+            a = y
+        digest.update(data[a:b])
+        sha.append(digest.hexdigest())
+        k += many
+    runs = pa.StructArray.from_arrays([pa.array(first - offs[own]), pa.array(stop - offs[own])], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]).astype(np.int32)), runs)
+    removed = np.bincount(own, stop - first, minlength=n).astype(np.int64)
+    return {"n_bytes": np.diff(offs), "n_removed": removed, "n_spans": spans, "kept_sha256": pa.array(sha, pa.string()), "spans": lists}
+
+
+_SPAN = "array<struct<start:bigint,end:bigint>>"
+_RESULT = f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {_SPAN}"
+#: Rows of one table: documents that are done (0), documents that wait for a shard (1), and regions (2) or parts (3) for it.
+_APPLIED = f"kind int, doc long, key long, {_RESULT}, text binary, sure {_SPAN}, k long, g long, r long, q long, c long, s int, n int, bytes binary"
+
+
+def _parts(text: np.ndarray, s: int, n: int, weight: int) -> list[tuple]:
+    """The parts of a crowded region: hashes of what their strings share (k, g) and of their own bytes (r, q), c, s and n."""
+    region = text[s : s + n - 1 + LENGTH]
+    anchor = anchor_of(region)
+    prefix = c.prefix_hash(region), c.prefix_hash(region, 1)
+    out, starts = [], np.arange(n)
+    for lot in np.split(starts, np.flatnonzero(np.diff((anchor - starts) // STEP)) + 1):
+        # Bytes in all strings that start at this part's distances from the anchor, whichever of them this region has.
+        far = int((anchor - lot[0]) // STEP) * STEP
+        a, b = anchor - far, anchor - far - STEP + 1 + LENGTH
+        k, g = (int(c.hash_between(p, np.array([a]), np.array([b]), i).view(np.int64)[0]) for i, p in enumerate(prefix))
+        r, q = (int(c.hash_between(p, lot[:1], lot[-1:] + LENGTH, i).view(np.int64)[0]) for i, p in enumerate(prefix))
+        out.append((k, g ^ far, r, q, weight, s + int(lot[0]), len(lot)))
     return out
 
 
-def _removal(data: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, str, list[dict]]:
-    """Bytes removed, hash of what stays, and the maximal spans."""
-    gone = np.zeros(len(data) + 2, bool)
-    for a, b in spans:
-        gone[a + 1 : b + 1] = True
-    edges = np.flatnonzero(gone[1:] != gone[:-1])
-    runs = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    kept = data[~gone[1:-1]] if runs else data
-    return int(gone.sum()), hashlib.sha256(kept.tobytes()).hexdigest(), runs
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, t) for k, t in fields.items()])
-
-
-_LONG, _INT = T.LongType(), T.IntegerType()
-_SPANS = T.ArrayType(_struct(start=_LONG, end=_LONG))
-_RESULT = _struct(n_bytes=_LONG, n_removed=_LONG, n_spans=_LONG, kept_sha256=T.StringType(), spans=_SPANS)
-_WAITING = _struct(
-    done=T.BooleanType(),
-    text=T.StringType(),
-    sure=_SPANS,
-    regions=T.ArrayType(_struct(k=_LONG, c=_INT, s=_INT, n=_INT, bytes=T.BinaryType())),
-    parts=T.ArrayType(_struct(h=_LONG, g=_LONG, r=_LONG, c=_INT, s=_INT, n=_INT, strings=T.ArrayType(_struct(h=_LONG, g=_LONG, s=_INT)))),
-)
-
-
-def _arrow_type(t: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(t)
-
-
-def _result(data: np.ndarray, spans) -> dict:
-    removed, sha, runs = _removal(data, spans)
-    return {"n_bytes": len(data), "n_removed": removed, "n_spans": len(runs), "kept_sha256": sha, "spans": runs}
-
-
-def _columns(rows: list[dict], schema: T.StructType) -> list[pa.Array]:
-    return [pa.array([r.get(f.name) for r in rows], _arrow_type(f.dataType)) for f in schema]
-
-
-def _parts(text: np.ndarray, marks: list[dict]) -> list[dict]:
-    """The parts of crowded regions: the hashes of what their strings share (h, g) and of their region (r), and their strings."""
-    if not marks:
-        return []
-    prefix, out = c.prefix_hash(text), []
-    for m in marks:
-        anchor = m["s"] + anchor_of(text[m["s"] : m["s"] + m["n"] - 1 + LENGTH])
-        s = np.arange(m["s"], m["s"] + m["n"])
-        h, g = c.hash_between(prefix, s, s + LENGTH).view(np.int64).tolist(), _second_hash(text, s).view(np.int64).tolist()
-        for lot in np.split(s, np.flatnonzero(np.diff((anchor - s) // STEP)) + 1):
-            # Bytes in all strings that start at this part's distances from the anchor, whichever of them this region has.
-            far = int((anchor - lot[0]) // STEP) * STEP
-            a, b = np.array([anchor - far]), np.array([anchor - far - STEP + 1 + LENGTH])
-            own = slice(int(lot[0] - s[0]), int(lot[-1] - s[0]) + 1)
-            strings = [{"h": x, "g": y, "s": z} for x, y, z in zip(h[own], g[own], lot.tolist(), strict=True)]
-            region = c.hash_between(prefix, lot[:1], lot[-1:] + LENGTH)
-            out.append({"h": int(c.hash_between(prefix, a, b).view(np.int64)[0]), "g": int(_second_hash(text, a, LENGTH - STEP + 1).view(np.int64)[0]) ^ far, "r": int(region.view(np.int64)[0]), "c": m["c"], "s": int(lot[0]), "n": len(lot), "strings": strings})
-    return out
-
-
-def _apply(batches):
-    """Documents without regions to shard are done; the others wait, with their regions. One batch out per block of text."""
-    for batch in batches:
-        x = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-        for first, last, data, offs in c.text_blocks(x["text"]):
-            own, rows = {k: v.slice(first, last - first) for k, v in x.items()}, []
-            for i, marks in enumerate(own["marks"]):
-                text, marks = data[offs[i] : offs[i + 1]], marks.as_py() or []
-                sure = [(m["s"], m["s"] + m["n"] - 1 + LENGTH) for m in marks if m["c"] == 0]
-                asked = [m for m in marks if m["c"]]
-                if not asked:
-                    rows.append(_result(text, sure) | {"done": True})
+def _apply(schema: pa.Schema):
+    """Documents without regions to shard are done; the others wait, and their regions and parts go out as rows of their own."""
+
+    def rows(n: int, /, **columns) -> pa.RecordBatch:
+        full = [pa.nulls(n, f.type) if f.name not in columns else (x if isinstance(x := columns[f.name], pa.Array) else pa.array(x)).cast(f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(full, schema=schema)
+
+    def kernel(batches):
+        for batch in batches:
+            x = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+            for first, last, data, offs in c.text_blocks(x["text"]):
+                own = {k: v.slice(first, last - first) for k, v in x.items()}
+                at, k, weight, s, n, hot = _fields(own["marks"], ("k", "c", "s", "n", "hot"))
+                asked = weight > 0
+                wait = np.zeros(last - first, bool)
+                wait[at[asked]] = True
+                end = s.astype(np.int64) + n - 1 + LENGTH
+                done = np.flatnonzero(~wait)
+                sure = ~asked & ~wait[at]
+                found = _removal(data, offs, at[sure], s[sure], end[sure])
+                ids = {"_row": own["_row"], "doc": own["doc"], "key": own["key"]}
+                yield rows(len(done), kind=np.zeros(len(done)), **{k: v.take(pa.array(done)) for k, v in ids.items()}, **{k: (v if isinstance(v, pa.Array) else pa.array(v)).take(pa.array(done)) for k, v in found.items()})
+                if not asked.any():
                     continue
-                regions = [{k: m[k] for k in ("k", "c", "s", "n")} | {"bytes": text[m["s"] : m["s"] + m["n"] - 1 + LENGTH].tobytes()} for m in asked if not m["hot"]]
-                parts = _parts(text, [m for m in asked if m["hot"]])
-                rows.append({"done": False, "text": text.tobytes().decode(errors="replace"), "sure": [{"start": a, "end": b} for a, b in sure], "regions": regions, "parts": parts})
-            columns = _columns(rows, _WAITING) + _columns(rows, _RESULT)
-            yield pa.RecordBatch.from_arrays([own["_row"], own["doc"], own["key"], *columns], ["_row", "doc", "key", *_WAITING.names, *_RESULT.names])
-
-
-def shard(regions: list[bytes], starts: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
-    """Of each region's first starts, which are starts of a string that stands twice or more."""
-    sizes = np.array([len(x) for x in regions])
-    base = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"".join(regions), np.uint8)
-    at = [np.arange(b, b + m) for b, m in zip(base, starts, strict=True)]
-    asked = np.zeros(len(text), bool)
-    asked[np.concatenate(at)] = True
-    sa = suffix_array(text)
-    sa = sa[asked[sa]]  # equal strings stand together, whatever is left out between them
-    equal = common_prefixes(text, sa, LENGTH)[sa] >= LENGTH
-    kind = np.empty(len(text), np.int64)
-    kind[sa] = np.cumsum(~equal)
-    total = np.bincount(kind[np.concatenate(at)], np.repeat(times, starts))
-    return [total[kind[x]] > 1 for x in at]
+                waiting = np.flatnonzero(wait)
+                keep = np.flatnonzero(~asked & wait[at])
+                keep = keep[np.argsort(at[keep], kind="stable")]
+                held = pa.StructArray.from_arrays([pa.array(s[keep].astype(np.int64)), pa.array(end[keep])], ["start", "end"])
+                counts = np.bincount(at[keep], minlength=len(wait))[waiting]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), held)
+                text = _bytes(data, offs[waiting], np.diff(offs)[waiting])
+                yield rows(len(waiting), kind=np.ones(len(waiting)), **{k: v.take(pa.array(waiting)) for k, v in ids.items()}, text=text, sure=lists)
+                doc, key = own["doc"].to_numpy(), own["key"].to_numpy()
+                plain = np.flatnonzero(asked & ~hot.astype(bool))
+                for a, b in _lots((end - s)[plain]):
+                    p = plain[a:b]
+                    yield rows(len(p), kind=np.full(len(p), 2), doc=doc[at[p]], key=key[at[p]], k=k[p], c=weight[p], s=s[p], n=n[p], bytes=_bytes(data, offs[at[p]] + s[p], (end - s)[p]))
+                crowded = np.flatnonzero(asked & hot.astype(bool))
+                for a in range(0, len(crowded), 256):
+                    cut = [(j, *part) for j in crowded[a : a + 256] for part in _parts(data[offs[at[j]] : offs[at[j] + 1]], int(s[j]), int(n[j]), int(weight[j]))]
+                    j, pk, pg, pr, pq, pc, ps, pn = (np.array(v, np.int64) for v in zip(*cut, strict=True))
+                    yield rows(len(j), kind=np.full(len(j), 3), doc=doc[at[j]], key=key[at[j]], k=pk, g=pg, r=pr, q=pq, c=pc, s=ps, n=pn, bytes=_bytes(data, offs[at[j]] + ps, pn - 1 + LENGTH))
+
+    return kernel
+
+
+def shard(data: np.ndarray, base: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Of regions that begin at base: which of their first `starts` places begin a string that stands twice or more, one after another."""
+    at = np.arange(int(starts.sum())) + np.repeat(base - (np.cumsum(starts) - starts), starts)
+    sa = suffix_array(data)
+    kind = np.empty(len(data), np.int64)
+    kind[sa] = np.cumsum(common_prefixes(data, sa, LENGTH)[sa] < LENGTH)  # equal strings stand together
+    kind = kind[at]
+    return np.bincount(kind, np.repeat(times, starts))[kind] > 1
 
 
 def _suffix(batches):
-    """Regions sorted by gram, to runs of repeated starts."""
-    held: list[dict] = []
-    size = 0
+    """Regions sorted by k (and g), to runs of repeated starts; one suffix array for about SHARD bytes."""
+    names = ("k", "g", "c", "s", "n", "doc", "key")
+    held: list[tuple[dict, np.ndarray, np.ndarray]] = []
 
-    def flush():
-        found = shard([x["bytes"] for x in held], np.array([x["n"] for x in held]), np.array([x["c"] for x in held]))
-        out = [[], [], [], []]
-        for x, hit in zip(held, found, strict=True):
-            if x["c"] > 1:  # such regions are removed already
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for column, v in zip(out, (x["doc"], x["key"], x["s"] + a, b - a), strict=True):
-                    column.append(v)
+    def flush() -> pa.RecordBatch:
+        x = {k: np.concatenate([h[0][k] for h in held]) for k in names}
+        sizes, data = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "key", "s", "n"])
+        starts = x["n"].astype(np.int64)
+        hit = shard(data, np.cumsum(sizes) - sizes, starts, x["c"])
+        row = np.repeat(np.arange(len(starts)), starts)
+        hit &= x["c"][row] == 1  # copies are removed already
+        place = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+        new, last = hit.copy(), hit.copy()
+        new[1:] &= ~hit[:-1] | (place[1:] == 0)
+        last[:-1] &= ~hit[1:] | (place[1:] == 0)
+        a, b = np.flatnonzero(new), np.flatnonzero(last)
+        return _batch({"doc": x["doc"][row[a]], "key": x["key"][row[a]], "s": (x["s"][row[a]] + place[a]).astype(np.int32), "n": (b - a + 1).astype(np.int32)})
 
+    size = 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if size > SHARD and row["k"] != held[-1]["k"]:
+        if not batch.num_rows:
+            continue
+        x = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
+        data, offs = _raw(batch.column(len(names)))
+        sizes, at = np.diff(offs), 0
+        new = np.ones(len(sizes), bool)
+        new[1:] = (x["k"][1:] != x["k"][:-1]) | (x["g"][1:] != x["g"][:-1])
+        if held:
+            new[0] = held[-1][0]["k"][-1] != x["k"][0] or held[-1][0]["g"][-1] != x["g"][0]
+        for cut in np.flatnonzero(new).tolist():
+            if held and size + offs[cut] - offs[at] > SHARD:
+                if cut > at:
+                    held.append(({k: v[at:cut] for k, v in x.items()}, sizes[at:cut], data[offs[at] : offs[cut]]))
+                yield flush()
+                at, size = cut, 0
+            elif offs[cut] - offs[at] > SHARD:
+                held.append(({k: v[at:cut] for k, v in x.items()}, sizes[at:cut], data[offs[at] : offs[cut]]))
                 yield flush()
-                size = 0
-            held.append(row)
-            size += len(row["bytes"])
+                at, size = cut, 0
+        if at < len(sizes):
+            held.append(({k: v[at:] for k, v in x.items()}, sizes[at:], data[offs[at] :]))
+            size += int(offs[-1] - offs[at])
     if held:
         yield flush()
 
 
+def _strings(batches):
+    """Parts to their single strings, with both hashes."""
+    for batch in batches:
+        doc, key, weight, s, n = (batch.column(i).to_numpy() for i in range(5))
+        data, offs = _raw(batch.column(5))
+        for a, b in _lots(np.diff(offs), c.SEGMENT // 2):
+            part, starts = data[offs[a] : offs[b]], n[a:b].astype(np.int64)
+            row = np.repeat(np.arange(a, b), starts)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+            at = offs[row] - offs[a] + place
+            h, g = (c.hash_between(c.prefix_hash(part, i), at, at + LENGTH, i).view(np.int64) for i in (0, 1))
+            yield _batch({"h": h, "g": g, "doc": doc[row], "key": key[row], "c": weight[row], "s": (s[row] + place).astype(np.int32)})
+
+
 def _finish(batches):
     for batch in batches:
         x = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
         for first, last, data, offs in c.text_blocks(x["text"]):
-            own, rows = {k: v.slice(first, last - first) for k, v in x.items()}, []
-            for i, (sure, found) in enumerate(zip(own["sure"].to_pylist(), own["found"].to_pylist(), strict=True)):
-                spans = [(m["start"], m["end"]) for m in sure or ()] + [(m["s"], m["s"] + m["n"] - 1 + LENGTH) for m in found or ()]
-                rows.append(_result(data[offs[i] : offs[i + 1]], spans))
-            yield pa.RecordBatch.from_arrays([own["_row"], *_columns(rows, _RESULT)], ["_row", *_RESULT.names])
+            own = {k: v.slice(first, last - first) for k, v in x.items()}
+            at, start, end = _fields(own["sure"], ("start", "end"))
+            more, s, n = _fields(own["found"], ("s", "n"))
+            found = _removal(data, offs, np.concatenate([at, more]), np.concatenate([start, s]).astype(np.int64), np.concatenate([end, s.astype(np.int64) + n - 1 + LENGTH]).astype(np.int64))
+            yield _batch({"_row": own["_row"], **found})
+
+
+def _repeats(parts: DataFrame) -> DataFrame:
+    """doc, key, s and n of the repeated starts of parts (k, g, r, q, c, doc, key, s, n, bytes): see the module's steps 2 to 4."""
+    kinds = c.written(parts.groupBy("k", "g", "r", "q").agg(F.sum("c").alias("c"), F.min(F.struct("doc", "key", "s", "n")).alias("one")), "part-kinds")
+    many = kinds.groupBy("k", "g").agg(F.sum("c").alias("m"), F.count("*").alias("kinds")).where("m > 1")
+    info = c.written(kinds.join(many, ["k", "g"]).select("k", "g", "r", "q", F.col("c").alias("total"), "one", "kinds"), "part-info")
+    key = ["k", "g", "r", "q"]
+    # Copies: all strings of every member. Members of regions that are copies as a whole (c > 1) are removed already.
+    sure = parts.where("c = 1").join(info.where("total > 1").select(*key), key).select("doc", "key", "s", "n")
+    one = parts.join(info.where("kinds > 1").select(*key, "total", "one", "kinds"), key).where(F.struct("doc", "key", "s", "n") == F.col("one"))
+    # A part's c is what its kind stands for; that of a lone member of a copied region must not come out of the shard either.
+    one = c.written(one.select("k", "g", F.col("total").alias("c"), "s", "n", "doc", "key", "bytes", "kinds"), "part-shards")
+    meet = one.where(F.col("kinds") <= CROWD).select("k", "g", "c", "s", "n", "doc", "key", "bytes")
+    found = c.in_arrow(meet.repartition("k", "g").sortWithinPartitions("k", "g"), _suffix, "doc long, key long, s int, n int")
+    strings = c.in_arrow(one.where(F.col("kinds") > CROWD).select("doc", "key", "c", "s", "n", "bytes"), _strings, "h long, g long, doc long, key long, c long, s int")
+    strings = c.written(strings, "strings")
+    twice = strings.groupBy("h", "g").agg(F.sum("c").alias("m")).where("m > 1").select("h", "g")
+    single = strings.where("c = 1").join(twice, ["h", "g"]).select("doc", "key", "s", F.lit(1).alias("n"))
+    return sure.union(found).union(single)
 
 
 def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -261,35 +353,24 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> D
     row = F.struct(*(F.col(f"`{k}`") for k in keep)).alias("_row")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc")
     base = docs.select(row, doc, F.xxhash64(F.col("doc_id").isNull(), "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = c.in_arrow(base.select("doc", "key", "text"), _pieces, "doc long, key long, k long, r long, s int, n int")
-    repeated = pieces.groupBy("k").agg(F.count("*").alias("m"), F.min("r").alias("low"), F.max("r").alias("high")).where("m > 1")
-    repeated = c.written(repeated.select("k", (F.col("low") == F.col("high")).alias("same")), "grams")
-    shared = c.written(pieces.join(repeated, "k"), "pieces")
-    mixed = shared.where("NOT same")
-    kinds = c.written(mixed.groupBy("k", "r").agg(F.count("*").cast("int").alias("c"), F.min(F.struct("doc", "key", "s", "n")).alias("one")), "regions")
-    crowds = c.written(kinds.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("k"), "crowds")
-    crowded = not crowds.isEmpty()
-    sure = shared.where("same").select("doc", "key", "s", "n")
-    sure = sure.union(mixed.join(kinds.where("c > 1").select("k", "r"), ["k", "r"]).select("doc", "key", "s", "n"))
-    asked = kinds.join(crowds.withColumn("hot", F.lit(True)), "k", "left") if crowded else kinds.withColumn("hot", F.lit(False))
-    asked = asked.select("one.doc", "one.key", F.struct("k", "c", "one.s", "one.n", F.coalesce("hot", F.lit(False)).alias("hot")).cast(MARK).alias("mark"))
-    sure = sure.select("doc", "key", F.struct(F.lit(0).alias("k"), F.lit(0).alias("c"), "s", "n", F.lit(False).alias("hot")).cast(MARK).alias("mark"))
-    marks = sure.union(asked).groupBy("doc", "key").agg(F.collect_list("mark").alias("marks"))
-    schema = T.StructType([*base.select("_row", "doc", "key").schema, *_WAITING.fields, *_RESULT.fields])
-    applied = c.written(c.in_arrow(base.join(marks, ["doc", "key"], "left").select("_row", "doc", "key", "text", "marks"), _apply, schema), "applied")
-    waiting = applied.where("NOT done")
-    regions = waiting.select("doc", "key", F.explode("regions").alias("x")).select("doc", "key", "x.k", "x.c", "x.s", "x.n", "x.bytes")
+    pieces = c.in_arrow(base.select("doc", "key", "text"), _pieces, "doc long, key long, k long, r long, q long, s int, n int")
+    grams = c.written(pieces.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"), "grams")
+    shared = c.written(pieces.join(grams, "k"), "pieces")
+    kinds = c.written(shared.groupBy("k", "r", "q").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "s", "n")).alias("one")), "regions")
+    several = kinds.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    sure = shared.join(kinds.where("c > 1").select("k", "r", "q"), ["k", "r", "q"]).select("doc", "key", F.struct(F.lit(0).alias("k"), F.lit(0).alias("c"), "s", "n", F.lit(False).alias("hot")).cast(_MARK).alias("mark"))
+    asked = c.written(kinds.join(several, "k").select("one.doc", "one.key", F.struct("k", "c", "one.s", "one.n", (F.col("kinds") > CROWD).alias("hot")).cast(_MARK).alias("mark")), "asked")
+    marks = sure.union(asked).groupBy("doc", "key").agg(F.collect_set("mark").alias("marks"))
+    schema = T.StructType([T.StructField("_row", base.schema["_row"].dataType), *T.StructType.fromDDL(_APPLIED).fields])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    applied = c.written(c.in_arrow(base.join(marks, ["doc", "key"], "left").select("_row", "doc", "key", "text", "marks"), _apply(to_arrow_schema(schema)), schema), "applied")
+    regions = applied.where("kind = 2").select("k", F.lit(0).cast("long").alias("g"), "c", "s", "n", "doc", "key", "bytes")
     found = c.in_arrow(regions.repartition("k").sortWithinPartitions("k"), _suffix, "doc long, key long, s int, n int")
-    if crowded:
-        parts = waiting.select("doc", "key", F.explode("parts").alias("x")).select("doc", "key", "x.*")
-        met = parts.groupBy("h", "g").agg(F.sum("c").alias("m"), F.min("r").alias("low"), F.max("r").alias("high")).where("m > 1")
-        met = c.written(met.select("h", "g", (F.col("low") == F.col("high")).alias("same")), "parts")
-        parts = parts.join(met, ["h", "g"])
-        strings = parts.where("NOT same").select("doc", "key", "c", F.explode("strings").alias("x")).select("doc", "key", "c", "x.*")
-        twice = c.written(strings.groupBy("h", "g").agg(F.sum("c").alias("m")).where("m > 1").select("h", "g"), "strings")
-        found = found.union(parts.where("same").select("doc", "key", "s", "n"))
-        found = found.union(strings.where("c = 1").join(twice, ["h", "g"]).select("doc", "key", "s", F.lit(1).alias("n")))
-    found = found.groupBy("doc", "key").agg(F.collect_list(F.struct("s", "n")).alias("found"))
-    rest = waiting.select("_row", "doc", "key", "text", "sure").join(found, ["doc", "key"], "left").select("_row", "text", "sure", "found")
-    late = c.in_arrow(rest, _finish, T.StructType([base.schema["_row"], *_RESULT.fields]))
-    return applied.where("done").select("_row", *_RESULT.names).union(late)
+    if not asked.where("mark.hot").isEmpty():
+        found = found.union(_repeats(applied.where("kind = 3").select("k", "g", "r", "q", "c", "doc", "key", "s", "n", "bytes")))
+    found = found.groupBy("doc", "key").agg(F.collect_set(F.struct("s", "n")).alias("found"))
+    rest = applied.where("kind = 1").select("_row", "doc", "key", "text", "sure").join(found, ["doc", "key"], "left").select("_row", "text", "sure", "found")
+    names = [f.name for f in T.StructType.fromDDL(_RESULT).fields]
+    late = c.in_arrow(rest, _finish, T.StructType([base.schema["_row"], *T.StructType.fromDDL(_RESULT).fields]))
+    return applied.where("kind = 0").select("_row", *names).union(late)
