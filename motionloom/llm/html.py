@@ -5,19 +5,25 @@ classifier, trained here on a small set of labelled blocks (``TRAINING``), gives
 of being content. These become terminal capacities of a flow network: positive
 log-odds tie a block to the content terminal, negative ones to the boilerplate
 terminal. Smoothness edges join each block to the next one and to the next one within the same
-container; they carry the more capacity the closer the two stand in the DOM. The minimum cut (by
+container; they carry the more capacity the closer the two stand in the DOM and the more alike their shares of links
+are, so that prose and menus that alternate don't pull at each other. The minimum cut (by
 augmenting paths) is the labelling of least cost; content blocks are joined in page order.
 
-Parsing is tolerant: comments, scripts, styles and other raw text are skipped whole, paragraphs and list items
+Names (class, id and role) are read whole: "comment-list" names comments, since all its parts are words for boilerplate or for
+boxes; "author-interview" names neither. Words such as "header" or "meta", which may stand around an article as well as beside it
+(``WEAK_NAMES``), count as far as their element holds no prose.
+
+Parsing is tolerant: comments, scripts, styles and other raw text (``RAW_TAGS``, among them noscript, button, select and svg) are skipped
+whole, paragraphs and list items
 close by themselves, unmatched end tags are ignored, and an open element ends with the page (a button or another element
-that may hold markup is passed over if it has no end). Names of html, body, article and main aren't read as boilerplate's. Character
+that may hold markup is passed over if it has no end). Names of html and body aren't read. Character
 references are decoded once; white space inside a block becomes one blank; <br> is white space.
 
 Defined cases. A null or empty page, one without text, or one of boilerplate only gives the empty
 string. A page without tags is one block. Rows that repeat a page_id get a row each. An empty
 table gives no rows. Other columns of the table are not used.
 
-Scale. One scan, no shuffle; a task holds one batch of pages and one page's blocks.
+Scale. One scan, no shuffle; a task holds one batch of pages and one page's blocks, and returns about OUT characters at a time.
 """
 
 from __future__ import annotations
@@ -43,8 +49,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style textarea noscript template iframe object svg math canvas audio video select button".split())
 #: Those of them that hold no markup, so that an unclosed one goes on to the end of the page; the others are passed over then.
 TEXT_TAGS = frozenset("script style textarea noscript iframe".split())
-#: Elements whose own names tell about the page or the article as a whole, not whether it is boilerplate.
-WHOLE_TAGS = frozenset("html body article main".split())
+#: Elements whose own names tell about the page as a whole.
+WHOLE_TAGS = frozenset("html body".split())
 #: Tags that close an open element of the same kind, up to the containers after it.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu", "dir")),
@@ -55,20 +61,29 @@ CLOSES = {
     "th": ("td th", ("tr", "table")),
     "option": ("option", ("select",)),
 }
-#: Words of class, id and role names.
+#: Words of class, id and role names: of what is no article, however much prose it has.
 BOILERPLATE_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising alert author banner bio bottom breadcrumb breadcrumbs byline byl categories category"
-    " comment comments consent cookie cookies copyright disclaimer disqus feedback foot footer form gdpr head header hidden legal links login logo masthead"
-    " menu menus meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup post-meta promo promoted promotion recommended"
-    " related replies reply respond rss search share sharing sidebar signin signup site-footer site-header skip social sponsor sponsored subscribe tags"
-    " teaser toc toolbar tools top topbar trending warning widget widgets complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies"
+    " copyright disqus dialog feedback foot footer gdpr hidden login logo masthead menu menus modal nav navbar navigation newsletter notice notices notification"
+    " notifications overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies reply respond rss search share sharing"
+    " sidebar signin signup skip social sponsor sponsored subscribe subscription toolbar topbar trending warning".split()
+)
+#: Of what may also stand around an article.
+WEAK_NAMES = frozenset(
+    "alert author banner bio bottom byline byl categories category disclaimer form head header info legal links meta post-meta tags teaser toc tools top widget widgets".split()
+)
+#: Words that go with either and change nothing: boxes, places and parts.
+BOX_NAMES = frozenset(
+    "a area aside bar bars block blocks body bottom box boxes button buttons card cards col column columns container content footer global group head header holder icon icons inner item"
+    " items label left line link links list lists main message mobile module outer page panel row right section sections site slot slots small sticky strip text the thread title top"
+    " unit units user users view wrap wrapper zone".split()
 )
 CONTENT_NAMES = frozenset("article body content entry main post story text prose".split())
-SKIP_NAMES = frozenset("none hidden".split())
+ENTRY_NAMES, HEAD_NAMES = frozenset("article entry post story".split()), frozenset("head header heading title".split())
 
 FEATURES = (
     "bias", "in_content_tag", "in_page_nav", "in_page_header", "in_page_footer", "in_aside", "in_form", "in_head",
-    "bad_name", "good_name", "link_share", "paragraph", "heading", "list_item", "long", "very_short", "sentence", "copyright",
+    "bad_name", "weak_name", "good_name", "link_share", "links_only", "paragraph", "heading", "list_item", "cell", "long", "prose", "very_short", "sentence", "copyright",
 )
 
 #: Labelled blocks: path of elements (tag, or tag.name), text, share of it in links, 1 for content.
@@ -78,6 +93,11 @@ TRAINING = (
     ("html body nav ul li", "About us", 1.0, 0),
     ("html body nav", "Home | News | Contact", 0.9, 0),
     ("html body div.menu ul li", "Products", 1.0, 0),
+    ("html body nav p", "Where do you want to go today? Choose a place, and read all that we have written about it.", 0.0, 0),
+    ("html body div nav ul li", "Our story", 0.0, 0),
+    ("html body nav h2", "Sections", 0.0, 0),
+    ("html body article nav ul li", "Chapter two", 1.0, 0),
+    ("html head title", "A walk in the hills, and what we found there after three days of rain. The Daily Page.", 0.0, 0),
     ("html body div.topbar p", "Call us any time.", 0.0, 0),
     ("html body header h1", "The Daily Page", 0.5, 0),
     ("html body header p", "News since the year of the flood.", 0.0, 0),
@@ -117,6 +137,44 @@ TRAINING = (
     ("html body article div.share", "Share this", 1.0, 0),
     ("html body main div.related ul li", "Another walk, in another place", 1.0, 0),
     ("html body div.breadcrumb", "Home > Walks > Hills", 0.9, 0),
+    ("html body div.comment-list div.comment-body p", "I have read this twice now, and I still think that the bridge was built by the monks, not by the town.", 0.0, 0),
+    ("html body div.content div.comments p", "My father told me the same story when I was young, and he had it from his father, who was there.", 0.0, 0),
+    ("html body div.main div.sidebar p", "Our best stories of the week, sent to you every Sunday before you get up, and all of it for nothing.", 0.0, 0),
+    ("html body div.cookie-banner p", "We and our partners store data on your device, so that we can show you what you may want to buy.", 0.0, 0),
+    ("html body div.ad-slot p", "The new car is here. It drives by itself, it parks by itself, and it pays for itself in ten years.", 0.0, 0),
+    ("html body div.newsletter p", "Get the best of the hills into your post box, once a week, with maps and with all the news on huts.", 0.0, 0),
+    ("html body article.comment p", "This is the best text on bees that I have read so far, and I have read a lot of them over the years.", 0.0, 0),
+    ("html body div.content div.promo p", "Members read all of our stories without a limit, and they get our yearly book of maps on top of it.", 0.0, 0),
+    ("html body div.meta", "By A. Writer, 3 May", 0.2, 0),
+    ("html body div.content div.meta span", "Filed on Monday", 0.0, 0),
+    ("html body div.post div.author", "A. Writer", 1.0, 0),
+    ("html body div.tags", "hills, rain, walks", 1.0, 0),
+    ("html body div.header div", "News since the flood", 0.0, 0),
+    ("html body div.header p", "Your paper for the hills", 0.0, 0),
+    ("html body div.widget h3", "Archive", 0.0, 0),
+    ("html body div.banner", "Now in a new shape", 0.0, 0),
+    ("html body div", "Home", 1.0, 0),
+    ("html body div", "Back to the list", 1.0, 0),
+    ("html body div ul li", "Contact", 1.0, 0),
+    ("html body p", "Home | News | About us", 0.9, 0),
+    ("html body div p", "Terms Privacy Imprint", 0.9, 0),
+    ("html body article div", "Home", 1.0, 0),
+    ("html body article div", "Read next: the long way to the sea", 1.0, 0),
+    ("html body article p", "Next page", 1.0, 0),
+    ("html body main div", "All stories", 1.0, 0),
+    ("html body div.content div", "Back to the top", 1.0, 0),
+    ("html body div", "Loading", 0.0, 0),
+    ("html body div", "Page 3 of 9", 0.5, 0),
+    ("html body p", "© 2021 The Daily Page", 0.0, 0),
+    ("html body div.meta p", "We asked the writer how she came to the hills, and she told us of a summer with her aunt, long ago.", 0.0, 1),
+    ("html body div.header p", "The council met on Monday and agreed, after three hours, to mend the lower bridge before the winter.", 0.0, 1),
+    ("html body div.author p", "When I was ten years old my father gave me a knife and told me to find my own way home by the river.", 0.0, 1),
+    ("html body div.widget p", "To set the clock, hold both keys until the hand stops, then turn the wheel to the left by one step.", 0.1, 1),
+    ("html body div.top div p", "The storm came in from the sea at four, and by five there was no light left in any of the houses.", 0.0, 1),
+    ("html body div.banner div p", "In the old days the banner was carried through the town by six men, who were paid with beer and bread.", 0.0, 1),
+    ("html body div.head div.body p", "All of them had come on foot, and nobody had thought of bringing more than a coat and a bit of bread.", 0.0, 1),
+    ("html body article h1", "A walk in the hills", 1.0, 1),
+    ("html body div.post h2", "The lower road", 1.0, 1),
     ("html body article h1", "A walk in the hills", 0.0, 1),
     ("html body article h2", "The way down", 0.0, 1),
     ("html body article header h1", "A walk in the hills", 0.0, 1),
@@ -148,11 +206,31 @@ TRAINING = (
     ("html body div p", "The second part tells how the tower fell, and who was blamed for it in the end.", 0.0, 1),
     ("html body div div p", "There are three ways over the hills, and all of them are closed in winter.", 0.0, 1),
     ("html body", "Plain words on a plain page, without any mark around them but the body.", 0.0, 1),
+    ("html body div p", "It rained.", 0.0, 1),
+    ("html body table tr td", "Twelve", 0.0, 1),
+    ("html body table tr td", "7.5", 0.0, 1),
+    ("html body div table tr th", "Place", 0.0, 1),
+    ("html body div dl dd", "a kind of bread", 0.0, 1),
+    ("html body table tr td", "Home", 1.0, 0),
+    ("html body div.sidebar table tr td", "Twelve", 0.0, 0),
+    ("html body div p", "Nobody answered.", 0.0, 1),
+    ("html body p", "So it was.", 0.0, 1),
+    ("html body div h2", "The second winter", 0.0, 1),
+    ("html body div h1", "How the tower fell", 0.0, 1),
+    ("html body div", "From here on the path is steep, and you should not walk it after rain, or with small children.", 0.0, 1),
+    ("html body div div", "The house had nine rooms, and in each of them there was a clock that told another time of day.", 0.0, 1),
+    ("html body table tr td", "The first of them came from the north, the others from places whose names we have not kept.", 0.0, 1),
+    ("html body div ul li", "Take the salt out of the water before you put the bread in, and keep the lid on for an hour.", 0.0, 1),
+    ("html body p", "See the first part of this story for how they met, and the notes for what is known of the ship.", 0.4, 1),
 )
 
-#: Capacity of the edge between two blocks, from those that share their element to those far apart.
-SMOOTH, FAR = 1.2, 0.15
-L2, STEPS = 0.01, 600
+#: Capacity of the edge between two blocks that share their element; least share of it between blocks far apart.
+SMOOTH, FAR = 1.0, 0.1
+L2, STEPS = 0.02, 30
+#: Characters of a block from which it is prose, if a sentence ends it and links are less than half of it.
+PROSE = 60
+#: Characters of text in a batch that a task returns.
+OUT = 1 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
@@ -161,27 +239,42 @@ _LONG_REFERENCE = re.compile(r"&#0*([0-9]{8})[0-9]*")
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)]*$")
 
 
+def _kind(name: str) -> str:
+    """What a class, id or role stands for: bad, weak, good or nothing."""
+    parts = {x for x in _SPLIT.split(name) if x}
+    plain = BOX_NAMES | CONTENT_NAMES
+    if parts <= ENTRY_NAMES | HEAD_NAMES and not parts.isdisjoint(ENTRY_NAMES):  # the head of an article, as in "entry-header"
+        return "good"
+    if name in WEAK_NAMES or parts <= WEAK_NAMES | plain and not parts.isdisjoint(WEAK_NAMES):
+        return "weak"
+    if parts <= BOILERPLATE_NAMES | WEAK_NAMES | plain and not parts.isdisjoint(BOILERPLATE_NAMES):
+        return "bad"
+    return "" if parts.isdisjoint(CONTENT_NAMES) else "good"
+
+
 class Element:
-    __slots__ = ("tag", "depth", "parent", "bad", "good", "hidden", "seen", "within")
+    __slots__ = ("tag", "depth", "parent", "bad", "weak", "good", "hidden", "seen", "within")
 
     def __init__(self, tag: str, names: str, parent: Element | None) -> None:
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.bad, self.good, self.hidden = (parent.bad, parent.good, parent.hidden) if parent else (False, False, False)
+        self.bad, self.weak, self.good, self.hidden = (parent.bad, parent.weak, parent.good, parent.hidden) if parent else (False, None, False, False)
         self.seen = parent.seen if parent else frozenset()
         self.within = parent.within if parent else frozenset()
         if tag not in self.within:
             self.within = self.within | {tag}
         if tag in ("article", "main"):
-            self.seen = self.seen | {"content"}
+            self.seen, self.weak = self.seen | {"content"}, None
         elif tag in ("nav", "header", "footer", "aside", "form", "head"):
             # The head of an article is content; of the page it is not.
             self.seen = self.seen | ({tag} if tag != "header" or "content" not in self.seen else set())
-        if names:
-            words = set(_SPLIT.split(names))
-            if "content" in self.seen:
-                words -= {"head", "header"}
-            self.bad = self.bad or (tag not in WHOLE_TAGS and not words.isdisjoint(BOILERPLATE_NAMES))
-            self.good = self.good or not words.isdisjoint(CONTENT_NAMES)
+        if names and tag not in WHOLE_TAGS:
+            kinds = {_kind(x) for x in names.split()}
+            self.bad = self.bad or "bad" in kinds
+            self.good = self.good or "good" in kinds
+            if "weak" in kinds and not (tag in ("article", "main") or tag == "header" and "content" in self.seen):
+                self.weak = self  # the nearest element so named
+            elif "good" in kinds:
+                self.weak = None
 
 
 def _names(attributes: str) -> tuple[str, bool]:
@@ -284,13 +377,17 @@ def blocks(page: str) -> list[tuple[Element, str, float]]:
     return out
 
 
-def describe(element: Element, text: str, share: float) -> list[float]:
-    """The values of FEATURES."""
+def is_prose(text: str, share: float) -> bool:
+    return len(text) >= PROSE and share < 0.5 and _SENTENCE.search(text) is not None
+
+
+def describe(element: Element, text: str, share: float, weak: float) -> list[float]:
+    """The values of FEATURES; weak: how much a weak name counts."""
     seen, tag, n = element.seen, element.tag, len(text)
     return [
         1.0, "content" in seen, "nav" in seen, "header" in seen, "footer" in seen, "aside" in seen, "form" in seen, "head" in seen,
-        element.bad, element.good, share, tag in ("p", "blockquote", "pre"), tag[:1] == "h" and tag[1:].isdigit(), tag == "li",
-        min(n, 400) / 200, n < 25, _SENTENCE.search(text) is not None, "©" in text or "opyright" in text,
+        element.bad, weak, element.good, share, share > 0.8 and not (tag[:1] == "h" and tag[1:].isdigit()), tag in ("p", "blockquote", "pre"), tag[:1] == "h" and tag[1:].isdigit(), tag == "li", tag in ("td", "th", "dd", "dt"),
+        min(n, 400) / 200, is_prose(text, share), n < 25, _SENTENCE.search(text) is not None, "©" in text or "opyright" in text,
     ]
 
 
@@ -298,7 +395,7 @@ _trained: list[np.ndarray] = []
 
 
 def weights() -> np.ndarray:
-    """Weights of FEATURES, by logistic regression on TRAINING."""
+    """Weights of FEATURES, by logistic regression on TRAINING (Newton's steps)."""
     if not _trained:
         rows, labels = [], []
         for path, text, share, label in TRAINING:
@@ -306,18 +403,18 @@ def weights() -> np.ndarray:
             for step in path.split():
                 tag, _, names = step.partition(".")
                 x = Element(tag, names, x)
-            rows.append(describe(x, text, share))
+            rows.append(describe(x, text, share, float(x.weak is not None and not is_prose(text, share))))
             labels.append(label)
         x, y, w = np.array(rows, float), np.array(labels, float), np.zeros(len(FEATURES))
-        for _ in range(STEPS):  # Newton's steps would do it in ten; plain ones need no solver
+        for _ in range(STEPS):
             p = 1 / (1 + np.exp(-x @ w))
-            w -= 1.5 * (x.T @ (p - y) / len(y) + L2 * w / 2)
+            w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + L2 * np.eye(len(w)), x.T @ (p - y) + L2 * w)
         _trained.append(w)
     return _trained[0]
 
 
-def _nearness(a: Element, b: Element) -> float:
-    """Capacity between two blocks: by the steps from one to the other in the DOM."""
+def _nearness(a: Element, b: Element, alike: float) -> float:
+    """Capacity between two blocks: by the steps from one to the other in the DOM, and how alike they are."""
     steps = 0
     while a is not b:
         if a.depth >= b.depth:
@@ -325,7 +422,7 @@ def _nearness(a: Element, b: Element) -> float:
         else:
             b = b.parent
         steps += 1
-    return max(FAR, SMOOTH / (1 + 0.5 * steps))
+    return alike * SMOOTH * max(FAR, 1 / (1 + 0.5 * steps))
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -372,23 +469,38 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     w = weights()
-    odds = (np.array([describe(*x) for x in found], float) @ w).tolist()
+    boxes: dict[int, list[int]] = {}  # characters, and those of prose, in each element with a weak name
+    for element, text, share in found:
+        if element.weak:
+            size = boxes.setdefault(id(element.weak), [0, 0])
+            size[0] += len(text)
+            size[1] += len(text) * is_prose(text, share)
+    weak = [0.0 if not x[0].weak else 1 - (box := boxes[id(x[0].weak)])[1] / box[0] for x in found]
+    odds = (np.array([describe(*x, v) for x, v in zip(found, weak, strict=True)], float) @ w).tolist()
     edges, last = [], {}
-    for k, (element, _, _) in enumerate(found):
+    for k, (element, _, share) in enumerate(found):
         if k:
-            edges.append((k - 1, k, _nearness(found[k - 1][0], element)))
+            edges.append((k - 1, k, _nearness(found[k - 1][0], element, 1 - abs(share - found[k - 1][2]))))
         j = last.get(id(element.parent))
         if j is not None and j < k - 1:
-            edges.append((j, k, SMOOTH / 2))
+            edges.append((j, k, SMOOTH / 2 * (1 - abs(share - found[j][2]))))
         last[id(element.parent)] = k
     return "\n".join(x[1] for x, keep in zip(found, minimum_cut(odds, edges), strict=True) if keep)
 
 
 def _extract(batches):
+    def made(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        columns = [ids, urls, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+
     for batch in batches:
-        texts = [extract(x.as_py()) for x in batch.column(2)]
-        columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+        first, size, texts = 0, 0, []
+        for k, page in enumerate(batch.column(2)):
+            texts.append(extract(page.as_py()))
+            size += len(texts[-1])
+            if size > OUT or k == batch.num_rows - 1:
+                yield made(batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), texts)
+                first, size, texts = k + 1, 0, []
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
