@@ -10,12 +10,13 @@ through up to max_repeats times. Its demand over training time t in [0, 1] is th
 target times the integral of its weight schedule (piecewise linear, scaled to
 integral 1). A copy that begins at word c of the line is used when demand reaches c:
 its position is the inverse of the integral at c / target, in closed form for each linear
-piece. The mix takes the line's first floor(target) words; it cuts the document in which
-demand ends. Documents are then range-sorted by position.
+piece. A copy has a position if demand reaches it by time 1, and its words that demand reaches by then are taken: the document
+in which demand ends is cut. Each copy is then range-sorted by its own position.
 
 Defined cases. A null text has no words and size 0. Null sources are one source. Rows that
-repeat a doc_id are documents of their own. An empty table gives no rows. A source of no words
-has target 0. Other columns pass through, whatever their names.
+repeat a doc_id are documents of their own; those without one are ordered by a hash of their columns, which also decides between
+rows with one doc_id. An empty table gives no rows. A source of no words
+has target 0 and no positions. Other columns pass through, whatever their names.
 
 Scale. Running sums need no task that holds a whole source: sources are cut into
 buckets of the pseudo-random order (256 documents, or the square root of the largest
@@ -29,6 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
@@ -75,17 +77,22 @@ def mix(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), weights=WEIGHTS
     parts: words taken of each copy. positions: null for a copy of which nothing is taken.
     """
     row = F.struct(*(F.col(f"`{k}`") for k in keep)).alias("_row")
-    given = docs.select(row, F.col("doc_id").cast("long").alias("_id"), "source", F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("key"), n_words(F.col("text")).alias("size"))
-    sizes = c.written(given.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
+    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    order = F.coalesce(c.order_key(F.col("doc_id")), F.pmod(tie, F.lit(1 << 31)))
+    given = docs.select(row, F.col("doc_id").cast("long").alias("_id"), "source", F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("key"), n_words(F.col("text")).alias("size"), order.alias("order"), tie.alias("tie"))
+    light = c.written(given if "text" not in keep else given.drop("_row"), "sizes")
+    given = light if "text" not in keep else given
+    sizes = c.written(light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     most = sizes.agg(F.max("n")).first()[0] or 1
     parts = 1 << max(0, math.ceil(math.log2(most / max(256, math.isqrt(most)))))
-    given = given.withColumn("order", F.coalesce(c.order_key(F.col("_id")), F.lit(0))).withColumn("bucket", F.floor(F.col("order") * parts / (1 << 31)).cast("long"))
+    bucket = F.floor(F.col("order") * parts / (1 << 31)).cast("long").alias("bucket")
+    given, light = given.select("*", bucket), light.select("no", "key", "size", bucket)
     targets = source_targets(sizes.select("source", "source_size"), weights, share, max_repeats)
     targets = targets.select(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "target", "place")
-    sums = given.groupBy("no", "key", "bucket").agg(F.sum("size").alias("n"))
+    sums = light.groupBy("no", "key", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("no", "key").orderBy("bucket")) - F.col("n"))
     sums = sums.join(targets, ["no", "key"]).drop("n")
-    within = Window.partitionBy("no", "key", "bucket").orderBy("order", "_id", "size")
+    within = Window.partitionBy("no", "key", "bucket").orderBy("order", "_id", "size", "tie")
     begin = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     x = given.withColumn("begin", begin)
     x = x.join(sums, ["no", "key", "bucket"]).withColumn("begin", F.col("before") + F.col("begin"))
@@ -100,7 +107,7 @@ def mix(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), weights=WEIGHTS
         return out
 
     positions = F.array(*(F.when((t > 0) | (F.col("size") == 0) & (s < F.col("target")), at(s)) for s, t in zip(starts, taken, strict=True)))
-    return x.select("_row", "_id", "order", "source", "size", "source_size", "target", F.array(*taken).alias("parts"), positions.alias("positions")).withColumn("taken", F.aggregate("parts", F.lit(0).cast("long"), lambda a, b: a + b))
+    return x.select("_row", "_id", "order", "tie", "source", "size", "source_size", "target", F.array(*taken).alias("parts"), positions.alias("positions")).withColumn("taken", F.aggregate("parts", F.lit(0).cast("long"), lambda a, b: a + b))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -108,5 +115,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     x = mix(docs, keep=tuple(names), **options)
     copies = F.filter(F.transform("positions", lambda p, i: F.when((F.get("parts", i) * 2 >= F.col("size")), p)), lambda p: p.isNotNull())
-    x = x.select("_row", "order", "_id", F.explode(copies).alias("position")).orderBy("position", "order", "_id")
+    x = x.select("_row", "order", "_id", "tie", F.explode(copies).alias("position")).orderBy("position", "order", "_id", "tie")
     return x.select(*(F.col("_row").getField(k).alias(k) for k in names))

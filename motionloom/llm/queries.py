@@ -45,10 +45,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, in training order."""
+    """Words that the mix takes of every document, and the training position of each of its copies (null if not used), in training order."""
     x = mixing.mix(_table(spark, sf_dir, "documents"))
-    x = x.withColumn("position", F.get("positions", 0)).orderBy(F.col("position").asc_nulls_last(), "order", "_id")
-    return x.select("_row.doc_id", "size", "source_size", "target", "taken")
+    places = [F.get("positions", k).alias(f"position_{k + 1}") for k in range(mixing.MAX_REPEATS)]
+    x = x.select("_row.doc_id", "size", "source_size", "target", "taken", *places, "order")
+    x = x.orderBy(F.col("position_1").asc_nulls_last(), "order", "doc_id")
+    return c.compact(x.drop("order").withColumns({f"position_{k + 1}": F.round(f"position_{k + 1}", 9) for k in range(mixing.MAX_REPEATS)}))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,16 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_su
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _position(start: str) -> str:
+    """The training position of the copy that begins at `start`, by the closed forms of the three schedules: steady, rising (0.5 to 1.5), falling (1.5 to 0.5)."""
+    u, used = f"({start} / target)", f"(least(size, floor(target) - {start}) > 0 OR size = 0 AND {start} < target)"
+    up = f"CASE WHEN {u} <= 0.375 THEN (sqrt(0.25 + {u} * 2) - 0.5) ELSE 0.5 + (sqrt(1.0 + ({u} - 0.375) * 2) - 1.0) END"
+    down = f"CASE WHEN {u} <= 0.625 THEN (1.5 - sqrt(2.25 - {u} * 2)) ELSE 0.5 + (1.0 - sqrt(1.0 - ({u} - 0.625) * 2)) END"
+    return f"CASE WHEN {used} THEN round(CASE place % 3 WHEN 0 THEN {u} WHEN 1 THEN {up} ELSE {down} END, 9) END"
+
+
 _OP6 = rf"""
 WITH d AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size, {c.ORDER_KEY_SQL.format("doc_id")} AS k FROM documents
@@ -94,11 +106,12 @@ WITH d AS (
 ), t AS (
   SELECT *, coalesce(least(cap, weight * arg_min(level, n) FILTER (WHERE level < cap / weight) OVER ()), cap) AS target FROM l
 ), b AS (
-  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  SELECT d.*, place, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
+  (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken,
+  {_position("start")} AS position_1, {_position("(start + source_size)")} AS position_2
 FROM b
 """
 
