@@ -2,9 +2,11 @@
 
 Features are the n-grams (``SIZES`` code points, A-Z and Latin capitals lower-cased,
 white space as one blank) that stay within a word and the blanks around it, hashed
-into ``BUCKETS`` buckets; a document has a bucket or not. A bucket's ratio is
-log((df1 + A) / (n1 + 2A)) - log((df0 + A) / (n0 + 2A)) over toxic and clean training
-documents; logistic regression is trained on has-bucket times ratio.
+into ``BUCKETS`` buckets. A bucket's ratio is
+log((df1 + A) / (n1 + 2A)) - log((df0 + A) / (n0 + 2A)), where df1 of n1 toxic and df0 of n0 clean training
+documents have the bucket; ratios within ``ERRORS`` standard errors of 0 and buckets of fewer than ``MIN_DOCS`` documents
+are left out. A document's value for a bucket is its ratio times the log of one more than the bucket's times in the document, over a common
+scale; logistic regression is trained on these values.
 
 Training uses a bounded sample of labelled rows: the first ``max_per_class`` of each
 class in the order of ``common.order_key``. Every document is scored over its whole text.
