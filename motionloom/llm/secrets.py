@@ -1,14 +1,16 @@
 """Secret scans: candidate tokens judged by a random forest, in DataFrame operations only.
 
-Candidates are runs of token characters, at least MIN_LENGTH long, that hold a digit, or that stand
+Candidates are, where they don't overlap an earlier one: bodies of private key blocks; passwords in addresses (``://name:...@``); whole quoted
+values of QUOTED characters or more, whatever they hold, after a name for secrets and an assignment; unquoted ones of UNQUOTED or more; and runs
+of token characters, at least MIN_LENGTH long and joined by dots if each is, that hold a digit (the first of them) or stand
 in quotes after an assignment. A random forest (trained with Spark's own, on labelled
 findings) removes false positives by: length; character transitions (between digits, lower and upper case,
 vowels and consonants, distinct characters); dictionary coverage (share of the token that common words and
 placeholders make up); path (test, sample and document places, slashes and dots around the token); and
-neighbouring words (those that name secrets, or hashes, ids and numbers, on the left; an assignment, quotes).
+neighbouring words (those that name secrets, or hashes, ids and numbers, on the left; an assignment, quotes, a key block, an address).
 
-Labelled findings: ``findings`` makes a bounded, deterministic set from rules (see there); a table
-of one's own with the same columns can take its place.
+Labelled findings: ``findings`` has forms of tokens that are public knowledge (see there), from which a bounded set is
+made. Secrets of fewer characters than the limits above aren't found, nor are passwords that neither a name nor an address points at.
 
 Positions are code points from 0. Defined cases. Null and empty texts have no candidates. A text's own
 control characters x01 and x02 are read as blanks. A candidate has any length. A repeated token is a finding each time; rows that repeat a doc_id are
@@ -25,14 +27,26 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_LENGTH, AROUND = 12, 64
+from .findings import findings
+
+MIN_LENGTH, QUOTED, UNQUOTED, AROUND = 12, 6, 8, 64
 #: Token characters: a digit somewhere, or quotes after = or :.
 TOKEN = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"(?<!{TOKEN})(?=[A-Za-z+/_\-]*+[0-9]){TOKEN}{{{MIN_LENGTH},}}+={{0,2}}|(?<=[=:] ?[\"']){TOKEN}{{{MIN_LENGTH},}}+={{0,2}}(?=[\"'])"
-#: Fixed value: all characters of a candidate.
+_RUN = rf"{TOKEN}{{{MIN_LENGTH},}}+"
+#: Names for secrets before an assignment, as far as a look-behind reaches.
+_NAMED = r"(?i:passwords?|passwd|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth)[A-Za-z0-9_]{0,16}[\"']? {0,3}[=:]{1,2}>? {0,3}"
+CANDIDATE = "|".join((
+    r"(?<=-)(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)[A-Za-z0-9+/=\s]{40,}+(?=-----END)",
+    r"(?<=:)(?<=://[^\s:/@\"']{1,64}:)[^\s:/@\"']{4,}+(?=@)",
+    rf"(?<=[\"'`])(?<={_NAMED}[\"'`])[^\"'`\n\x01\x02]{{{QUOTED},}}+(?=[\"'`])",
+    rf"(?<=[=: >])(?<![A-Za-z0-9])(?<={_NAMED})(?![\s\"'`=:>])[^\s\"'`,;\x01\x02]{{{UNQUOTED},}}+",
+    rf"(?<!{TOKEN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}(?:\.{_RUN})*+={{0,2}}",
+    rf"(?<=[=:] ?[\"']){_RUN}={{0,2}}(?=[\"'])",
+))
+#: Fixed value: characters that are counted apart.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Running sums are made in blocks of this many parts, since each of their steps copies the sums so far.
 STEP = 256
@@ -51,9 +65,9 @@ PLACES = r"(^|[/_.\-])(test|tests|testing|example|examples|sample|samples|mock|m
 
 FEATURES = (
     "length", "digit_letter", "letter_digit", "upper_lower", "lower_upper", "vowel_consonant", "distinct", "digits", "hex", "covered",
-    "in_path", "path_around", "test_path", "secret_word", "plain_word", "assigned", "quoted", "padded",
+    "in_path", "path_around", "test_path", "secret_word", "plain_word", "assigned", "quoted", "padded", "upper", "marks", "prefix", "key_block", "address",
 )
-TREES, DEPTH, SEED, ROWS = 20, 7, 42, 6000
+TREES, DEPTH, SEED, ROWS = 40, 12, 42, 9600
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -114,52 +128,15 @@ def described(found: DataFrame) -> DataFrame:
         "assigned": left.rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": (left.rlike(r"[\"'`]$") & right.rlike(r"^[\"'`]")).cast("double"),
         "padded": token.endswith("=").cast("double"),
+        "upper": share(count("[A-Z]")),
+        "marks": share(count(r"[^A-Za-z0-9+/_\-=.\s]")),
+        "prefix": token.rlike(r"^[A-Za-z]{2,6}[_\-][A-Za-z0-9]").cast("double"),
+        "key_block": left.rlike(r"private key-----\s*$").cast("double"),
+        "address": (left.rlike(r"://[^\s:/@]*:$") & right.startswith("@")).cast("double"),
     }
     return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in values.items()})
 
 
-def findings(spark: SparkSession, rows: int = ROWS) -> DataFrame:
-    """Labelled findings made from rules: token, left, right, path and label, the same in any run.
-
-    Positive: random hexadecimal, base64 and alphanumeric strings and keys with a prefix, assigned to a name for
-    secrets. Negative: hashes, ids and numbers named as such or alone in running text, placeholders, words joined by
-    dashes or dots, paths, and random strings in test places named as samples.
-    """
-    i = F.col("i")
-    seed = lambda k: F.sha2(F.concat_ws("-", F.lit(k), i.cast("string")), 512)
-    pick = lambda k, words: F.element_at(F.array(*(F.lit(w) for w in words)), (F.pmod(F.xxhash64(F.lit(k), i), F.lit(len(words))) + 1).cast("int"))
-    number = lambda k, n: F.pmod(F.xxhash64(F.lit(k), i), F.lit(n)).cast("int")
-    hexa = F.substring(seed("hex"), 1, 128)
-    base = F.regexp_replace(F.base64(F.unhex(seed("base"))), "=", "")
-    mixed = F.regexp_replace(base, "[+/]", "")
-    digits = F.translate(seed("digits"), "abcdef", "270461")
-    of = lambda text, least, more, k: F.left(text, F.lit(least) + number(k, more))
-    word = pick("word", DICTIONARY)
-    join = pick("join", ["-", "_", "/"])
-    words = F.concat(word, join, pick("word2", DICTIONARY), join, pick("word3", DICTIONARY), join, number("n", 100).cast("string"))
-    secret, plain = pick("secret", SECRET_WORDS), pick("plain", PLAIN_WORDS)
-    quote, sign = pick("quote", ['"', "'", '"', ""]), pick("sign", [" = ", "=", ": ", ":"])
-    running = F.concat(pick("a", DICTIONARY), F.lit(" "), pick("b", DICTIONARY), F.lit(" "))
-    kind = i % 16
-    token = (
-        F.when(kind.isin(0, 1), F.left(hexa, F.element_at(F.array(*(F.lit(n) for n in (32, 40, 40, 64))), number("size", 4) + 1)))
-        .when(kind == 2, of(base, 24, 60, "size")).when(kind == 3, of(mixed, 16, 48, "size"))
-        .when(kind == 4, F.concat(pick("prefix", ["sk_live_", "key-", "pat_", "AKIA", "xoxb-"]), of(mixed, 16, 24, "size")))
-        .when(kind.isin(5, 6), of(mixed, 20, 30, "size"))
-        .when(kind.isin(7, 8), F.left(hexa, F.element_at(F.array(*(F.lit(n) for n in (32, 40, 64))), number("size", 3) + 1)))
-        .when(kind.isin(9, 10), of(digits, 12, 8, "size"))
-        .when(kind == 11, F.concat(pick("dummy", ["your", "example", "sample", "changeme", "dummy", "test"]), F.lit("_"), pick("dummy2", ["secret", "token", "key", "password"]), F.lit("_"), number("n", 1000).cast("string")))
-        .when(kind.isin(12, 13), words).when(kind == 14, F.concat_ws("-", F.left(hexa, F.lit(8)), F.substring(hexa, 9, 4), F.substring(hexa, 13, 4), F.substring(hexa, 17, 4), F.substring(hexa, 21, 12)))
-        .otherwise(of(mixed, 16, 30, "size"))
-    )
-    named = F.concat(running, secret, sign, quote)
-    left = F.when(kind <= 6, named).when(kind == 7, F.concat(running, plain, pick("sign2", [" ", ": ", " = ", " #"]))).when(kind.isin(11), named)
-    left = left.when(kind.isin(9, 14), F.concat(running, plain, F.lit(" "))).when(kind == 15, named).otherwise(running)
-    right = F.when((kind <= 6) | kind.isin(11, 15), F.concat(quote, F.lit(" "), pick("after", DICTIONARY))).otherwise(F.concat(F.lit(" "), pick("after", DICTIONARY)))
-    path = F.when(kind == 15, pick("place", ["tests/data", "docs/example", "spec/fixture", "samples/a"])).otherwise(pick("file", ["src/app", "web", "", "src3", "config/main"]))
-    return spark.range(rows).toDF("i").select(token.alias("token"), left.alias("left"), right.alias("right"), path.alias("path"), (kind <= 6).cast("double").alias("label"))
-
-
 def train(labelled: DataFrame) -> PipelineModel:
     """The forest: an assembler and a random forest, both Spark's own."""
     table = described(labelled).select(*FEATURES, "label")
@@ -170,7 +147,7 @@ def train(labelled: DataFrame) -> PipelineModel:
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, *, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, length, token, redacted, probability and is_secret of each candidate."""
-    model = train(findings(docs.sparkSession) if labelled is None else labelled)
+    model = train(findings(docs.sparkSession, ROWS) if labelled is None else labelled)
     judged = model.transform(described(candidates(docs))).withColumn("probability", vector_to_array("probability")[1])
     hidden = F.concat(F.left("token", F.lit(4)), F.lit("…"), F.right("token", F.lit(2)))
     return judged.select("doc_id", "start", F.length("token").cast("long").alias("length"), "token", hidden.alias("redacted"), "probability", (F.col("probability") >= threshold).alias("is_secret"))
