@@ -158,16 +158,19 @@ def window_cdf(spark, d):
     return _vectors(spark, d).select("win", F.array_join(F.col("vec").cast("array<string>"), ",").alias("cdf"))
 
 
-@query(sql("SELECT win, " + ", ".join(f"round(list_sort(list(({k} / {S.SCALES[k]})::FLOAT))[{n}]::DOUBLE, 4) AS {k}_{n}" for k in S.SCALES for n in (1, 30, 60)) + " FROM win GROUP BY win HAVING count(*) = 60", "win"))
+_SORTED = ", ".join(f"list_sort(list(({k} / {S.SCALES[k]})::FLOAT)) AS {k}" for k in windows.CHANNELS)
+
+
+@query(sql(f"SELECT win, place, {', '.join(f'round({k}[place + 1]::DOUBLE, 4) AS {k}' for k in windows.CHANNELS)} FROM (SELECT win, {_SORTED}, unnest(range({S.WINDOW})) AS place FROM win GROUP BY win HAVING count(*) = {S.WINDOW})", "win"))
 def window_quantiles(spark, d):
-    q = windows.quantiles(_signals(spark, d))
-    return q.select("win", *(F.round(F.element_at("q", i * 60 + n).cast("double"), 4).alias(f"{k}_{n}") for i, k in enumerate(windows.CHANNELS) for n in (1, 30, 60)))
+    q = windows.quantiles(_signals(spark, d)).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(S.WINDOW - 1))))
+    return q.select("win", F.col("place").cast("long").alias("place"), *(F.round(F.get("q", F.col("place") + i * S.WINDOW).cast("double"), 4).alias(k) for i, k in enumerate(windows.CHANNELS)))
 
 
-@query(sql("SELECT win, place, round((z / 2.5)::FLOAT::DOUBLE, 4) AS p1, round((z_gyro / 200.0)::FLOAT::DOUBLE, 4) AS p2 FROM win WHERE win IN (SELECT win FROM reps)", "reps"))
+@query(sql("SELECT win, place, " + ", ".join(f"round(({k} / {S.SCALES[k]})::FLOAT::DOUBLE, 4) AS {k}" for k in windows.CHANNELS) + " FROM win WHERE win IN (SELECT win FROM reps)", "reps"))
 def window_joint(spark, d):
     x = windows.joint(_signals(spark, d)).select("win", F.posexplode("pts").alias("place", "p"))
-    return x.select("win", F.col("place").cast("long").alias("place"), F.round(F.col("p")[1].cast("double"), 4).alias("p1"), F.round(F.col("p")[2].cast("double"), 4).alias("p2"))
+    return x.select("win", F.col("place").cast("long").alias("place"), *(F.round(F.col("p")[i].cast("double"), 4).alias(k) for i, k in enumerate(windows.CHANNELS)))
 
 
 @query(sql("SELECT * FROM reps", "reps"))
@@ -188,6 +191,36 @@ def joint_result_table(spark, d):
     return files.joint_result_table(near.select(F.col("i").alias("win"), F.col("j").alias("label")), windows.representatives(signals), "sliced_w1")
 
 
+@query(sql("SELECT CASE WHEN l.label = -1 THEN -1 ELSE l.label END AS label, r.ts_mid AS Timestamp, r.folder AS Folder_Name FROM seq_labels l JOIN reps r USING (win)", "seq_labels"))
+def label_scan(spark, d):
+    """A result table written as CSV and read back as labels."""
+    path = scratch(spark, "labels")
+    files.write_csv(files.result_table(_labels(spark, d).select("win", "label"), windows.representatives(_clean(spark, d))).drop("win"), path)
+    return files.read_labels(spark, path)
+
+
+@query(sql("SELECT win, label FROM labelled", "labelled"))
+def stored_result(spark, d):
+    """A clustering put into the result store and taken out again."""
+    x = _vectors(spark, d)
+    near = distance.nearest(x, x.where("win % 16 = 0").select(F.floor(F.col("win") / 16).cast("long").alias("pos"), "vec"))
+    found = methods.Clustering(near.select(F.col("i").alias("win"), F.col("j").cast("int").alias("label")), None, -1.5, 2.0)
+    store = pipeline.Store(spark, scratch(spark, "store"))
+    store.put("events", "nearest", {"every": 16}, found)
+    return store.get("events", "nearest", {"every": 16}, x.count()).labels.select("win", "label")
+
+
+@query(sql("SELECT l.win, r.ts_mid AS ts, r.folder, l.label AS label_full, s.label AS label_sampled, l.win % 16 = 0 AS is_ex_full, l.win % 32 = 0 AS is_ex_sampled, array_to_string(c.vec, ',') AS vec FROM labelled l JOIN (SELECT win, arg_min(pos, (d, pos))::INT AS label FROM to_ex WHERE pos % 2 = 0 GROUP BY win) s USING (win) JOIN reps r USING (win) JOIN cdf c USING (win)", "labelled"))
+def bundle_table(spark, d):
+    """Both labellings, their exemplars and the vectors of all windows, written and read again."""
+    signals = _signals(spark, d)
+    v = materialised(windows.cumulative(windows.histograms(signals)).withColumnRenamed("cdf", "vec"), "vectors")
+    near = lambda n: distance.nearest(v, v.where(f"win % {n} = 0").select(F.floor(F.col("win") / 16).cast("long").alias("pos"), "vec")).select(F.col("i").alias("win"), F.col("j").cast("int").alias("label"))
+    marks = lambda n: v.where(f"win % {n} = 0").select("win")
+    table = materialised(files.bundle(v, windows.representatives(signals), near(16), near(32), marks(16), marks(32)), "bundle")
+    return table.withColumn("vec", F.array_join(F.col("vec").cast("array<string>"), ","))
+
+
 # Distances
 
 
@@ -225,14 +258,30 @@ def min_affinity(spark, d):
     return _rows(spark, [{"preference": round(distance.min_affinity(_embeddings(spark, d), unit=1000), 4)}], "preference double")
 
 
-@query()
+_DRAWS = f"""draws AS (SELECT a, CASE WHEN a = b THEN (b + 1) % n ELSE b END AS b FROM (SELECT {oracle.order_key('id', 42)} % n AS a, {oracle.order_key('id', 43)} % n AS b, n FROM (SELECT unnest(range(500000)) AS id), (SELECT count(*) AS n FROM emb))),
+pos AS (SELECT win, row_number() OVER (ORDER BY win) - 1 AS p FROM emb)"""
+
+
+@query(sql("SELECT round(-(max(e.d) / 1000.0) * (max(e.d) / 1000.0), 4) AS preference FROM draws JOIN pos x ON x.p = a JOIN pos y ON y.p = b JOIN emb_d e ON e.i = x.win AND e.j = y.win", "emb_d").replace("\nSELECT", f", {_DRAWS}\nSELECT", 1))
+def min_affinity_sampled(spark, d):
+    """The least similarity of 500,000 random pairs."""
+    return _rows(spark, [{"preference": round(distance.min_affinity(_embeddings(spark, d), mode="sampled", unit=1000), 4)}], "preference double")
+
+
+@query(ORACLE_SQL["k_nearest"])
 def k_nearest_in_cells(spark, d):
-    return distance.neighbours_in_cells(_embeddings(spark, d), 5)
+    """The search in cells; it compares all rows where cells would lose too many neighbours, as they would here."""
+    return distance.neighbours_in_cells(_embeddings(spark, d), 5).select("i", "j", F.col("d").cast("long").alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_SCALE = float(S.WINDOW * transport.DIRECTIONS)
+_PROJECTED = ", ".join("list_sort(list((" + " + ".join(f"({k} / {S.SCALES[k]})::FLOAT::DOUBLE * {float(v) / _SCALE!r}::DOUBLE" for k, v in zip(windows.CHANNELS, u, strict=True)) + f") ORDER BY place)) AS v{n}" for n, u in enumerate(transport.directions()))
+_SLICED = f"sliced AS (SELECT win, {_PROJECTED} FROM win GROUP BY win HAVING count(*) = {S.WINDOW}), flat AS (SELECT win, flatten([{', '.join(f'v{n}' for n in range(transport.DIRECTIONS))}]) AS vec FROM sliced)"
+
+
+@query(sql("SELECT a.win AS i, b.win AS j, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2]))), 5) AS d FROM flat a JOIN flat b ON a.win < b.win", "win").replace("\nSELECT", f", {_SLICED}\nSELECT", 1))
 def sliced_distance(spark, d):
-    return transport.joint_distances(windows.joint(_signals(spark, d)), "sliced_w1")
+    return transport.joint_distances(windows.joint(_signals(spark, d)), "sliced_w1").select("i", "j", F.round("d", 5).alias("d"))
 
 
 @query()
@@ -258,11 +307,25 @@ def split_half(spark, d):
     return sampling.split_half(_embeddings(spark, d)).select("win", "half")
 
 
-@query()
+_CORESET = f"""picked(pos, wins) AS (
+  SELECT 0, [(SELECT win FROM emb ORDER BY {oracle.order_key('win', 0)}, win LIMIT 1)]
+  UNION ALL
+  SELECT pos + 1, list_append(wins, (SELECT arg_min(i, (-m, i)) FROM (SELECT i, min(d) AS m FROM emb_d WHERE list_contains(wins, j) GROUP BY i))) FROM picked WHERE pos < 24
+)"""
+
+
+@query(sql("SELECT pos::BIGINT AS pos, wins[pos + 1] AS win FROM picked", "emb_d").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT", f", {_CORESET}\nSELECT", 1))
 def coreset_sample(spark, d):
     return sampling.k_centres(_embeddings(spark, d), 25).select("pos", "win")
 
 
+@query(sql(f"SELECT draw, place, count(*) AS n FROM (SELECT id // (SELECT count(*) FROM emb) AS draw, {oracle.order_key('id', 0)} % (SELECT count(*) FROM emb) AS place FROM (SELECT unnest(range(20 * (SELECT count(*) FROM emb))) AS id)) JOIN emb ON win = place GROUP BY 1, 2", "emb"))
+def bootstrap_sample(spark, d):
+    """How often each row is drawn in twenty resamples with replacement."""
+    x = _embeddings(spark, d).select(F.col("win").alias("place"))
+    return sampling.bootstrap(x, 20, x.count()).groupBy("draw", "place").agg(F.count("*").alias("n"))
+
+
 @query()
 def kmeans_sample(spark, d):
     return sampling.k_means_representatives(_embeddings(spark, d), 25).select("win")
@@ -291,7 +354,21 @@ def contingency(spark, d):
     return metrics.contingency(_both(spark, d))
 
 
-@query()
+#: The best matching by dynamic programming: row by row, over the sets of columns (as bits) that are taken.
+_MATCHED = """cells AS (SELECT a, b, count(*) AS n FROM ab WHERE a >= 0 AND b >= 0 GROUP BY a, b),
+rows_ AS (SELECT a, row_number() OVER (ORDER BY a) AS r FROM (SELECT DISTINCT a FROM cells)),
+cols_ AS (SELECT b, (1 << (row_number() OVER (ORDER BY b) - 1))::BIGINT AS bit FROM (SELECT DISTINCT b FROM cells)),
+best(r, mask, total, pairs) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, []::STRUCT(a INT, b INT, n BIGINT)[]
+  UNION ALL
+  SELECT r, mask, max(total), arg_max(pairs, total) FROM (
+    SELECT best.r + 1 AS r, mask | coalesce(c.bit, 0) AS mask, total + coalesce(x.n, 0) AS total, CASE WHEN x.n > 0 THEN list_append(pairs, {'a': w.a::INT, 'b': c.b::INT, 'n': x.n}) ELSE pairs END AS pairs
+    FROM best JOIN rows_ w ON w.r = best.r + 1 LEFT JOIN (SELECT * FROM cols_ UNION ALL SELECT NULL, 0) c ON (mask & c.bit) = 0 LEFT JOIN cells x ON x.a = w.a AND x.b = c.b
+  ) GROUP BY r, mask
+)"""
+
+
+@query(sql("SELECT p.a::BIGINT AS a, p.b::BIGINT AS b, p.n AS n FROM (SELECT unnest(pairs) AS p FROM (SELECT pairs FROM best WHERE r = (SELECT count(*) FROM rows_) ORDER BY total DESC LIMIT 1))", "ab").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT", f", {_MATCHED}\nSELECT", 1))
 def matched_clusters(spark, d):
     """Pairs of clusters of two labellings with the greatest overlap in all."""
     table, a, b = metrics.table_of(metrics.contingency(_both(spark, d)))
@@ -319,7 +396,14 @@ def label_comparison(spark, d):
     return metrics.compare(_both(spark, d))
 
 
-@query()
+_AMI = """cells AS (SELECT a, b, count(*)::DOUBLE AS n FROM ab GROUP BY a, b), ra AS (SELECT a, sum(n) AS x FROM cells GROUP BY a), rb AS (SELECT b, sum(n) AS y FROM cells GROUP BY b),
+t AS (SELECT sum(n) AS t FROM cells),
+h AS (SELECT (SELECT sum(n / t * ln(n * t / (x * y))) FROM cells JOIN ra USING (a) JOIN rb USING (b), t) AS mi, (SELECT -sum(x / t * ln(x / t)) FROM ra, t) AS ha, (SELECT -sum(y / t * ln(y / t)) FROM rb, t) AS hb),
+k AS (SELECT x, y, t, unnest(range(greatest(1, x + y - t)::BIGINT, least(x, y)::BIGINT + 1))::DOUBLE AS k FROM ra, rb, t),
+e AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS e FROM k)"""
+
+
+@query(sql("SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM h, e", "ab").replace("\nSELECT", f", {_AMI}\nSELECT", 1))
 def adjusted_mutual_information(spark, d):
     return _rows(spark, [{"ami": round(metrics.ami(_both(spark, d)), 6)}], "ami double")
 
@@ -344,10 +428,23 @@ def silhouette(spark, d):
     return metrics.silhouette(_embeddings(spark, d), most=None)
 
 
-@query(sql("SELECT round(corr(x, y), 6) AS r FROM (SELECT label, avg(vec[1]) AS x, avg(vec[2]) AS y FROM emb GROUP BY label)", "emb"))
+@query(ORACLE_SQL["silhouette"].replace(" FROM emb_d e JOIN emb x", " FROM emb_d e JOIN few x").replace("JOIN emb y", "JOIN few y").replace("\nSELECT", f", few AS (SELECT * FROM emb ORDER BY {oracle.order_key('win', 42)}, win LIMIT 200)\nSELECT", 1))
+def silhouette_of_sample(spark, d):
+    """The silhouette of a sample of 200 rows."""
+    return metrics.silhouette(_embeddings(spark, d), most=200)
+
+
+_PEARSON = f"""xy AS (SELECT label AS place, avg(vec[1]) AS x, avg(vec[2]) AS y FROM emb GROUP BY label), n AS (SELECT count(*) AS n FROM xy),
+picks AS (SELECT id // n AS draw, {oracle.order_key('id', 0)} % n AS place FROM (SELECT unnest(range(1000 * n)) AS id, n FROM n)),
+draws AS (SELECT draw, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM picks JOIN xy USING (place) GROUP BY draw)"""
+
+
+@query(sql("SELECT (SELECT round(corr(x, y), 6) FROM xy) AS r, round(quantile_cont(r, 0.025), 6) AS ci_lo, round(quantile_cont(r, 0.975), 6) AS ci_hi FROM draws WHERE r IS NOT NULL", "emb").replace("\nSELECT", f", {_PEARSON}\nSELECT", 1))
 def pearson(spark, d):
+    """Pearson's r with its bootstrap interval (1000 draws)."""
     x = _embeddings(spark, d).groupBy("label").agg(F.avg(F.col("vec")[0]).alias("x"), F.avg(F.col("vec")[1]).alias("y"))
-    return metrics.bootstrap_correlation(materialised(x.withColumn("place", F.col("label").cast("long")), "xy"), 50).select(F.round("r", 6).alias("r"))
+    found = metrics.bootstrap_correlation(materialised(x.withColumn("place", F.col("label").cast("long")), "xy"))
+    return found.select(*(F.round(k, 6).alias(k) for k in ("r", "ci_lo", "ci_hi")))
 
 
 @query(sql("SELECT round(corr(rx, ry), 4) AS spearman_rho, (SELECT round(100.0::DOUBLE * avg(((p.x < q.x) <> (p.y < q.y))::INT), 4) FROM pts p JOIN pts q ON q.place BETWEEN p.place + 1 AND p.place + 49) AS flip_rate_pct FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM pts)", "emb").replace("\nSELECT", ", pts AS (SELECT win AS place, vec[1] AS x, vec[1] + vec[2] AS y FROM emb)\nSELECT", 1))
@@ -361,10 +458,12 @@ def raster_agreement(spark, d):
     return metrics.raster_agreement(_both(spark, d), [(k, k) for k in range(8)])
 
 
-@query(sql("SELECT round(avg(d), 6) AS exemplar_mean_dist, round(median(d), 6) AS exemplar_median_dist, round(avg((d = 0)::INT), 6) AS exemplar_frac_identical FROM (SELECT i, min(d) / 1000.0 AS d FROM emb_d WHERE i % 10 = 0 AND j % 15 = 0 GROUP BY i)", "emb_d"))
+@query(sql("SELECT round(avg(d), 6) AS exemplar_mean_dist, round(median(d), 6) AS exemplar_median_dist, round(avg((d = 0)::INT), 6) AS exemplar_frac_identical FROM (SELECT i, min(d) / 1000.0 AS d FROM emb_d WHERE j IN (SELECT min(win) FROM emb GROUP BY label) GROUP BY i)", "emb_d"))
 def exemplar_overlap(spark, d):
-    x = _embeddings(spark, d).select(F.col("win").alias("pos"), "vec")
-    return metrics.exemplar_overlap(x.where("pos % 10 = 0"), x.where("pos % 15 = 0"), 1000).select(*(F.round(k, 6).alias(k) for k in ("exemplar_mean_dist", "exemplar_median_dist", "exemplar_frac_identical")))
+    """All rows against the first row of each label."""
+    x = _embeddings(spark, d).select(F.col("win").alias("pos"), "vec", "label")
+    first = x.groupBy("label").agg(F.min("pos").alias("pos")).select("pos")
+    return metrics.exemplar_overlap(x.select("pos", "vec"), x.join(first, "pos").select("pos", "vec"), 1000).select(*(F.round(k, 6).alias(k) for k in ("exemplar_mean_dist", "exemplar_median_dist", "exemplar_frac_identical")))
 
 
 @query("SELECT 'd' || (vec_id % 3) AS dataset, 'm' || (vec_id % 2) AS method, round(avg(label), 4) AS K_mean, round(stddev_samp(label), 4) AS K_std, min(label)::INT AS K_min, max(label)::INT AS K_max, round(avg(vec_id / 7.0::DOUBLE), 4) AS ari_mean, round(stddev_samp(vec_id / 7.0::DOUBLE), 4) AS ari_std, min(vec_id / 7.0::DOUBLE) AS ari_min, max(vec_id / 7.0::DOUBLE) AS ari_max, count(*) AS n_seeds FROM embeddings GROUP BY 1, 2")
@@ -373,9 +472,9 @@ def seed_summary(spark, d):
     return metrics.seed_summary(x.select(F.concat(F.lit("d"), F.col("win") % 3).alias("dataset"), F.concat(F.lit("m"), F.col("win") % 2).alias("method"), F.col("label").alias("K"), (F.col("win") / 7.0).alias("ari_vs_ap_full")))
 
 
-@query("SELECT 'd' || (vec_id % 50) AS dataset, max(label) FILTER (WHERE vec_id % 3 = 0) AS ap_full, max(label) FILTER (WHERE vec_id % 3 = 1) AS ap_sampled, max(label) FILTER (WHERE vec_id % 3 = 2) AS hdbscan FROM embeddings WHERE vec_id < 150 GROUP BY 1")
+@query("SELECT 'd' || (vec_id % 50) AS dataset, max(label) FILTER (WHERE vec_id % 3 = 0) AS ap_full, max(label) FILTER (WHERE vec_id % 3 = 1) AS ap_sampled, max(label) FILTER (WHERE vec_id % 3 = 2) AS hdbscan FROM embeddings GROUP BY 1")
 def figure_table(spark, d):
-    x = events.vectors(spark, d).where("win < 150")  # one value per cell
+    x = events.vectors(spark, d)
     method = F.element_at(F.array(F.lit("ap_full"), F.lit("ap_sampled"), F.lit("hdbscan")), (F.col("win") % 3 + 1).cast("int"))
     return metrics.figure_table(x.select(F.concat(F.lit("d"), F.col("win") % 50).alias("dataset"), method.alias("method"), "label"), "label", ["ap_full", "ap_sampled", "hdbscan"])
 
@@ -417,10 +516,13 @@ def density_of_vectors(spark, d):
     return density.hdbscan(_embeddings(spark, d).select("win", "vec"), 10)
 
 
-@query()
+_NEAR = "nearby AS (SELECT * FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM emb_d WHERE i <> j) WHERE rank <= 10)"
+
+
+@query(sql("SELECT x.i, x.j, round(-(x.d / 1000.0) * (x.d / 1000.0), 4) AS s FROM nearby x JOIN nearby y ON x.i = y.j AND x.j = y.i WHERE x.d <> 0", "emb_d").replace("\nSELECT", f", {_NEAR}\nSELECT", 1))
 def sparse_graph(spark, d):
     """The mutual neighbour graph that sparse affinity propagation runs on."""
-    return affinity.graph(distance.similarity(distance.neighbours(_embeddings(spark, d), 10), 1000).select("i", "j", "s"))
+    return affinity.graph(distance.similarity(distance.neighbours(_embeddings(spark, d), 10), 1000).select("i", "j", "s")).select("i", "j", F.round("s", 4).alias("s"))
 
 
 # Evaluations
@@ -457,7 +559,7 @@ def downstream_agreement(spark, d):
     sampled = methods.ap_sampled(v, sample_size=100, preference=full.preference)
     table = materialised(files.bundle(v, windows.representatives(signals), full.labels, sampled.labels, full.exemplars, sampled.exemplars), "bundle")
     names = "K_full long, K_sampled long, K_matched long, occupancy_r double, occupancy_ci_lo double, occupancy_ci_hi double, transition_r double, transition_ci_lo double, transition_ci_hi double, raster_agreement double, exemplar_mean_dist double, exemplar_median_dist double, exemplar_frac_identical double"
-    return _rows(spark, [pipeline.downstream("events", table, draws=200)], "dataset string, " + names)
+    return _rows(spark, [pipeline.downstream("events", table)], "dataset string, " + names)
 
 
 @query()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import shuffle_key
 from ..session import in_arrow, materialised
+from .sequence import ranked
 
 BLOCK = 512
 #: Rows whose exact neighbours tell how many cells a search must ask.
@@ -185,7 +186,7 @@ def min_affinity(df: DataFrame, *, mode: str = "exact", n_pairs: int = 500_000,
         biggest = block_join(df, df, lambda lk, lv, rk, rv, _: (lk[:1], rk[:1], np.array([cityblock(lv, rv).max()])), upper=True, key=key, other=key, vec=vec).agg(F.max("d")).first()[0]
     elif mode == "sampled":
         n = df.count()
-        rows = df.select(F.row_number().over(Window.orderBy(key)).cast("long").alias("_p"), F.col(vec).cast("array<double>").alias("v")).withColumn("_p", F.col("_p") - 1)
+        rows = ranked(df.select(key, F.col(vec).cast("array<double>").alias("v")), key, "_p").select("_p", "v")
         draws = df.sparkSession.range(n_pairs).select(F.pmod(shuffle_key(F.col("id"), seed), F.lit(n)).alias("a"), F.pmod(shuffle_key(F.col("id"), seed + 1), F.lit(n)).alias("b"))
         draws = draws.withColumn("b", F.when(F.col("a") == F.col("b"), (F.col("b") + 1) % n).otherwise(F.col("b")))
         met = draws.join(rows.select(F.col("_p").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("_p").alias("b"), F.col("v").alias("vb")), "b")

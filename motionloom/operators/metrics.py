@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import shuffle_key
 from .distance import block_join
 from .sampling import uniform
-from .sequence import neighbour_columns, ranked, running_total
+from .sequence import average_ranks, neighbour_columns, ranked, running_total
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
@@ -234,10 +234,9 @@ def exemplar_overlap(full: DataFrame, sampled: DataFrame, unit: float = 1.0) ->
 def rank_comparison(pairs: DataFrame, lag: int = 49) -> DataFrame:
     """One row: Spearman's rho of x and y (average ranks), and the percentage of pairs up to `lag` places apart that the two order differently.
 
-    pairs has place, x and y: a sample of a few thousand pairs of windows.
+    pairs has place, x and y.
     """
-    rank = lambda k: F.rank().over(Window.orderBy(k)) + (F.count("*").over(Window.partitionBy(k)) - 1) / 2.0
-    rho = pairs.select(rank("x").alias("rx"), rank("y").alias("ry")).agg(F.round(correlation("rx", "ry"), 4).alias("spearman_rho"))
+    rho = average_ranks(pairs.select("x", "y"), ("x", "y")).agg(F.round(correlation("_rank_x", "_rank_y"), 4).alias("spearman_rho"))
     other = pairs.select(F.explode(F.sequence(F.col("place") - lag, F.col("place") - 1)).alias("place"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     met = pairs.join(other, "place")  # an equality join: each row is listed under the places before it
     flip = (F.col("x") < F.col("_x")) != (F.col("y") < F.col("_y"))

@@ -29,7 +29,7 @@ def split_half(df: DataFrame, seed: int = 42, key: str = "win") -> DataFrame:
 def bootstrap(df: DataFrame, draws: int, n: int, seed: int = 0) -> DataFrame:
     """draw and every column of df: `draws` resamples of n rows with replacement; df has a column place from 0 to n - 1."""
     spark = df.sparkSession
-    picks = spark.range(draws * n).select(F.floor(F.col("id") / n).cast("long").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("place"))
+    picks = spark.range(draws * n).select(F.floor(F.col("id") / n).cast("long").alias("draw"), F.pmod(shuffle_key(F.col("id"), seed), F.lit(n)).alias("place"))
     return picks.join(df, "place")
 
 

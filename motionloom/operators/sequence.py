@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 BLOCK = 4096
 RANK_BLOCK = 1 << 16
 
@@ -33,6 +35,22 @@ def ranked(df: DataFrame, key: str, name: str, block: int = RANK_BLOCK) -> DataF
     return running_total(df, key, F.lit(1), name, block).withColumn(name, F.col(name) - 1)
 
 
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds _rank_x for each column x: the mean place (from 1) that its value has in the order of the column.
+
+    Values are counted first and dealt out in ranges; ranges' totals have one row each, and sums go on within a range.
+    """
+    for x in columns:
+        counts = df.groupBy(x).agg(F.count("*").alias("_n")).repartitionByRange(x).withColumn("_b", F.spark_partition_id())
+        counts = materialised(counts, "values")  # the ranges stay as they are
+        totals = counts.groupBy("_b").agg(F.sum("_n").alias("_t"))
+        before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
+        inside = F.sum("_n").over(Window.partitionBy("_b").orderBy(x))
+        ranks = counts.join(before, "_b").select(F.col(x).alias("_x"), (F.col("_before") + inside - (F.col("_n") - 1) / 2.0).alias(f"_rank_{x}"))
+        df = df.join(ranks, F.col(x).eqNullSafe(F.col("_x"))).drop("_x")
+    return df
+
+
 def with_neighbours(df: DataFrame, key: str, before: int, after: int, block: int = BLOCK) -> DataFrame:
     """Adds _b and _own: each row in its own block (_own) and, near a border, as a guest of the next one.
 
