@@ -487,20 +487,36 @@ def cost_model(spark, d):
 # Clusterings
 
 
+#: Size of the samples and further options of the registered methods.
+_SAMPLE, _NEIGHBOURS = 100, 30
+_CENTRES = f"""ap_picked(pos, wins) AS (
+  SELECT 1, [(SELECT win FROM cdf ORDER BY {oracle.order_key('win', 42)}, win LIMIT 1)]
+  UNION ALL
+  SELECT pos + 1, list_append(wins, (SELECT CASE WHEN max(m) > 0 THEN arg_min(i, (-m, i)) END FROM (SELECT x.win AS i, min(list_sum(list_transform(list_zip(x.vec, y.vec), lambda p: abs(p[1] - p[2])))) AS m FROM cdf x JOIN cdf y ON list_contains(wins, y.win) GROUP BY x.win))) FROM ap_picked WHERE pos < {_SAMPLE}
+),
+ap_sample AS (SELECT win, vec FROM cdf WHERE (SELECT count(*) FROM cdf) <= {_SAMPLE} OR win IN (SELECT unnest(wins) FROM ap_picked))"""
+_METHOD_SQL = {
+    "ap_full": oracle.recursive(oracle.affinity("cdf", oracle.LEAST), "SELECT i AS win, label FROM ap_labels"),
+    "ap_sampled": oracle.sampled_affinity(f"ap_sample AS (SELECT win, vec FROM cdf ORDER BY {oracle.order_key('win', 42)}, win LIMIT {_SAMPLE})", _SAMPLE),
+    "ap_coreset": oracle.sampled_affinity(_CENTRES, _SAMPLE),
+    "ap_sparse": oracle.sparse_affinity(_NEIGHBOURS),
+}
+
+
 def _method(name: str):
     def run(spark, d):
-        x = methods.cluster(_vectors(spark, d), name, sample_size=100, neighbours_k=30, min_cluster_size=5, strata=10)
+        x = methods.cluster(_vectors(spark, d), name, sample_size=_SAMPLE, neighbours_k=_NEIGHBOURS, min_cluster_size=5, strata=10)
         return x.labels.select("win", "label")
 
     run.__name__, run.__doc__ = name, f"Labels of the windows by {name}."
-    return query()(run)
+    return query(_METHOD_SQL.get(name))(run)
 
 
 for _name in S.METHODS:
     _method(_name)
 
 
-@query()
+@query(oracle.recursive(f"{_SLICED}, {oracle.affinity('flat', 'SELECT -pow(max(d), 2) FROM ap_d', 1.0)}", "SELECT i AS win, label FROM ap_labels", "win"))
 def ap_from_distances(spark, d):
     """Affinity propagation over transport distances of joint windows."""
     return pipeline.cluster_joint(windows.joint(_signals(spark, d)), "sliced_w1")

@@ -83,3 +83,97 @@ def sql(query: str, upto: str) -> str:
 
 def order_key(x: str, seed: int) -> str:
     return SHUFFLE_KEY_SQL.format(x=x, seed=seed)
+
+
+_KEEP, _NEW = 0.9, 1 - 0.9  # damping
+
+
+def affinity(points: str, preference: str, unit: float = S.UNIT) -> str:
+    """CTEs up to ap_labels (i, label from 0, exemplar; none: -1): dense affinity propagation on points (win, vec; distances in `unit`) with a preference.
+
+    One row for each pair of points and iteration; the run ends when each point's being an exemplar or not held for 15 iterations.
+    """
+    return f"""ap_d AS (SELECT a.win AS i, b.win AS k, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2]))) / {unit} AS d FROM {points} a, {points} b),
+ap_pref AS (SELECT ({preference}) AS pref),
+ap(i, k, s, a, r, e, streak, it, stop) AS (
+  SELECT i, k, CASE WHEN i = k THEN pref ELSE -d * d END, 0.0::DOUBLE, 0.0::DOUBLE, false, 0, -1, false FROM ap_d, ap_pref
+  UNION ALL
+  SELECT i, k, s, a, r, e, streak, it, it >= 15 AND bool_and(streak >= 15 OR i <> k) OVER () AND bool_or(e) OVER () FROM (
+    SELECT i, k, s, a, r, i = k AND a + r > 0 AS e, CASE WHEN (i = k AND a + r > 0) = e THEN streak + 1 ELSE 1 END AS streak, it FROM (
+      SELECT i, k, s, {_KEEP} * a + {_NEW!r} * CASE WHEN i = k THEN sums - r ELSE least(0, sums - up) END AS a, r, e, streak, it FROM (
+        SELECT *, sum(up) OVER (PARTITION BY k) AS sums FROM (
+          SELECT i, k, s, a, r, e, streak, it, CASE WHEN i = k THEN r ELSE greatest(r, 0) END AS up FROM (
+            SELECT i, k, s, a, {_KEEP} * r + {_NEW!r} * (s - CASE WHEN rn = 1 THEN second ELSE first END) AS r, e, streak, it FROM (
+              SELECT *, max(t) OVER (PARTITION BY i) AS first, max(CASE WHEN rn > 1 THEN t END) OVER (PARTITION BY i) AS second FROM (
+                SELECT *, row_number() OVER (PARTITION BY i ORDER BY t DESC, k) AS rn FROM (SELECT i, k, s, a, r, e, streak, it + 1 AS it, a + s AS t FROM ap WHERE NOT stop AND it < 999)
+              )
+            )
+          )
+        )
+      )
+    )
+  )
+),
+ap_end AS (SELECT i, k, s, e FROM ap WHERE it = (SELECT max(it) FROM ap)),
+ap_found AS (SELECT k AS x FROM ap_end WHERE i = k AND e),
+ap_first AS (SELECT i, arg_min(k, (CASE WHEN i = k THEN 0 ELSE 1 END, -s, k)) AS c FROM ap_end WHERE k IN (SELECT x FROM ap_found) GROUP BY i),
+ap_centre AS (SELECT c, arg_min(k, (-inside, k)) AS x FROM (SELECT p.c, q.k, sum(q.s) AS inside FROM ap_first p JOIN ap_end q ON q.i = p.i JOIN ap_first m ON m.i = q.k AND m.c = p.c GROUP BY p.c, q.k) GROUP BY c),
+ap_rank AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS label FROM ap_centre),
+ap_labels AS (
+  SELECT i, label::INT AS label, x AS exemplar FROM (SELECT i, arg_min(k, (CASE WHEN i = k THEN 0 ELSE 1 END, -s, k)) AS x FROM ap_end WHERE k IN (SELECT x FROM ap_rank) GROUP BY i) JOIN ap_rank USING (x)
+  UNION ALL SELECT i, -1, -1 FROM ap_end WHERE i = k AND NOT EXISTS (SELECT 1 FROM ap_found)
+)"""
+
+
+#: The least similarity of the windows' vectors: exact, and that of half a million random pairs.
+LEAST = f"SELECT -pow(max(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2])))) / {S.UNIT}, 2) FROM cdf a, cdf b"
+SAMPLED = f"""SELECT -pow(max(list_sum(list_transform(list_zip(x.vec, y.vec), lambda p: abs(p[1] - p[2])))) / {S.UNIT}, 2) FROM (
+  SELECT DISTINCT a, CASE WHEN a = b THEN (b + 1) % n ELSE b END AS b FROM (SELECT {order_key('id', 42)} % n AS a, {order_key('id', 43)} % n AS b, n FROM (SELECT unnest(range(500000)) AS id), (SELECT count(*) AS n FROM cdf))
+) JOIN cdf_at x ON x.p = a JOIN cdf_at y ON y.p = b"""
+AT = "cdf_at AS (SELECT row_number() OVER (ORDER BY win) - 1 AS p, win, vec FROM cdf)"
+
+
+def recursive(steps: str, query: str, upto: str = "cdf") -> str:
+    """query over the steps up to one and further CTEs, some of them recursive."""
+    return sql("", upto).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + steps + "\n" + query
+
+
+def nearest_to(exemplars: str) -> str:
+    """CTEs up to near_labels (win, label): the nearest of exemplars (pos, win), ties by the lowest position; none: 0."""
+    return f"""near_ex AS (SELECT pos, vec FROM ({exemplars}) JOIN cdf USING (win)),
+near_labels AS (SELECT c.win, coalesce(arg_min(e.pos, (list_sum(list_transform(list_zip(c.vec, e.vec), lambda p: abs(p[1] - p[2]))), e.pos)), 0)::INT AS label FROM cdf c LEFT JOIN near_ex e ON true GROUP BY c.win)"""
+
+
+def sampled_affinity(sample: str, size: int) -> str:
+    """Affinity propagation on a sample (a CTE named ap_sample), all windows to its exemplars; on all windows if these are `size` or fewer."""
+    small = f"(SELECT count(*) FROM cdf) <= {size}"
+    steps = f"{AT}, {sample}, {affinity('ap_sample', f'CASE WHEN {small} THEN ({LEAST}) ELSE ({SAMPLED}) END')}, {nearest_to('SELECT DISTINCT label AS pos, exemplar AS win FROM ap_labels WHERE label >= 0')}"
+    return recursive(steps, f"SELECT win, CASE WHEN {small} THEN a.label ELSE n.label END AS label FROM near_labels n LEFT JOIN ap_labels a ON a.i = n.win")
+
+
+def sparse_affinity(k: int) -> str:
+    """Affinity propagation along the mutual graph of the k nearest neighbours; all windows to its exemplars."""
+    return recursive(f"""{AT}, sp_pref AS (SELECT ({SAMPLED}) AS pref),
+sp_d AS (SELECT a.win AS i, b.win AS k, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2]))) / {S.UNIT} AS d FROM cdf a JOIN cdf b ON a.win <> b.win),
+sp_near AS (SELECT i, k, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, k) AS rank FROM sp_d) WHERE rank <= {k}),
+sp(i, k, s, a, r, e, since, it, stop) AS (
+  SELECT x.i, x.k, -x.d * x.d, 0.0::DOUBLE, 0.0::DOUBLE, false, 0, -1, false FROM sp_near x JOIN sp_near y ON x.i = y.k AND x.k = y.i WHERE x.d <> 0
+  UNION ALL (SELECT win, win, pref, 0.0::DOUBLE, 0.0::DOUBLE, false, 0, -1, false FROM cdf, sp_pref)
+  UNION ALL
+  SELECT i, k, s, a, r, e, since, it, since >= 15 AND bool_or(e) OVER () FROM (
+    SELECT i, k, s, a, r, e, CASE WHEN it > 0 AND bool_and(e = was) OVER () THEN since + 1 ELSE 0 END AS since, it FROM (
+      SELECT i, k, s, a, r, i = k AND a + r > 0 AS e, e AS was, since, it FROM (
+        SELECT i, k, s, {_KEEP} * a + {_NEW!r} * CASE WHEN i = k THEN sums - r ELSE least(0, sums - greatest(r, 0)) END AS a, r, e, since, it FROM (
+          SELECT *, sum(CASE WHEN i = k THEN r ELSE greatest(r, 0) END) OVER (PARTITION BY k) AS sums FROM (
+            SELECT i, k, s, a, {_KEEP} * r + {_NEW!r} * CASE WHEN high AND many = 1 THEN coalesce(s - rest, 0) ELSE s - top END AS r, e, since, it FROM (
+              SELECT *, sum(high::INT) OVER (PARTITION BY i) AS many, max(CASE WHEN NOT high THEN t END) OVER (PARTITION BY i) AS rest FROM (
+                SELECT *, t >= top - 1e-14 AS high FROM (SELECT i, k, s, a, r, e, since, it + 1 AS it, a + s AS t, max(a + s) OVER (PARTITION BY i) AS top FROM sp WHERE NOT stop AND it < 999)
+              )
+            )
+          )
+        )
+      )
+    )
+  )
+),
+{nearest_to("SELECT row_number() OVER (ORDER BY k) - 1 AS pos, k AS win FROM sp WHERE it = (SELECT max(it) FROM sp) AND i = k AND e")}""", "SELECT * FROM near_labels")
