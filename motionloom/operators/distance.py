@@ -1,8 +1,9 @@
 """Distances between windows: all pairs, rectangular, nearest exemplars, nearest neighbours.
 
-Vectors are laid out in blocks of ``BLOCK`` rows. Two sides meet block by block through an equality join on
-block numbers, and a kernel reduces each pair of blocks at once (to the few nearest, or to pairs within a
-radius), so that memory is bounded by two blocks and nothing of size N * N is stored unless asked for.
+Two sides meet on a grid: rows fall into groups by a hash of their key, and each cell of the grid, one group of either side, is
+one key of a shuffle. A row is sent once for each group of the other side, so that the bytes moved grow with the square root of
+the number of cells. In its task a cell's left rows are held, its right rows stream by, and a kernel reduces each pair of
+blocks at once (to the few nearest, or to pairs within a radius): memory is bounded by GROUP rows, and nothing of size N * N is stored unless asked for.
 """
 
 from __future__ import annotations
@@ -18,18 +19,14 @@ from ..functions.expressions import shuffle_key
 from ..session import in_arrow, materialised
 from .sequence import ranked
 
-BLOCK = 512
+#: Rows of a block, and right rows that a search for the nearest takes at once.
+BLOCK, WIDE = 512, 8192
+#: Rows of a group at most, and pairs of rows that are worth a cell of their own.
+GROUP, PAIRS = 1 << 14, 1 << 16
 #: Rows whose exact neighbours tell how many cells a search must ask.
 TRIAL = 256
 
 
-def _blocks(df: DataFrame, key: str, vec: str, side: str, block: int) -> DataFrame:
-    """One row per block: side_b, side_keys, side_vecs; keys are whole numbers from 0, nearly dense."""
-    row = F.struct(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
-    x = df.groupBy(F.floor(F.col(key) / block).cast("long").alias(f"{side}_b")).agg(F.sort_array(F.collect_list(row)).alias("_r"))
-    return x.select(f"{side}_b", F.transform("_r", lambda r: r["k"]).alias(f"{side}_keys"), F.transform("_r", lambda r: r["v"]).alias(f"{side}_vecs"))
-
-
 def cityblock(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between the rows of two matrices, in slices that stay in the cache."""
     out = np.empty((len(a), len(b)))
@@ -39,36 +36,102 @@ def cityblock(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array, i: int) -> np.ndarray:
-    rows = column[i].values
-    return rows.flatten().to_numpy().reshape(len(rows), -1)
+def _grid(n_left: int, n_right: int, upper: bool, cores: int) -> tuple[int, int]:
+    """Groups of either side: few rows each, and cells enough to keep the cores busy, as far as there is work for them."""
+    cells = min(4 * cores, -(-n_left * n_right // PAIRS))
+    left, right = -(-n_left // GROUP), -(-n_right // GROUP)
+    if upper:
+        while left * (left + 1) // 2 < cells:
+            left += 1
+        return max(1, left), max(1, left)
+    left, right = max(1, left), max(1, right)
+    while left * right < cells:
+        if n_left / left >= n_right / right:
+            left += 1
+        else:
+            right += 1
+    return left, right
+
+
+def _on_grid(kernel: Callable, names: tuple[str, ...], groups: int, upper: bool, block: int, wide: int):
+    """Rows (cell, side, k, v), sorted, to the kernel's results on all pairs of blocks of each cell."""
 
+    def run(batches):
+        here, left, right = None, [], []
+
+        def side(parts: list) -> tuple[np.ndarray, np.ndarray]:
+            if len(parts) > 1:
+                parts[:] = [(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+            return parts[0]
+
+        def blocks(parts: list, size: int):
+            k, v = side(parts)
+            for a in range(0, len(k), size):
+                yield a, k[a : a + size], v[a : a + size]
+
+        def made(lk, lv, rk, rv, same: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in kernel(lk, lv, rk, rv, same)], list(names))
+
+        def meet():
+            if left and right:
+                for _, rk, rv in blocks(right, wide):
+                    for _, lk, lv in blocks(left, block):
+                        yield made(lk, lv, rk, rv, False)
+            elif left and upper and here // groups == here % groups:  # a group with itself
+                for a, lk, lv in blocks(left, block):
+                    for b, rk, rv in blocks(left, block):
+                        if a <= b:
+                            yield made(lk, lv, rk, rv, a == b)
+            right.clear()
 
-def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple[str, ...] = ("i", "j", "d"), *, upper: bool = False, key: str = "win", other: str = "win", vec: str = "vec", block: int | None = None) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, which, key = (batch.column(i).to_numpy() for i in range(3))
+            vectors = batch.column(3).flatten().to_numpy().reshape(len(key), -1)
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(which) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if cell[a] != here:
+                    yield from meet()
+                    left.clear()
+                    here = int(cell[a])
+                (right if which[a] else left).append((key[a:b], vectors[a:b]))
+                if which[a] and sum(len(p[0]) for p in right) >= wide:
+                    k, v = side(right)
+                    whole = len(k) // wide * wide
+                    right[:] = [(k[:whole], v[:whole])]
+                    yield from meet()
+                    right[:] = [(k[whole:], v[whole:])] if whole < len(k) else []
+        yield from meet()
+
+    return run
+
+
+def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple[str, ...] = ("i", "j", "d"), *, upper: bool = False, key: str = "win", other: str = "win", vec: str = "vec", block: int | None = None, wide: int | None = None) -> DataFrame:
     """Meets all blocks of two sides; kernel(left keys, left vectors, right keys, right vectors, same block) gives arrays of names.
 
-    upper: only pairs of blocks in order, for symmetric joins of a table with itself.
+    upper: each pair of blocks once, for symmetric joins of a table with itself. Keys ascend in a block of `block` left or `wide` right rows.
     """
     block = block or BLOCK
-    a = materialised(_blocks(left, key, vec, "l", block), "blocks")
-    b = a.select(*(F.col(x).alias("r" + x[1:]) for x in a.columns)) if right is left else materialised(_blocks(right, other, vec, "r", block), "blocks")
-    numbers = b.agg(F.collect_set("r_b")).first()[0]  # one number per block
-    asked = a.withColumn("r_b", F.explode(F.lit(sorted(numbers)).cast("array<bigint>") if numbers else F.array().cast("array<bigint>")))
-    if upper:
-        asked = asked.where("l_b <= r_b")
-
-    def run(batches):
-        for batch in batches:
-            x = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                out = kernel(x["l_keys"][i].values.to_numpy(), _matrix(x["l_vecs"], i), x["r_keys"][i].values.to_numpy(), _matrix(x["r_vecs"], i), x["l_b"][i].as_py() == x["r_b"][i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in out], list(names))
-
-    # A row is two blocks of vectors and much work for few bytes: spread rows, not bytes.
-    most = left.sparkSession.sparkContext.defaultParallelism * 16
-    joined = asked.join(b, "r_b").select("l_b", "l_keys", "l_vecs", "r_b", "r_keys", "r_vecs").repartition(max(1, min(len(numbers) ** 2, most)))
+    rows = lambda df, k: materialised(df.select(F.col(k).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")), "rows")
+    a = rows(left, key)
+    b = a if right is left else rows(right, other)
+    n = a.count()
+    groups, others = _grid(n, n if b is a else b.count(), upper, left.sparkSession.sparkContext.defaultParallelism)
+    own = lambda g: F.pmod(F.xxhash64("k"), F.lit(g))
+    side = lambda df, which, cells: df.select(F.explode(cells).alias("cell"), F.lit(which).alias("side"), "k", "v")
+    span = lambda first, last: F.when(first <= last, F.sequence(first, last))
+    if upper:  # cells (x, y), x <= y; where x = y the left rows stand for both
+        x = own(groups)
+        met = side(a, 0, F.transform(span(x, F.lit(groups - 1)), lambda y: x * groups + y)).union(side(a, 1, F.transform(span(F.lit(0).cast("long"), x - 1), lambda y: y * groups + x)))
+        cells = groups * (groups + 1) // 2
+    else:
+        met = side(a, 0, F.transform(span(F.lit(0).cast("long"), F.lit(others - 1).cast("long")), lambda y: own(groups) * others + y))
+        met = met.union(side(b, 1, F.transform(span(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")), lambda y: y * others + own(others))))
+        cells = groups * others
+    met = met.repartition(cells, "cell").sortWithinPartitions("cell", "side", "k")
     types = ["long"] * (len(names) - 1) + ["double"]
-    return in_arrow(joined, run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+    return in_arrow(met, _on_grid(kernel, names, groups, upper, block, wide or block), ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
 
 
 def pairs(df: DataFrame, *, key: str = "win", vec: str = "vec", radius: float | None = None) -> DataFrame:
@@ -112,7 +175,7 @@ def _least(lk, lv, rk, rv, k: int):
 
 def nearest(df: DataFrame, exemplars: DataFrame, *, key: str = "win", other: str = "pos", vec: str = "vec", k: int = 1) -> DataFrame:
     """i, j and d: the k nearest exemplars of each row, ties by the lowest position; rank from 1 if k > 1."""
-    x = block_join(df, exemplars, lambda lk, lv, rk, rv, _: _least(lk, lv, rk, rv, k), key=key, other=other, vec=vec)
+    x = block_join(df, exemplars, lambda lk, lv, rk, rv, _: _least(lk, lv, rk, rv, k), key=key, other=other, vec=vec, block=BLOCK // 4, wide=WIDE)
     if k == 1:
         return x.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", "m.j", "m.d")
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
@@ -127,9 +190,7 @@ def _others(left: DataFrame, df: DataFrame, k: int, key: str, vec: str) -> DataF
         keep = i != j
         return i[keep], j[keep], d[keep]
 
-    # Each block goes out once per block of the other side: of many blocks, larger ones move less.
-    block = BLOCK * 4 if df.count() >= BLOCK * 32 else BLOCK
-    x = block_join(left, df, kernel, key=key, other=key, vec=vec, block=block)
+    x = block_join(left, df, kernel, key=key, other=key, vec=vec, block=BLOCK // 4, wide=WIDE)
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
