@@ -38,14 +38,15 @@ TOKEN = r"[A-Za-z0-9+/_\-]"
 _RUN = rf"{TOKEN}{{{MIN_LENGTH},}}+"
 #: Names for secrets before an assignment, as far as a look-behind reaches.
 _NAMED = r"(?i:passwords?|passwd|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth)[A-Za-z0-9_]{0,16}[\"']? {0,3}[=:]{1,2}>? {0,3}"
-CANDIDATE = "|".join((
+#: No candidate begins inside a word; what that leaves is tried rule by rule, cheap conditions first.
+CANDIDATE = r"(?<![A-Za-z0-9])(?:" + "|".join((
     r"(?<=-)(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)[A-Za-z0-9+/=\s]{40,}+(?=-----END)",
     r"(?<=:)(?<=://[^\s:/@\"']{1,64}:)[^\s:/@\"']{4,}+(?=@)",
     rf"(?<=[\"'`])(?<={_NAMED}[\"'`])[^\"'`\n\x01\x02]{{{QUOTED},}}+(?=[\"'`])",
-    rf"(?<=[=: >])(?<![A-Za-z0-9])(?<={_NAMED})(?![\s\"'`=:>])[^\s\"'`,;\x01\x02]{{{UNQUOTED},}}+",
-    rf"(?<!{TOKEN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}(?:\.{_RUN})*+={{0,2}}",
-    rf"(?<=[=:] ?[\"']){_RUN}={{0,2}}(?=[\"'])",
-))
+    rf"(?<=[=:>]|[=:>] |[=:>]  |[=:>]   )(?![\s\"'`=:>])(?<={_NAMED})[^\s\"'`,;\x01\x02]{{{UNQUOTED},}}+",
+    rf"(?=[A-Za-z+/_\-]*+[0-9])(?<!{TOKEN}){_RUN}(?:\.{_RUN})*+={{0,2}}",
+    rf"(?<=[\"'])(?<=[=:] ?[\"']){_RUN}={{0,2}}(?=[\"'])",
+)) + ")"
 #: Fixed value: characters that are counted apart.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Running sums are made in blocks of this many parts, since each of their steps copies the sums so far.
