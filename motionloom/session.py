@@ -41,15 +41,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/motionloom/{uuid.uuid4().hex}-{name}"
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """df in at most FILES partitions for each core: a table of short rows needs no file for every split of its input."""
-    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+def compact(df: DataFrame, short: bool = True) -> DataFrame:
+    """df in few partitions, so that few files are written.
+
+    short: rows are a small digest of what they were made from; they are dealt out anew, to one partition a core, and what makes them
+    keeps its tasks. Otherwise neighbouring partitions are taken together, up to FILES for each core, and their order stays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if short else df.coalesce(FILES * cores)
 
 
-def materialised(df: DataFrame, name: str, barrier: bool = False) -> DataFrame:
-    """df as a written table: cuts the lineage and survives lost executors. barrier: its last stage is a barrier stage, whose partitions stay."""
+def materialised(df: DataFrame, name: str, *, short: bool = False, barrier: bool = False) -> DataFrame:
+    """df as a written table: cuts the lineage and survives lost executors. short: see compact; barrier: its last stage is a barrier stage, whose partitions stay."""
     spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
-    (df if barrier else compact(df)).write.parquet(path)
+    (df if barrier else compact(df, short)).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
