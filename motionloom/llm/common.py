@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import compact, in_arrow
-from ..session import materialised as written
+from ..session import compact, in_arrow, materialised
 
 __all__ = ["compact", "in_arrow", "written"]
 
@@ -28,6 +27,11 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 U64 = np.uint64
 
 
+def written(df: DataFrame, name: str, *, short: bool = True) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives lost executors. short: rows are a small digest of the texts."""
+    return materialised(df, name, short=short)
+
+
 def order_key(doc_id: Column) -> Column:
     """A pseudo-random order of ids in [0, 2**31) that any SQL engine can compute."""
     return F.pmod(F.pmod(doc_id.cast("long"), F.lit(1 << 31)) * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31))

@@ -53,8 +53,8 @@ def collisions(docs: DataFrame) -> DataFrame | None:
     """Chunks whose 64-bit hash another content shares, with their ranks; None if there are none."""
     chunk = docs.select(F.explode(chunks(normalised(F.col("text")))).alias("chunk"))
     distinct = chunk.select(F.xxhash64("chunk").alias("h"), "chunk").distinct()
-    shared = c.written(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-collisions")
-    if shared.isEmpty():
+    shared = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    if not shared.count():  # nearly always; else they are found again
         return None
     apart = distinct.join(shared, "h").groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("all"))
     return c.written(apart.select("h", F.posexplode("all").alias("rank", "chunk")).withColumn("rank", F.col("rank") + 1), "chunk-ranks")

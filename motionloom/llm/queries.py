@@ -50,7 +50,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = [F.get("positions", k).alias(f"position_{k + 1}") for k in range(mixing.MAX_REPEATS)]
     x = x.select("_row.doc_id", "size", "source_size", "target", "taken", *places, "order")
     x = x.orderBy(F.col("position_1").asc_nulls_last(), "order", "doc_id")
-    return c.compact(x.drop("order").withColumns({f"position_{k + 1}": F.round(f"position_{k + 1}", 9) for k in range(mixing.MAX_REPEATS)}))
+    return c.compact(x.drop("order").withColumns({f"position_{k + 1}": F.round(f"position_{k + 1}", 9) for k in range(mixing.MAX_REPEATS)}), short=False)
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

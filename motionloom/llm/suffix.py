@@ -354,17 +354,17 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> D
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc")
     base = docs.select(row, doc, F.xxhash64(F.col("doc_id").isNull(), "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = c.in_arrow(base.select("doc", "key", "text"), _pieces, "doc long, key long, k long, r long, q long, s int, n int")
-    grams = c.written(pieces.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"), "grams")
-    shared = c.written(pieces.join(grams, "k"), "pieces")
-    kinds = c.written(shared.groupBy("k", "r", "q").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "s", "n")).alias("one")), "regions")
+    grams = c.written(pieces.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"), "grams", short=False)
+    shared = c.written(pieces.join(grams, "k"), "pieces", short=False)
+    kinds = c.written(shared.groupBy("k", "r", "q").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "s", "n")).alias("one")), "regions", short=False)
     several = kinds.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1")
     sure = shared.join(kinds.where("c > 1").select("k", "r", "q"), ["k", "r", "q"]).select("doc", "key", F.struct(F.lit(0).alias("k"), F.lit(0).alias("c"), "s", "n", F.lit(False).alias("hot")).cast(_MARK).alias("mark"))
-    asked = c.written(kinds.join(several, "k").select("one.doc", "one.key", F.struct("k", "c", "one.s", "one.n", (F.col("kinds") > CROWD).alias("hot")).cast(_MARK).alias("mark")), "asked")
+    asked = c.written(kinds.join(several, "k").select("one.doc", "one.key", F.struct("k", "c", "one.s", "one.n", (F.col("kinds") > CROWD).alias("hot")).cast(_MARK).alias("mark")), "asked", short=False)
     marks = sure.union(asked).groupBy("doc", "key").agg(F.collect_set("mark").alias("marks"))
     schema = T.StructType([T.StructField("_row", base.schema["_row"].dataType), *T.StructType.fromDDL(_APPLIED).fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    applied = c.written(c.in_arrow(base.join(marks, ["doc", "key"], "left").select("_row", "doc", "key", "text", "marks"), _apply(to_arrow_schema(schema)), schema), "applied")
+    applied = c.written(c.in_arrow(base.join(marks, ["doc", "key"], "left").select("_row", "doc", "key", "text", "marks"), _apply(to_arrow_schema(schema)), schema), "applied", short=False)
     regions = applied.where("kind = 2").select("k", F.lit(0).cast("long").alias("g"), "c", "s", "n", "doc", "key", "bytes")
     found = c.in_arrow(regions.repartition("k").sortWithinPartitions("k"), _suffix, "doc long, key long, s int, n int")
     if not asked.where("mark.hot").isEmpty():
