@@ -265,3 +265,28 @@ def test_figure_table_of_a_whole_table(spark, data):
     for order in ("win", "-win"):
         found = metrics.figure_table(x.orderBy(F.expr(order)).coalesce(1), "label", ["m0", "m1", "m2"]).collect()
         assert {(r["dataset"], m): r[m] for r in found for m in ("m0", "m1", "m2")} == want
+
+
+def test_trees_grown_in_rounds_are_the_same(spark, monkeypatch):
+    """Whole-number vectors with many ties: one task and rounds give one tree and one labelling."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 6, (60, 3)), rng.integers(20, 26, (50, 3)), rng.integers(0, 40, (15, 3))]).astype(float)
+    df = spark.createDataFrame([(3 * i + 1, v.tolist()) for i, v in enumerate(x)], "win long, vec array<double>")
+    alone = {r["win"]: r["label"] for r in density.hdbscan(df, 10).collect()}
+    core = np.sort(np.abs(x[:, None] - x[None]).sum(axis=2), axis=1)[:, 1]
+    placed = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, core, strict=True))], "place long, vec array<double>, core double")
+    edges = lambda t: sorted((min(a, b), max(a, b), w) for a, b, w in zip(*(v.tolist() for v in t), strict=True))
+    assert edges(density.spanning_tree(x, core)) == edges(density.spanning_tree_in_rounds(placed, len(x)))
+    monkeypatch.setattr(density, "ONE_TASK", 10)
+    assert {r["win"]: r["label"] for r in density.hdbscan(df, 10).collect()} == alone
+    assert len(set(alone.values()) - {-1}) == 2
+
+
+def test_affinity_in_lots_is_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 30, (120, 4)).astype(float)
+    d = distance.cityblock(x, x)
+    whole = affinity.cluster_matrix(d)
+    monkeypatch.setattr(affinity, "LOT", 500)
+    small = affinity.cluster_matrix(d)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, small, strict=True))
