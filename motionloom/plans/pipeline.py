@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import affinity, clean, metrics, sampling, signal, windows
-from ..operators.distance import block_join, cityblock, cross, nearest
+from ..operators.distance import cityblock, cross, nearest
 from ..operators.transport import joint_distances
 from ..session import materialised
 from .methods import Clustering, cluster
@@ -176,18 +176,6 @@ def split_half(rows: DataFrame, *, splits: int = 5, seed: int = 42, preference=N
     return {"splits": len(scores), "ami_mean": float(np.mean(scores)) if scores else None, "ami_std": float(np.std(scores)) if scores else None}
 
 
-def _range(rows: DataFrame, unit: float) -> tuple[float, float]:
-    """The least and the median similarity of the whole matrix with its zero diagonal, from counts of its distances."""
-
-    def kernel(_, lv, __, rv, same):
-        d, n = np.unique(cityblock(lv, rv), return_counts=True)
-        return n if same else 2 * n, d
-
-    x = block_join(rows, rows, kernel, ("n", "d"), upper=True).groupBy("d").agg(F.sum("n").alias("n"))
-    d = F.col("d") / F.lit(float(unit))
-    return tuple(x.select((-(d * d)).alias("s"), "n").agg(F.min("s"), F.expr("percentile(s, 0.5, n)")).first())
-
-
 def preference_sweep(rows: DataFrame, *, steps: int = 12, splits: int = 3, seed: int = 42, unit: float = 1.0, limit: int = S.AP_FULL_LIMIT) -> list[dict]:
     """K and split-half AMI for preferences from the least to the median similarity, the best marked (the first on a tie).
 
@@ -203,7 +191,7 @@ def preference_sweep(rows: DataFrame, *, steps: int = 12, splits: int = 3, seed:
         s = -(d * d)
         ends = s.min(), np.median(s)
     else:
-        ends = _range(rows, unit)
+        ends = affinity.similarity_range(rows, unit)
     out = []
     for p in np.linspace(*ends, steps):
         if alone:
