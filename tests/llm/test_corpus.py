@@ -421,6 +421,8 @@ def test_url_rules(spark):
     for blocks in (urls.BLOCKS, 1):  # one block: nearly all passes the filter, the join still decides
         found = urls.judge(pages, listed, blocks=blocks).collect()
         assert sorted((r["page_id"], r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in found) == sorted((i, *judge(u)[:2], str(judge(u)[2]), judge(u)[3]) for i, u, _ in rows)
+    clash = pages.withColumns({k: F.lit("x") for k in ("host", "path", "rule", "verdict", "expression", "block", "best", "_url")})
+    assert sorted(map(str, urls.judge(clash, listed).collect())) == sorted(map(str, urls.judge(pages, listed).collect()))
     assert urls.judge(pages.limit(0), listed).count() == 0
     assert {r["verdict"] for r in urls.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
