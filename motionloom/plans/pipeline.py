@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import time
+import traceback
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import affinity, clean, metrics, sampling, signal, windows
 from ..operators.distance import cityblock, cross, nearest
-from ..operators.transport import joint_distances
+from ..operators.transport import DIRECTIONS, joint_distances
 from ..session import materialised
 from .methods import Clustering, cluster
 
@@ -99,8 +103,8 @@ def matrix(recordings: dict[str, DataFrame], methods=S.METHODS, *, store: Store
                 reference = result if method == "ap_full" else reference
             except MemoryError:
                 row["status"] = "oom"
-            except Exception as e:  # a failed cell must not end the matrix
-                row |= {"status": "error", "message": str(e)[:200]}
+            except Exception as e:  # a failed cell must not end the matrix; its trace is kept
+                row |= {"status": "error", "message": str(e)[:200], "trace": traceback.format_exc()}
         if "ap_full" in found:
             ref = found["ap_full"].select("win", F.col("label").alias("b"))
             for row in out:
@@ -246,14 +250,48 @@ def compare_features(dataset: str, histogram: DataFrame, empirical: DataFrame, r
     return {"dataset": dataset, "n_windows": n, "K": k, "spearman_rho": ranks["spearman_rho"], "flip_rate_pct": round(ranks["flip_rate_pct"], 1), "ari_histogram": h, "ari_empirical": e, "ari_hist_vs_emp": ari(labels["h"], labels["e"]), "sil_histogram": sil(histogram, "h"), "sil_empirical": sil(empirical, "e"), "winner": "histogram" if h >= e else "empirical", "delta_ari": round(h - e, 4), "status": "ok"}
 
 
-def cluster_joint(joint: DataFrame, method: str, *, reg: float = 0.5, preference=None, limit: int = 3000) -> DataFrame:
+def peak_memory() -> float:
+    """The most memory in MB that the driver's processes on this machine (Python, JVM and their children) have held, where the system tells."""
+    total = 0.0
+    for status in Path("/proc").glob("[0-9]*/status"):
+        try:
+            found = dict(x.split(":", 1) for x in status.read_text().splitlines() if ":" in x)
+            if int(found["PPid"]) and _below(int(status.parent.name)):
+                total += int(found.get("VmHWM", "0 kB").split()[0]) / 1024
+        except (OSError, KeyError, ValueError):
+            continue
+    return round(total, 1)
+
+
+def _below(pid: int) -> bool:
+    """Whether a process is this one or a descendant of it."""
+    while pid > 1:
+        if pid == os.getpid():
+            return True
+        try:
+            pid = int(Path(f"/proc/{pid}/stat").read_text().rsplit(")", 1)[1].split()[1])
+        except (OSError, ValueError, IndexError):
+            return False
+    return False
+
+
+def benchmark(rows: DataFrame, method: str, **options) -> dict:
+    """Windows, seconds, windows a second, clusters and peak memory in MB of one method."""
+    n, began = rows.count(), time.perf_counter()
+    found = cluster(rows, method, **options)
+    clusters = found.labels.where("label >= 0").select("label").distinct().count()
+    seconds = time.perf_counter() - began
+    return {"method": method, "n_windows": n, "t_s": round(seconds, 3), "windows_per_s": round(n / seconds, 1), "n_clusters": clusters, "peak_mb": peak_memory()}
+
+
+def cluster_joint(joint: DataFrame, method: str, *, reg: float = 0.5, preference=None, limit: int = 3000, n_directions: int = DIRECTIONS, seed: int = 42) -> DataFrame:
     """win and label: affinity propagation on transport distances between joint windows (at most limit rows)."""
     n = joint.count()
     if n > limit:
         raise ValueError(f"{n} windows are too many for a matrix of transport distances; the limit is {limit}")
     wins = [r[0] for r in joint.select("win").orderBy("win").collect()]
     place, d = {w: k for k, w in enumerate(wins)}, np.zeros((n, n))
-    for i, j, v in joint_distances(joint, method, reg=reg).toLocalIterator():
+    for i, j, v in joint_distances(joint, method, reg=reg, n_directions=n_directions, seed=seed).toLocalIterator():
         d[place[i], place[j]] = d[place[j], place[i]] = v
     labels, _ = affinity.cluster_matrix(d, preference)
     return joint.sparkSession.createDataFrame(list(zip(wins, labels.tolist(), strict=True)), "win long, label int")

@@ -36,3 +36,5 @@ JOINT_LABELS = T.StructType([T.StructField("Timestamp", T.DoubleType()), T.Struc
 
 METHODS = ("hdbscan", "ap_full", "ap_sampled", "ap_coreset", "ap_sparse", "ap_twolevel", "ap_kmeans", "ap_stratified")
 AP_SAMPLE, AP_FULL_LIMIT, SPARSE_NEIGHBOURS = 10_000, 25_000, 1_000
+#: Arenas, which share one set of edges.
+ARENAS = ("3d_wired", "2d_wired", "3d_wireless", "2d_wireless")
