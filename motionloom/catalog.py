@@ -500,6 +500,7 @@ _METHOD_SQL = {
     "ap_sampled": oracle.sampled_affinity(f"ap_sample AS (SELECT win, vec FROM cdf ORDER BY {oracle.order_key('win', 42)}, win LIMIT {_SAMPLE})", _SAMPLE),
     "ap_coreset": oracle.sampled_affinity(_CENTRES, _SAMPLE),
     "ap_sparse": oracle.sparse_affinity(_NEIGHBOURS),
+    "hdbscan": oracle.recursive(oracle.density("cdf", 5), "SELECT * FROM db_labels"),
 }
 
 
@@ -527,7 +528,7 @@ def kmeans_baseline(spark, d):
     return sampling.k_means(_embeddings(spark, d), 10)[0].select("win", F.col("cluster").alias("label"))
 
 
-@query()
+@query(oracle.recursive(oracle.density("emb", 10), "SELECT * FROM db_labels", "emb"))
 def density_of_vectors(spark, d):
     return density.hdbscan(_embeddings(spark, d).select("win", "vec"), 10)
 

@@ -177,3 +177,67 @@ sp(i, k, s, a, r, e, since, it, stop) AS (
   )
 ),
 {nearest_to("SELECT row_number() OVER (ORDER BY k) - 1 AS pos, k AS win FROM sp WHERE it = (SELECT max(it) FROM sp) AND i = k AND e")}""", "SELECT * FROM near_labels")
+
+
+def density(points: str, least: int) -> str:
+    """CTEs up to db_labels (win, label; noise: -1): HDBSCAN of points (win, vec) with clusters of `least` rows or more.
+
+    The tree is grown row by row, its edges are merged one by one; the condensed tree comes from the last merge downwards, the choice
+    of clusters from the first upwards. Clusters go by the merge that they begin with.
+    """
+    k = max(1, least // 5)
+    core = f"SELECT i, d AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM db_d WHERE i <> j) WHERE rank = {k - 1}" if k > 1 else "SELECT x AS i, 0 AS core FROM db_points"
+    return f"""db_points AS (SELECT win, vec, row_number() OVER (ORDER BY win) - 1 AS x FROM {points}),
+db_d AS (SELECT a.x AS i, b.x AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2])))::DOUBLE AS d FROM db_points a, db_points b),
+db_core AS ({core}),
+db_w AS (SELECT i, j, greatest(d, a.core, b.core) AS w FROM db_d JOIN db_core a USING (i) JOIN db_core b ON b.i = db_d.j),
+db_n AS (SELECT count(*) AS n FROM db_points),
+db_grow(step, x, inside, e, here) AS (
+  SELECT 0, x, x = 0, {{'w': 'infinity'::DOUBLE, 'lo': 0::BIGINT, 'hi': 0::BIGINT}}, 0::BIGINT FROM db_points
+  UNION ALL
+  SELECT step, x, inside OR x = here, e, here FROM (
+    SELECT step, x, inside, e, arg_min(x, e) FILTER (WHERE NOT inside) OVER () AS here FROM (
+      SELECT step + 1 AS step, x, inside, CASE WHEN inside THEN e ELSE least(e, {{'w': w, 'lo': least(here, x), 'hi': greatest(here, x)}}) END AS e
+      FROM db_grow JOIN db_w ON db_w.i = here AND db_w.j = x, db_n WHERE step < n - 1
+    )
+  )
+),
+db_edges AS (SELECT row_number() OVER (ORDER BY e) - 1 AS m, e.w AS w, e.lo AS lo, e.hi AS hi FROM db_grow WHERE step > 0 AND x = here),
+db_merge(m, x, own, was, l, r) AS (
+  SELECT -1::BIGINT, x, x, x, -1::BIGINT, -1::BIGINT FROM db_points
+  UNION ALL
+  SELECT m, x, CASE WHEN own IN (l, r) THEN n + m ELSE own END, own, l, r FROM (
+    SELECT e.m, s.x, s.own, max(CASE WHEN s.x = e.lo THEN s.own END) OVER () AS l, max(CASE WHEN s.x = e.hi THEN s.own END) OVER () AS r
+    FROM db_merge s JOIN db_edges e ON e.m = s.m + 1
+  ), db_n
+),
+db_nodes AS (SELECT n + m AS v, any_value(l) AS l, any_value(r) AS r, count(*) FILTER (WHERE was = l) AS nl, count(*) FILTER (WHERE was = r) AS nr FROM db_merge, db_n WHERE m >= 0 AND own = n + m GROUP BY n, m),
+db_rates AS (SELECT v, l, r, nl, nr, CASE WHEN w > 0 THEN 1 / w ELSE 'infinity'::DOUBLE END AS rate FROM db_nodes JOIN db_edges ON v = (SELECT n FROM db_n) + m),
+db_tree(v, c, born) AS (
+  SELECT max(v), max(v), 0.0::DOUBLE FROM db_rates
+  UNION ALL
+  SELECT u, CASE WHEN nl >= {least} AND nr >= {least} THEN u ELSE c END, CASE WHEN nl >= {least} AND nr >= {least} THEN rate ELSE born END
+  FROM (SELECT t.c, t.born, x.*, unnest([l, r]) AS u, unnest([nl, nr]) AS nu FROM db_tree t JOIN db_rates x USING (v)), db_n WHERE nu >= {least} AND u >= n
+),
+db_events AS (SELECT t.c, t.born, rate, nl >= {least} AND nr >= {least} AS split, unnest([l, r]) AS u, unnest([nl, nr]) AS nu FROM db_tree t JOIN db_rates USING (v)),
+db_finite AS (SELECT coalesce(max(rate) FILTER (WHERE rate < 'infinity'::DOUBLE AND NOT split AND nu < {least}), 1.0) AS top FROM db_events),
+db_own AS (SELECT c, coalesce(sum((least(rate, top) - least(born, top)) * nu) FILTER (WHERE split OR nu < {least}), 0) AS own, coalesce(list(u) FILTER (WHERE split), []) AS kids FROM db_events, db_finite GROUP BY c),
+db_order AS (SELECT *, row_number() OVER (ORDER BY c) AS k FROM db_own),
+db_best(k, c, best, flags) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::DOUBLE[], []::BOOLEAN[]
+  UNION ALL
+  SELECT k, c, list_append(best, CASE WHEN flag THEN own ELSE below END), list_append(flags, flag) FROM (
+    SELECT o.k, list_append(b.c, o.c) AS c, best, flags, own, below, o.c < (SELECT max(c) FROM db_order) AND (len(kids) = 0 OR own >= below) AS flag FROM (
+      SELECT o.*, coalesce(list_sum(list_transform(o.kids, lambda x: b.best[list_position(b.c, x)])), 0) AS below FROM db_best b JOIN db_order o ON o.k = b.k + 1
+    ) o JOIN db_best b ON o.k = b.k + 1
+  )
+),
+db_flags AS (SELECT unnest(c) AS c, unnest(flags) AS flag FROM db_best WHERE k = (SELECT max(k) FROM db_order)),
+db_down(c, flag) AS (
+  SELECT c, flag FROM db_flags WHERE c = (SELECT max(c) FROM db_flags)
+  UNION ALL
+  SELECT f.c, f.flag FROM db_down d JOIN db_own o ON o.c = d.c JOIN db_flags f ON list_contains(o.kids, f.c) WHERE NOT d.flag
+),
+db_members AS (SELECT s.x, s.own AS c FROM db_merge s, db_n WHERE s.own = n + s.m AND s.own IN (SELECT c FROM db_down WHERE flag)),
+db_rank AS (SELECT c, row_number() OVER (ORDER BY min(x)) - 1 AS label FROM db_members GROUP BY c),
+db_labels AS (SELECT p.win, coalesce(label, -1)::INT AS label FROM db_points p LEFT JOIN (db_members JOIN db_rank USING (c)) USING (x))"""
