@@ -148,3 +148,17 @@ def test_clean_statistics_and_files(spark, tmp_path):
     assert [r["label"] for r in files.read_labels(spark, str(tmp_path / "l")).orderBy("Timestamp").collect()] == [2, -1, 0]
     assert [r["label"] for r in files.read_labels(spark, str(tmp_path / "l"), shift=False).orderBy("Timestamp").collect()] == [3, 0, 1]
     assert files.prior_timings(spark, str(tmp_path / "none")) == {}
+
+
+def test_spans_agree_with_the_whole_recording(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.standard_normal((20_000, 4)), axis=0)
+    x[rng.integers(0, 20_000, 50), 0] = np.nan
+    rows = spark.createDataFrame([(i, 0.0, "a", *v) for i, v in enumerate(x.tolist())], "pos long, ts double, folder string, ax double, ay double, az double, gz double")
+    rows = rows.withColumn("ax", F.when(~F.isnan("ax"), F.col("ax")))
+    whole = signal.signals(rows).orderBy("pos").toPandas()
+    monkeypatch.setattr(signal, "SPAN", 3000)
+    spans = signal.signals(rows).orderBy("pos").toPandas()
+    assert len(whole) == 20_000 and (whole["pos"] == spans["pos"]).all()
+    for k in ("y_ga", "z", "z_gyro", "tot_accel"):
+        assert np.allclose(whole[k].astype(float), spans[k].astype(float), rtol=0, atol=1e-9, equal_nan=True)
