@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns a, b of orderable ids, in any direction, repeated or not. Each
     round is a table in the shared folder, so that lineage stays short; the rounds
-    grow with the logarithm of the longest chain.
+    grow with the logarithm of the longest chain. An empty table, or one of loops only, gives no rows.
     """
     edges = c.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = None

@@ -17,7 +17,7 @@ rows; empty lists allow everything. Other columns of the table are not read.
 Scale. Only page_id and url are read. The filter has at most ``blocks`` rows whatever the
 length of the list (a fuller filter passes more to the exact join), so that its broadcast is
 bounded: 16 bytes a block, 1 MB. Hits are reduced to one row per URL with a map-side
-combine; the join back on url is a plain equality join, which adaptive execution splits.
+combine; the join back on url grows with the table and is always a sort-merge join, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -88,4 +88,4 @@ def judge(pages: DataFrame, listed: DataFrame, *, blocks: int = BLOCKS) -> DataF
     order = F.struct((~F.col("first")).alias("late"), (-F.length("expression")).alias("size"), (-F.length("host")).alias("host_size"), "expression", "verdict")
     best = c.written(hits.groupBy("url").agg(F.min(order).alias("best")).select(F.col("url").alias("_url"), "best"), "verdicts")
     rule = F.when(~F.col("best.late"), F.col("best.expression"))
-    return base.join(best, base["url"] == best["_url"], "left").select("page_id", "url", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    return base.join(best.hint("merge"), base["url"] == best["_url"], "left").select("page_id", "url", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
