@@ -104,13 +104,14 @@ def hash_between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, kind: i
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), kind)[1][start])
 
 
-def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document of each word; words don't cross documents."""
+def words_of(data: np.ndarray, offs: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document of each word; words don't cross documents. word: which bytes are in words (by default all but white space)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~IS_SPACE[data]
+    if word is None:
+        word = ~IS_SPACE[data]
     left, right = np.empty(n, bool), np.empty(n, bool)
     left[0], right[-1] = True, True
     left[1:] = ~word[:-1]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import exact, html, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
+from . import exact, html, mixing, packing, phrases, quality, resampling, secrets, simhash, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.compact(found.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_suffix, op5_html, op6_mixing, op7_urls, op8_toxicity, op9_exact, op10_quality)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations of two or three words."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's texts, and the rank of the tenth that is drawn."""
+    return c.compact(resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_suffix, op5_html, op6_mixing, op7_urls, op8_toxicity, op9_exact, op10_quality, op11_phrases, op12_resampling)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -162,5 +172,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM x
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, {_LOWERED} AS text FROM documents),
+p AS (SELECT doc, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM (SELECT doc, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS pieces FROM d)),
+w AS (SELECT doc, lang, p, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM (SELECT doc, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p)),
+g AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc, p ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+over AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT x.lang, x.w1 || ' ' || x.w2 AS phrase, x.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 x JOIN f1 l ON (x.lang, x.w1) = (l.lang, l.w1) JOIN f1 r ON (x.lang, x.w2) = (r.lang, r.w1)
+  LEFT JOIN over o ON (x.lang, x.w1, x.w2) = (o.lang, o.w1, o.w2) WHERE o.most IS NULL OR 100 * o.most < {phrases.ABSORB} * x.f
+  UNION ALL
+  SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 1, l.f, r.f
+  FROM f3 x JOIN f1 l ON (x.lang, x.w1) = (l.lang, l.w1) JOIN f2 r ON (x.lang, x.w2, x.w3) = (r.lang, r.w1, r.w2)
+  UNION ALL
+  SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 2, l.f, r.f
+  FROM f3 x JOIN f2 l ON (x.lang, x.w1, x.w2) = (l.lang, l.w1, l.w2) JOIN f1 r ON (x.lang, x.w3) = (r.lang, r.w1)
+),
+s AS (SELECT *, (({phrases.UNIT}::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+target AS (SELECT unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+w AS (SELECT row, unnest(words) AS word FROM d),
+bytes AS (SELECT range AS b FROM range(256)),
+crc AS (SELECT list(x ORDER BY b) AS t FROM (
+  SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM bytes)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(hex(encode(word))) // 2), lambda j: ('0x' || substr(hex(encode(word)), 2 * j + 1, 2))::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {resampling.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT word FROM (SELECT word FROM w UNION ALL SELECT word FROM target)), crc),
+raw AS (SELECT bucket, count(*)::DOUBLE AS s FROM w JOIN hashed USING (word) GROUP BY bucket),
+goal AS (SELECT bucket, count(*)::DOUBLE AS t FROM target JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce((SELECT sum(s) FROM raw), 0) AS big_s, coalesce((SELECT sum(t) FROM goal), 0) AS big_t),
+gain AS (SELECT bucket, floor({resampling.UNIT} * ln((coalesce(t, 0) + 1) * (big_s + {resampling.BUCKETS}) / ((s + 1) * (big_t + {resampling.BUCKETS}))))::BIGINT AS gain FROM raw LEFT JOIN goal USING (bucket), sums),
+many AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS total FROM w JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY row),
+x AS (
+  SELECT row, doc_id, coalesce(n, 0) AS n_features, coalesce(((total - ((total % n) + n) % n) // n), 0) AS weight,
+    floor(-{resampling.UNIT} * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS noise
+  FROM d LEFT JOIN many USING (row)),
+k AS (SELECT *, weight + noise AS score, n_features >= {resampling.MIN_WORDS} AS may FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY weight + noise DESC, doc_id NULLS LAST, n_features DESC) AS rank, ({resampling.PERCENT} * count(*) OVER (PARTITION BY may)) // 100 AS drawn FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND rank <= drawn THEN rank END AS rank FROM r
+"""
+
 #: SimHash (XXH64) and tokenising are beyond SQL; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_mixing": _OP6, "op7_urls": _OP7, "op9_exact": _OP9, "op10_quality": _OP10}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": _OP6, "op7_urls": _OP7, "op9_exact": _OP9, "op10_quality": _OP10, "op11_phrases": _OP11, "op12_resampling": _OP12}
