@@ -25,6 +25,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 U64 = np.uint64
+#: Bits of a filter (filter_of), and how many stand for a key.
+FILTER, HASHES = 1 << 26, 3
 
 
 def written(df: DataFrame, name: str, *, short: bool = True) -> DataFrame:
@@ -69,6 +71,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A table of FILTER bits in which HASHES bits are set for each row of the column h (64 bits)."""
+    width = FILTER.bit_length() - 1
+    bits = [F.shiftrightunsigned("h", k * (64 - width) // (HASHES - 1)).bitwiseAND(FILTER - 1) for k in range(HASHES)]
+    words = hashes.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
+    out = np.zeros(FILTER // 64, np.int64)
+    found = words.toArrow()  # at most FILTER / 64 rows
+    out[found["at"].to_numpy()] = found["set"].to_numpy()
+    return out
+
+
+def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may know each hash; it knows all that it was made of."""
+    width, out = FILTER.bit_length() - 1, np.ones(len(h), bool)
+    for k in range(HASHES):
+        bit = (h >> U64(k * (64 - width) // (HASHES - 1)) & U64(FILTER - 1)).astype(np.int64)
+        out &= (table[bit >> 6] >> (bit & 63) & 1).astype(bool)
+    return out
+
+
 #: Bytes that one prefix hash may cover; longer texts are hashed in segments.
 SEGMENT = 1 << 20
 #: Odd bases of the two polynomial hashes of byte strings, and the values of bytes in each.

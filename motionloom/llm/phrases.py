@@ -47,8 +47,6 @@ HELD = 1 << 18
 CHUNK, RANGE = 1 << 21, 1 << 23
 #: Keys in the sample that settles the bounds of ranges.
 SAMPLE = 1 << 16
-#: Bits of the filters, and how many stand for a key.
-FILTER, HASHES = 1 << 26, 3
 #: Parts by which words of the dictionary are numbered; salts of a language's ranking.
 PARTS, SALTS = 1024, 64
 
@@ -127,26 +125,6 @@ def dictionary(counts: DataFrame, head: int = HEAD) -> tuple[DataFrame, DataFram
     return first, c.written(rest.select("lang", "word", "n", (place * PARTS + F.col("_part") + head + 1).alias("id")), "rest")
 
 
-def filter_of(hashes: DataFrame) -> np.ndarray:
-    """A table of FILTER bits in which HASHES bits are set for each row of the column h (64 bits)."""
-    width = FILTER.bit_length() - 1
-    bits = [F.shiftrightunsigned("h", k * (64 - width) // (HASHES - 1)).bitwiseAND(FILTER - 1) for k in range(HASHES)]
-    words = hashes.select(F.explode(F.array(*bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
-    out = np.zeros(FILTER // 64, np.int64)
-    found = words.toArrow()  # at most FILTER / 64 rows
-    out[found["at"].to_numpy()] = found["set"].to_numpy()
-    return out
-
-
-def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the filter may know each hash; it knows all that it was made of."""
-    width, out = FILTER.bit_length() - 1, np.ones(len(h), bool)
-    for k in range(HASHES):
-        bit = (h >> c.U64(k * (64 - width) // (HASHES - 1)) & c.U64(FILTER - 1)).astype(np.int64)
-        out &= (table[bit >> 6] >> (bit & 63) & 1).astype(bool)
-    return out
-
-
 def _word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b" " + word)
 
@@ -188,7 +166,7 @@ def _encoder(head, rest):
                 out[place] = ids
                 asked = list(unknown)
                 if asked:
-                    maybe = _passes(known, np.array([_word_hash(*x) for x in asked], np.uint64))
+                    maybe = c.passes(known, np.array([_word_hash(*x) for x in asked], np.uint64))
                     asked = [x for x, y in zip(asked, maybe.tolist(), strict=True) if y]
                 at = np.array([place[i] for x in asked for i in unknown[x]], np.int64)
                 number = np.repeat(np.arange(len(asked)), [len(unknown[x]) for x in asked])
@@ -222,7 +200,7 @@ def encoded(docs: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
     found = first.select("lang", "word", "id").toArrow()  # at most HEAD words of LONG bytes
     head = share(([str(x) for x in found["lang"].to_pylist()], found["word"].to_pylist(), found["id"].to_pylist()))
     more = not rest.isEmpty()
-    known = share(filter_of(c.in_arrow(rest.select("lang", "word"), _word_hashes, "h long"))) if more else None
+    known = share(c.filter_of(c.in_arrow(rest.select("lang", "word"), _word_hashes, "h long"))) if more else None
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     blocks = c.in_arrow(text, _encoder(head, known), _ENCODED)
     if not more:
@@ -286,7 +264,7 @@ def _runs(ids: np.ndarray, m: int, known: np.ndarray | None) -> list[np.ndarray]
         part = np.flatnonzero(good)  # a run begins here; its second part begins one later
         need = np.unique(np.concatenate([part, part + 1]))
         passed = np.zeros(len(ids) + 1, bool)
-        passed[need] = _passes(known, _run_hash([ids[need + k] for k in range(m - 1)]))
+        passed[need] = c.passes(known, _run_hash([ids[need + k] for k in range(m - 1)]))
         good &= passed[:n] & passed[1 : n + 1]
     at = np.flatnonzero(good)
     return [ids[at + k] for k in range(m)]
@@ -381,7 +359,7 @@ def frequent_runs(numbers: DataFrame, m: int, words: int, shorter: DataFrame | N
     shorter: the frequent runs of m - 1 numbers, where parts are to be looked for in them.
     """
     spark = numbers.sparkSession
-    known = spark.sparkContext.broadcast(filter_of(c.in_arrow(shorter.select("ids"), _run_hashes, "h long"))) if shorter is not None else None
+    known = spark.sparkContext.broadcast(c.filter_of(c.in_arrow(shorter.select("ids"), _run_hashes, "h long"))) if shorter is not None else None
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(words / RANGE))
     sample = np.sort(np.array([bytes(r[0]) for r in c.in_arrow(numbers, _sampler(m, known, min(1.0, SAMPLE / max(words, 1))), "key binary").collect()], f"S{4 * m}"))  # about SAMPLE keys
     bounds = sample[np.linspace(0, len(sample), parts + 1)[1:-1].astype(int)] if len(sample) else sample
