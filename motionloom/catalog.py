@@ -361,16 +361,16 @@ cols_ AS (SELECT b, (1 << (row_number() OVER (ORDER BY b) - 1))::BIGINT AS bit F
 best(r, mask, total, pairs) AS (
   SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, []::STRUCT(a INT, b INT, n BIGINT)[]
   UNION ALL
-  SELECT r, mask, max(total), arg_max(pairs, total) FROM (
+  SELECT r, mask, max(total), arg_min(pairs, {'least': -total, 'pairs': pairs}) FROM (
     SELECT best.r + 1 AS r, mask | coalesce(c.bit, 0) AS mask, total + coalesce(x.n, 0) AS total, CASE WHEN x.n > 0 THEN list_append(pairs, {'a': w.a::INT, 'b': c.b::INT, 'n': x.n}) ELSE pairs END AS pairs
     FROM best JOIN rows_ w ON w.r = best.r + 1 LEFT JOIN (SELECT * FROM cols_ UNION ALL SELECT NULL, 0) c ON (mask & c.bit) = 0 LEFT JOIN cells x ON x.a = w.a AND x.b = c.b
   ) GROUP BY r, mask
 )"""
 
 
-@query(sql("SELECT p.a::BIGINT AS a, p.b::BIGINT AS b, p.n AS n FROM (SELECT unnest(pairs) AS p FROM (SELECT pairs FROM best WHERE r = (SELECT count(*) FROM rows_) ORDER BY total DESC LIMIT 1))", "ab").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT", f", {_MATCHED}\nSELECT", 1))
+@query(sql("SELECT p.a::BIGINT AS a, p.b::BIGINT AS b, p.n AS n FROM (SELECT unnest(pairs) AS p FROM (SELECT pairs FROM best WHERE r = (SELECT count(*) FROM rows_) ORDER BY total DESC, pairs LIMIT 1))", "ab").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT", f", {_MATCHED}\nSELECT", 1))
 def matched_clusters(spark, d):
-    """Pairs of clusters of two labellings with the greatest overlap in all."""
+    """Pairs of clusters of two labellings with the greatest overlap in all; of equal matchings the first list of pairs."""
     table, a, b = metrics.table_of(metrics.contingency(_both(spark, d)))
     return _rows(spark, [{"a": int(a[i]), "b": int(b[j]), "n": int(table[i, j])} for i, j in metrics.match_clusters(table)], "a long, b long, n long")
 

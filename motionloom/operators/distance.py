@@ -36,9 +36,9 @@ def cityblock(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grid(n_left: int, n_right: int, upper: bool, cores: int) -> tuple[int, int]:
-    """Groups of either side: few rows each, and cells enough to keep the cores busy, as far as there is work for them."""
-    cells = min(4 * cores, -(-n_left * n_right // PAIRS))
+def _grid(n_left: int, n_right: int, upper: bool, cores: int, cost: int = 1) -> tuple[int, int]:
+    """Groups of either side: few rows each, and cells enough to keep the cores busy, as far as there is work for them; cost: of a pair, in city-block distances."""
+    cells = min(4 * cores, -(-n_left * n_right * cost // PAIRS))
     left, right = -(-n_left // GROUP), -(-n_right // GROUP)
     if upper:
         while left * (left + 1) // 2 < cells:
@@ -107,17 +107,17 @@ def _on_grid(kernel: Callable, names: tuple[str, ...], groups: int, upper: bool,
     return run
 
 
-def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple[str, ...] = ("i", "j", "d"), *, upper: bool = False, key: str = "win", other: str = "win", vec: str = "vec", block: int | None = None, wide: int | None = None) -> DataFrame:
+def block_join(left: DataFrame, right: DataFrame, kernel: Callable, names: tuple[str, ...] = ("i", "j", "d"), *, upper: bool = False, key: str = "win", other: str = "win", vec: str = "vec", block: int | None = None, wide: int | None = None, cost: int = 1) -> DataFrame:
     """Meets all blocks of two sides; kernel(left keys, left vectors, right keys, right vectors, same block) gives arrays of names.
 
-    upper: each pair of blocks once, for symmetric joins of a table with itself. Keys ascend in a block of `block` left or `wide` right rows.
+    upper: each pair of blocks once, for symmetric joins of a table with itself. cost: of one pair, in city-block distances. Keys ascend in a block of `block` left or `wide` right rows.
     """
     block = block or BLOCK
     rows = lambda df, k: materialised(df.select(F.col(k).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")), "rows")
     a = rows(left, key)
     b = a if right is left else rows(right, other)
     n = a.count()
-    groups, others = _grid(n, n if b is a else b.count(), upper, left.sparkSession.sparkContext.defaultParallelism)
+    groups, others = _grid(n, n if b is a else b.count(), upper, left.sparkSession.sparkContext.defaultParallelism, cost)
     own = lambda g: F.pmod(F.xxhash64("k"), F.lit(g))
     side = lambda df, which, cells: df.select(F.explode(cells).alias("cell"), F.lit(which).alias("side"), "k", "v")
     span = lambda first, last: F.when(first <= last, F.sequence(first, last))

@@ -186,7 +186,10 @@ def bootstrap_correlation(xy: DataFrame, draws: int = 1000, seed: int = 0) -> Da
 
 
 def match_clusters(table: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of an overlap table with the greatest sum, without pairs of no overlap."""
+    """Pairs (row, column) of an overlap table with the greatest sum, without pairs of no overlap.
+
+    Of several such matchings the one whose list of pairs comes first: the first row that can have a partner has its first possible one, and so on.
+    """
     n = max(table.shape)
     cost = np.zeros((n, n))
     cost[: table.shape[0], : table.shape[1]] = -table
@@ -213,9 +216,35 @@ def match_clusters(table: np.ndarray) -> list[tuple[int, int]]:
             before = way[col]
             owner[col] = i if before < 0 else owner[before]
             col = before
+    _first_of_equal(table, np.abs(cost - u[:, None] - v) < 1e-6, owner)
     return sorted((int(owner[j]), j) for j in range(table.shape[1]) if owner[j] < table.shape[0] and table[owner[j], j] > 0)
 
 
+def _first_of_equal(table: np.ndarray, tight: np.ndarray, owner: np.ndarray) -> None:
+    """Turns owner (the row of each column), a best matching, into the first of the best ones; all best ones have tight cells only."""
+    fixed = np.zeros(len(owner), bool)  # columns
+    for i in range(table.shape[0]):
+        for j in np.flatnonzero(table[i] > 0).tolist():
+            own = int(np.flatnonzero(owner == i)[0])
+            if not tight[i, j] or fixed[j]:
+                continue
+            if own != j:  # the row that has j needs another column, along a path of tight cells that ends in i's own
+                came, front = {own: -1}, [own]
+                while front and j not in came:
+                    col = front.pop()
+                    for k in np.flatnonzero(tight[owner, col] & ~fixed).tolist():  # columns whose rows could take col
+                        if k not in came and owner[k] != i:
+                            came[k] = col
+                            front.append(k)
+                if j not in came:
+                    continue
+                col, row = j, i
+                while col >= 0:
+                    owner[col], row, col = row, owner[col], came[col]
+            fixed[j] = True
+            break
+
+
 def raster_agreement(both: DataFrame, matched: list[tuple[int, int]], a: str = "a", b: str = "b") -> DataFrame:
     """One row: share of rows whose b is the partner of their a; labels without partner disagree."""
     pairs = both.sparkSession.createDataFrame(matched or [(None, None)], "_a int, _b int")

@@ -75,7 +75,8 @@ def k_centres(df: DataFrame, k: int, seed: int = 0, key: str = "win", vec: str =
 
 
 def slots(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism // 2)
+    """Tasks of a barrier stage: all that the cluster runs at once."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def k_means(df: DataFrame, k: int, seed: int = 42, key: str = "win", vec: str = "vec", max_iter: int = 20):
