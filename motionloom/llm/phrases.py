@@ -42,9 +42,9 @@ UNIT = 1_000_000
 #: Words that tasks look up by themselves, and the bytes that one of them may have.
 HEAD, LONG = 1 << 19, 48
 #: Different words that a task holds before it hands their counts on, and bytes of them.
-HELD = 1 << 18
+HELD = 1 << 17
 #: Runs that a task sorts at once, and words of text that make up one range.
-CHUNK, RANGE = 1 << 21, 1 << 23
+CHUNK, RANGE = 1 << 20, 1 << 22
 #: Keys in the sample that settles the bounds of ranges.
 SAMPLE = 1 << 16
 #: Parts by which words of the dictionary are numbered; salts of a language's ranking.
@@ -144,9 +144,9 @@ def _encoder(head, rest):
 
     def kernel(batches):
         if not tables:
-            lang, word, number = head.value
-            for k, w, i in zip(lang, word, number, strict=True):
-                tables.setdefault(k, {})[w] = i
+            for part in head.value.to_batches(1 << 14):
+                for k, w, i in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                    tables.setdefault(k, {})[w] = i
         known = rest and rest.value
         for batch in batches:
             code, names = _langs(batch.column(0))
@@ -197,8 +197,7 @@ def _fill(batches):
 def encoded(docs: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
     """Column ids: the texts as numbers of 32 bits, in blocks, 0 for words that aren't in the dictionary and before each piece."""
     share = docs.sparkSession.sparkContext.broadcast
-    found = first.select("lang", "word", "id").toArrow()  # at most HEAD words of LONG bytes
-    head = share(([str(x) for x in found["lang"].to_pylist()], found["word"].to_pylist(), found["id"].to_pylist()))
+    head = share(first.select("lang", "word", "id").toArrow())  # at most HEAD words of LONG bytes
     more = not rest.isEmpty()
     known = share(c.filter_of(c.in_arrow(rest.select("lang", "word"), _word_hashes, "h long"))) if more else None
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
