@@ -294,6 +294,39 @@ def entropic_transport(spark, d):
     return transport.joint_distances(windows.joint(_signals(spark, d)), "sinkhorn", reg=0.5)
 
 
+#: Clouds of four points in four dimensions from the vectors, in thousandths: sums of four neighbouring entries each. Small enough for SQL, which tries all assignments.
+_CLOUDS = """pts AS (SELECT win, list_transform(range(4), lambda k: list_transform(range(4), lambda c: list_sum(vec[16 * k + 4 * c + 1 : 16 * k + 4 * c + 4]) / 1000.0::DOUBLE)) AS p FROM emb),
+cost AS (SELECT x.win AS i, y.win AS j, list_transform(range(16), lambda m: list_sum(list_transform(range(4), lambda c: abs(x.p[m // 4 + 1][c + 1] - y.p[m % 4 + 1][c + 1])))) AS m FROM pts x JOIN pts y ON y.win % 16 = 0)"""
+_ORDERS = "orders AS (SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d FROM (SELECT unnest(range(4)) AS k) a, (SELECT unnest(range(4)) AS k) b, (SELECT unnest(range(4)) AS k) c, (SELECT unnest(range(4)) AS k) d WHERE len(list_distinct([a.k, b.k, c.k, d.k])) = 4)"
+_SCALED = """k AS (SELECT i, j, m, list_transform(m, lambda x: exp(-x / 0.5::DOUBLE)) AS k FROM cost),
+plans(i, j, u, v, step) AS (
+  SELECT i, j, NULL::DOUBLE[], [1.0, 1.0, 1.0, 1.0]::DOUBLE[], 0 FROM k
+  UNION ALL
+  SELECT i, j, u, list_transform(range(4), lambda b: 0.25::DOUBLE / (u[1] * k[b + 1] + u[2] * k[b + 5] + u[3] * k[b + 9] + u[4] * k[b + 13])), step FROM (
+    SELECT i, j, k, list_transform(range(4), lambda a: 0.25::DOUBLE / (k[4 * a + 1] * v[1] + k[4 * a + 2] * v[2] + k[4 * a + 3] * v[3] + k[4 * a + 4] * v[4])) AS u, step + 1 AS step FROM plans JOIN k USING (i, j) WHERE step < 200)
+)"""
+
+
+def _clouds(spark, d):
+    x = _embeddings(spark, d)
+    point = lambda k: F.array(*(sum((F.col("vec")[16 * k + 4 * c + e] for e in range(1, 4)), F.col("vec")[16 * k + 4 * c]) / 1000.0 for c in range(4)))
+    return x.select("win", F.array(*(point(k) for k in range(4))).alias("pts"))
+
+
+@query(sql("SELECT i, j, round(min(m[a + 1] + m[b + 5] + m[c + 9] + m[d + 13]) / 4, 6) AS d FROM cost, orders GROUP BY i, j", "emb").replace("\nSELECT", f", {_CLOUDS}, {_ORDERS}\nSELECT", 1))
+def exact_transport_of_points(spark, d):
+    """Exact transport between clouds of few points: all rows against every sixteenth."""
+    x = _clouds(spark, d)
+    return transport.joint_distances(x, "exact_emd", x.where("win % 16 = 0")).select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query(oracle.recursive(f"{_CLOUDS}, {_SCALED}", "SELECT i, j, round(list_sum(list_transform(range(16), lambda e: u[e // 4 + 1] * k[e + 1] * v[e % 4 + 1] * m[e + 1])), 6) AS d, true AS converged FROM plans JOIN k USING (i, j) WHERE step = 200", "emb"))
+def entropic_transport_of_points(spark, d):
+    """Entropic transport between clouds of few points: all rows against every sixteenth."""
+    x = _clouds(spark, d)
+    return transport.joint_distances(x, "sinkhorn", x.where("win % 16 = 0"), reg=0.5).select("i", "j", F.round("d", 6).alias("d"), "converged")
+
+
 # Samples
 
 

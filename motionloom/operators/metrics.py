@@ -6,6 +6,7 @@ Label tables have win and label; -1 is noise.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,18 +43,18 @@ def contingency(both: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return both.where((F.col(a) >= 0) & (F.col(b) >= 0)).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def agreement(both: DataFrame, pred: str = "a", ref: str = "b") -> DataFrame:
-    """One row: ri, ari and nmi (arithmetic) of two labellings, from one pass of grouping sets.
+def agreement(both: DataFrame, pred: str = "a", ref: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of the columns in by): ri, ari and nmi (arithmetic) of two labellings, from one pass of grouping sets.
 
     Rows whose pred is noise are left out; noise of ref counts as a cluster. Fewer than two rows or
     predicted clusters: null.
     """
-    cells = both.where(F.col(pred) >= 0).groupBy(F.col(pred).alias("a"), F.col(ref).alias("b")).agg(F.count("*").alias("n"))
-    sets = cells.cube("a", "b").agg(F.sum("n").alias("n"), F.grouping("a").alias("ga"), F.grouping("b").alias("gb"))
+    cells = both.where(F.col(pred) >= 0).groupBy(*by, F.col(pred).alias("a"), F.col(ref).alias("b")).agg(F.count("*").alias("n"))
+    sets = cells.groupingSets([[*by, "a", "b"], [*by, "a"], [*by, "b"], [*by]], *by, "a", "b").agg(F.sum("n").alias("n"), F.grouping("a").alias("ga"), F.grouping("b").alias("gb"))
     n, pairs_of = F.col("n").cast("double"), F.col("n") * (F.col("n") - 1) / 2.0
     kind = {"c": (0, 0), "a": (0, 1), "b": (1, 0), "t": (1, 1)}
     when = {k: (F.col("ga") == x) & (F.col("gb") == y) for k, (x, y) in kind.items()}
-    sums = sets.agg(
+    sums = sets.groupBy(*by).agg(
         *(F.coalesce(F.sum(F.when(w, pairs_of)), F.lit(0.0)).alias(f"p{k}") for k, w in when.items()),
         *(F.coalesce(F.sum(F.when(w, n * F.log(n))), F.lit(0.0)).alias(f"h{k}") for k, w in when.items()),
         F.max(F.when(when["t"], n)).alias("total"), F.count_if(when["a"]).alias("ka"),
@@ -65,7 +66,7 @@ def agreement(both: DataFrame, pred: str = "a", ref: str = "b") -> DataFrame:
     mi = F.log(total) + (F.col("hc") - F.col("ha") - F.col("hb")) / total
     enough = (total >= 2) & (F.col("ka") >= 2)
     nmi = F.when(ha + hb == 0, 1.0).otherwise(2 * mi / (ha + hb))
-    return sums.select(*(F.when(enough, F.round(v, 4)).alias(k) for k, v in (("ri", (pt + 2 * pc - pa - pb) / pt), ("ari", ari), ("nmi", nmi))))
+    return sums.select(*by, *(F.when(enough, F.round(v, 4)).alias(k) for k, v in (("ri", (pt + 2 * pc - pa - pb) / pt), ("ari", ari), ("nmi", nmi))))
 
 
 def adjusted_mutual_information(table: np.ndarray) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,15 +36,20 @@ def bootstrap(df: DataFrame, draws: int, n: int, seed: int = 0) -> DataFrame:
 
 
 def k_centres(df: DataFrame, k: int, seed: int = 0, key: str = "win", vec: str = "vec") -> DataFrame:
-    """pos, key and vec of k rows: each next one is farthest from those before it (ties: lowest key), from a seeded first one.
+    """pos, key and vec of k rows: each next one is farthest from those before it (ties: lowest key), from a seeded first one."""
+    return k_centres_of(df, k, [seed], key, vec).drop("run")
+
+
+def k_centres_of(df: DataFrame, k: int, seeds: Sequence[int], key: str = "win", vec: str = "vec") -> DataFrame:
+    """k_centres for each of the seeds; run is the seed's place.
 
     Rows stay where they are: tasks of one barrier stage hold their rows and distances, and exchange
-    their farthest row in each step.
+    their farthest row for each seed in each step.
     """
     rows = df.select(F.col(key).cast("long").alias("win"), F.col(vec).cast("array<double>").alias("vec"))
-    first = uniform(rows, 1, seed).select("win").first()
-    if first is None:
-        return rows.select(F.lit(0).cast("long").alias("pos"), "win", "vec")
+    first = [uniform(rows, 1, seed).select("win").first() for seed in seeds]
+    if first[0] is None:
+        return rows.select(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("pos"), "win", "vec")
     parts = slots(df)
 
     def kernel(batches):
@@ -54,24 +61,29 @@ def k_centres(df: DataFrame, k: int, seed: int = 0, key: str = "win", vec: str =
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         wins = table.column(0).to_numpy() if table else np.zeros(0, np.int64)
         x = np.array(table.column(1).to_pylist(), np.float64) if table and len(table) else np.zeros((0, 0))
-        mine = np.flatnonzero(wins == first[0])
-        chosen = [v for v in exchange.gather((int(wins[mine[0]]), x[mine[0]]) if len(mine) else None) if v][0]
-        far, out = np.full(len(wins), np.inf), []
+        chosen: list = [None] * len(seeds)
+        for said in exchange.gather([(int(wins[at[0]]), x[at[0]]) if len(at := np.flatnonzero(wins == f[0])) else None for f in first]):
+            chosen = [mine or known for mine, known in zip(said, chosen, strict=True)]
+        far, out = np.full((len(seeds), len(wins)), np.inf), []
         for pos in range(k):
-            if exchange.rank == 0:
-                out.append((pos, chosen[0], chosen[1].tolist()))
-            if len(wins):
-                far = np.minimum(far, np.abs(x - chosen[1]).sum(axis=1))
-                best = np.lexsort((wins, -far))[0]
-            offers = [v for v in exchange.gather((-far[best], int(wins[best]), x[best]) if len(wins) else None) if v]
-            top = min(offers, key=lambda v: v[:2])
-            if top[0] >= 0:  # every row is chosen, or a copy of a chosen one
+            offers: list = []
+            for run, now in enumerate(chosen):
+                if now and exchange.rank == 0:
+                    out.append((run, pos, now[0], now[1].tolist()))
+                if now and len(wins):
+                    far[run] = np.minimum(far[run], np.abs(x - now[1]).sum(axis=1))
+                    best = np.lexsort((wins, -far[run]))[0]
+                offers.append((-far[run][best], int(wins[best]), x[best]) if now and len(wins) else None)
+            said = exchange.gather(offers)
+            for run, now in enumerate(chosen):
+                top = min((v[run] for v in said if v[run]), key=lambda v: v[:2]) if now else None
+                chosen[run] = top[1:] if top and top[0] < 0 else None  # else every row is chosen, or a copy of a chosen one
+            if not any(chosen):
                 break
-            chosen = top[1:]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64()))], ["pos", "win", "vec"])
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:3]), pa.array(columns[3], pa.list_(pa.float64()))], ["run", "pos", "win", "vec"])
 
-    return materialised(in_arrow(rows.repartition(parts, "win"), kernel, "pos long, win long, vec array<double>", barrier=True), "centres", barrier=True)
+    return materialised(in_arrow(rows.repartition(parts, "win"), kernel, "run long, pos long, win long, vec array<double>", barrier=True), "centres", barrier=True)
 
 
 def slots(df: DataFrame) -> int:

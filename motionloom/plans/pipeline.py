@@ -10,14 +10,17 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import affinity, clean, metrics, sampling, signal, windows
-from ..operators.distance import cityblock, cross, nearest
+from ..operators.distance import cross, min_affinity, nearest
+from ..operators.sequence import ranked
 from ..operators.transport import DIRECTIONS, joint_distances
 from ..session import materialised
+from . import grid
 from .methods import Clustering, cluster
 
 
@@ -121,88 +124,83 @@ def score(rows: DataFrame, result: Clustering) -> dict:
     return {"n_clusters": x["n_clusters"], "noise_pct": x["noise_pct"], "cluster_mean": x["size_mean"], "cluster_min": x["size_min"], "cluster_max": x["size_max"], "silhouette": s["silhouette"], "t_s": round(result.seconds, 2)}
 
 
-def seed_variance(rows: DataFrame, dataset: str, reference: DataFrame, methods=("ap_sampled", "ap_coreset", "ap_kmeans", "ap_stratified"), seeds=range(1, 11), **options) -> list[dict]:
-    """K, agreement with the reference labels and seconds for each method and seed."""
-    out, ref = [], reference.select("win", F.col("label").alias("b"))
-    for method in methods:
-        for seed in seeds:
-            x = cluster(rows, method, seed=seed, **options)
-            ari = metrics.agreement(x.labels.select("win", F.col("label").alias("a")).join(ref, "win")).first()["ari"]
-            out.append({"dataset": dataset, "method": method, "seed": seed, "K": x.labels.where("label >= 0").select("label").distinct().count(), "ari_vs_ap_full": ari, "t_s": round(x.seconds, 2)})
-    return out
-
-
-def _ap(x: np.ndarray, unit: float, preference) -> tuple[np.ndarray, np.ndarray]:
-    return affinity.cluster_matrix(cityblock(x, x) / unit, preference)
-
+def seed_variance(rows: DataFrame, dataset: str, reference: DataFrame, methods=("ap_sampled", "ap_coreset", "ap_kmeans", "ap_stratified"), seeds=range(1, 11), *, sample_size: int = S.AP_SAMPLE, preference=None, unit: float = S.UNIT, **options) -> list[dict]:
+    """K, agreement with the reference labels and seconds for each method and seed; all runs are one job (plans.grid), whose seconds they share.
 
-def _halves(rows: DataFrame, wins: list[int], order: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """place (from 0 in each half) and vec of the rows of either half of an order of wins."""
-    half = len(order) // 2
-    places = [(int(wins[w]), int(p >= half), int(p - half if p >= half else p)) for p, w in enumerate(order)]
-    x = materialised(rows.select("win", "vec").join(rows.sparkSession.createDataFrame(places, "win long, half int, place long"), "win"), "halves")
-    return tuple(x.where(F.col("half") == k).select("place", "vec") for k in (0, 1))
+    Samples above affinity.ONE_TASK are too large for a task of their own and are clustered one after another. Up to sample_size rows all runs are the full method.
+    """
+    began, runs = time.perf_counter(), [(method, seed) for method in methods for seed in seeds]
+    if rows.count() <= sample_size:
+        full = cluster(rows, "ap_full", preference=preference, unit=unit).labels
+        found = dict.fromkeys(range(len(runs)), grid.scores(full.withColumn("run", F.lit(0)), reference).first())
+    elif sample_size > affinity.ONE_TASK:
+        labels = None
+        for k, (method, seed) in enumerate(runs):
+            x = cluster(rows, method, seed=seed, sample_size=sample_size, preference=preference, unit=unit, **options).labels.select(F.lit(k).alias("run"), "win", "label")
+            labels = x if labels is None else labels.union(x)
+        found = {r["run"]: r for r in grid.scores(labels, reference).collect()}
+    else:
+        preference = min_affinity(rows, mode="sampled", unit=unit) if preference is None else preference
+        labels = grid.cluster_samples(rows, grid.samples(rows, runs, sample_size, **options), preference, unit)
+        found = {r["run"]: r for r in grid.scores(materialised(labels, "labels"), reference).collect()}  # one row a run
+    seconds = round((time.perf_counter() - began) / max(1, len(runs)), 2)
+    return [{"dataset": dataset, "method": method, "seed": seed, "K": found[k]["K"], "ari_vs_ap_full": found[k]["ari"], "t_s": seconds} for k, (method, seed) in enumerate(runs)]
+
+
+def _places(rows: DataFrame, n: int, splits: int, seed: int) -> DataFrame:
+    """split, win, half and place (from 0 in each half) of all rows, for each of the splits' orders."""
+    order = np.concatenate([np.random.default_rng((seed, k)).permutation(n) for k in range(splits)])
+    place = np.tile(np.arange(n), splits)
+    table = pa.table({"split": np.repeat(np.arange(splits), n), "at": order, "half": (place >= n // 2).astype(np.int64), "place": np.where(place >= n // 2, place - n // 2, place)})
+    return rows.sparkSession.createDataFrame(table).join(ranked(rows.select("win"), "win", "at"), "at").select("split", "win", "half", "place")
+
+
+def _stability(rows: DataFrame, n: int, splits: int, seed: int, preferences: list, unit: float, limit: int, whole: bool) -> list[dict]:
+    """K of all rows (if whole), and the splits' AMI, for each of the preferences: rows of one job, or of one after another where a half is too large for a task."""
+    places = materialised(_places(rows, n, splits, seed), "places")
+    if n <= affinity.ONE_TASK:
+        if whole:
+            places = places.union(places.where("split = 0").select(F.lit(-1).cast("long").alias("split"), "win", F.lit(None).cast("long").alias("half"), F.col("win").alias("place")))
+        found = grid.split_scores(rows, places, preferences, unit).orderBy("split", "p").collect()  # one row a run
+        return [{"K": next((r["K"] for r in found if r["split"] < 0 and r["p"] == p), None), "amis": [r["ami"] for r in found if r["split"] >= 0 and r["p"] == p and r["ami"] is not None]} for p in range(len(preferences))]
+    out = []
+    for preference in preferences:
+        amis = []
+        for k in range(splits):
+            a, b = (materialised(places.where((F.col("split") == k) & (F.col("half") == h)).join(rows.select("win", "vec"), "win").select("place", "vec"), "half") for h in (0, 1))
+            found = affinity.dense(a, preference, unit=unit, limit=limit, key="place").where("label >= 0").select(F.col("exemplar").alias("place")).distinct()
+            exemplars = materialised(a.join(found, "place"), "exemplars")
+            if not exemplars.isEmpty():
+                own = affinity.dense(b, preference, unit=unit, limit=limit, key="place").select(F.col("win").alias("i"), F.col("label").alias("a"))
+                amis.append(metrics.ami(own.join(nearest(b, exemplars, key="place", other="place").select("i", F.col("j").alias("b")), "i")))
+        out.append({"K": affinity.dense(rows, preference, unit=unit, limit=limit).where("label >= 0").select("label").distinct().count() if whole else None, "amis": amis})
+    return out
 
 
 def split_half(rows: DataFrame, *, splits: int = 5, seed: int = 42, preference=None, unit: float = 1.0, limit: int = S.AP_FULL_LIMIT) -> dict:
     """Mean and population deviation of the AMI between clusters of half B and half B assigned to half A's exemplars.
 
-    All rows take part, each half clustered on its own: in the driver where all rows fit one task's matrix, else by block rows.
+    All rows take part, each half clustered on its own: all splits at once, a task each, where all rows fit one task's matrix, else by block rows.
     Halves above limit rows are refused.
     """
     n = rows.count()
     if n - n // 2 > limit:
         raise ValueError(f"half of {n} rows make too large a matrix; the limit is {limit}")
-    alone = n <= affinity.ONE_TASK
-    some = rows.orderBy("win").select("win", *(["vec"] if alone else [])).collect()
-    wins, scores = [r[0] for r in some], []
-    x = np.array([r[1] for r in some], float) if alone else None
-    for k in range(splits):
-        order = np.random.default_rng((seed, k)).permutation(n)
-        if not alone:
-            a, b = _halves(rows, wins, order)
-            exemplars = affinity.dense(a, preference, unit=unit, limit=limit, key="place").where("label >= 0").select(F.col("exemplar").alias("place")).distinct()
-            exemplars = materialised(a.join(exemplars, "place"), "exemplars")
-            if exemplars.isEmpty():
-                continue
-            own = affinity.dense(b, preference, unit=unit, limit=limit, key="place").select(F.col("win").alias("i"), F.col("label").alias("a"))
-            asked = nearest(b, exemplars, key="place", other="place").select("i", F.col("j").alias("b"))
-            scores.append(metrics.ami(own.join(asked, "i")))
-            continue
-        a, b = order[: n // 2], order[n // 2 :]
-        _, exemplars = _ap(x[a], unit, preference)
-        own, _ = _ap(x[b], unit, preference)
-        if len(exemplars):
-            asked = cityblock(x[b], x[a][exemplars]).argmin(axis=1)
-            table = np.zeros((own.max() + 2, len(exemplars)))
-            np.add.at(table, (own, asked), 1)
-            scores.append(metrics.adjusted_mutual_information(table))
-    return {"splits": len(scores), "ami_mean": float(np.mean(scores)) if scores else None, "ami_std": float(np.std(scores)) if scores else None}
+    amis = _stability(rows, n, splits, seed, [preference], unit, limit, False)[0]["amis"]
+    return {"splits": len(amis), "ami_mean": float(np.mean(amis)) if amis else None, "ami_std": float(np.std(amis)) if amis else None}
 
 
 def preference_sweep(rows: DataFrame, *, steps: int = 12, splits: int = 3, seed: int = 42, unit: float = 1.0, limit: int = S.AP_FULL_LIMIT) -> list[dict]:
     """K and split-half AMI for preferences from the least to the median similarity, the best marked (the first on a tie).
 
-    All rows take part; above limit rows the matrix is refused.
+    All rows take part, all preferences and splits at once, a task each, where all rows fit one task's matrix; above limit rows the matrix is refused.
     """
     n = rows.count()
     if n > limit:
         raise ValueError(f"{n} rows make too large a matrix; the limit is {limit}")
-    alone = n <= affinity.ONE_TASK
-    if alone:
-        x = np.array([r[0] for r in rows.orderBy("win").select("vec").collect()], float)
-        d = cityblock(x, x) / unit
-        s = -(d * d)
-        ends = s.min(), np.median(s)
-    else:
-        ends = affinity.similarity_range(rows, unit)
-    out = []
-    for p in np.linspace(*ends, steps):
-        if alone:
-            found = len(affinity.cluster_matrix(d, float(p))[1])
-        else:
-            found = affinity.dense(rows, float(p), unit=unit, limit=limit).where("label >= 0").select("label").distinct().count()
-        out.append({"preference": float(p), "K": found, "split_half_ami": split_half(rows, splits=splits, seed=seed, preference=float(p), unit=unit, limit=limit)["ami_mean"]})
+    preferences = [float(p) for p in np.linspace(*affinity.similarity_range(rows, unit), steps)]
+    found = _stability(rows, n, splits, seed, preferences, unit, limit, True)
+    out = [{"preference": p, "K": x["K"], "split_half_ami": float(np.mean(x["amis"])) if x["amis"] else None} for p, x in zip(preferences, found, strict=True)]
     best = max(range(len(out)), key=lambda k: (out[k]["split_half_ami"] if out[k]["split_half_ami"] is not None else -2, -k))
     return [r | {"best": k == best} for k, r in enumerate(out)]
 
@@ -284,17 +282,13 @@ def benchmark(rows: DataFrame, method: str, **options) -> dict:
     return {"method": method, "n_windows": n, "t_s": round(seconds, 3), "windows_per_s": round(n / seconds, 1), "n_clusters": clusters, "peak_mb": peak_memory()}
 
 
-def cluster_joint(joint: DataFrame, method: str, *, reg: float = 0.5, preference=None, limit: int = 3000, n_directions: int = DIRECTIONS, seed: int = 42) -> DataFrame:
-    """win and label: affinity propagation on transport distances between joint windows (at most limit rows)."""
+def cluster_joint(joint: DataFrame, method: str, *, reg: float = 0.5, preference=None, limit: int = S.AP_FULL_LIMIT, n_directions: int = DIRECTIONS, seed: int = 42) -> DataFrame:
+    """win and label: affinity propagation on transport distances between joint windows; above limit rows the matrix is refused."""
     n = joint.count()
     if n > limit:
-        raise ValueError(f"{n} windows are too many for a matrix of transport distances; the limit is {limit}")
-    wins = [r[0] for r in joint.select("win").orderBy("win").collect()]
-    place, d = {w: k for k, w in enumerate(wins)}, np.zeros((n, n))
-    for i, j, v in joint_distances(joint, method, reg=reg, n_directions=n_directions, seed=seed).toLocalIterator():
-        d[place[i], place[j]] = d[place[j], place[i]] = v
-    labels, _ = affinity.cluster_matrix(d, preference)
-    return joint.sparkSession.createDataFrame(list(zip(wins, labels.tolist(), strict=True)), "win long, label int")
+        raise ValueError(f"{n} rows make too large a matrix; the limit is {limit}")
+    distances = joint_distances(joint, method, reg=reg, n_directions=n_directions, seed=seed)
+    return affinity.of_distances(distances, joint, preference, limit=limit).select("win", "label")
 
 
 def assign_joint(joint: DataFrame, exemplars: DataFrame, method: str, *, reg: float = 0.05) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from motionloom import catalog
 from motionloom.operators import affinity, density, distance, metrics, sampling, transport
+from motionloom.plans import grid as plan_grid
 from motionloom.plans import methods, pipeline
 from motionloom.sources import files
 
@@ -94,8 +96,10 @@ def test_transport_bounds():
     a, b = rng.standard_normal((2, 3, 60, 4))
     m = transport._ground(a, b)
     exact = transport.assignment(m) / 60
-    assert (transport.sinkhorn_cost(m, 0.05) >= exact - 1e-6).all()
-    assert np.allclose(transport.sinkhorn_cost(m, 0.05), exact, rtol=0.1)
+    for reg, near in ((0.5, 0.5), (0.05, 0.1), (0.01, 0.01)):
+        cost, reached = transport.sinkhorn_cost(m, reg)
+        assert reached.all() and (cost >= exact - 1e-6).all() and np.allclose(cost, exact, rtol=near)
+    assert not transport.sinkhorn_cost(m, 0.01, most=20)[1].any()
     p = np.sort(a @ transport.directions().T, axis=1) - np.sort(b @ transport.directions().T, axis=1)
     assert (np.abs(p).mean(axis=(1, 2)) <= exact).all()
     assert transport.assignment(transport._ground(a, a)).max() == 0
@@ -163,17 +167,50 @@ def test_methods(spark, blobs):
         methods.cluster(df, "none")
 
 
-def test_spanning_tree_is_minimal():
-    rng = np.random.default_rng(2)
-    x, core = rng.integers(0, 50, (12, 2)).astype(float), rng.integers(0, 10, 12).astype(float)
+def prim(reach: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges (a < b, weight) of the spanning tree with the least edges in the order of weight, a, b."""
+    inside, out = {0}, []
+    while len(inside) < len(reach):
+        w, a, b = min((reach[i, j], min(i, j), max(i, j)) for i in inside for j in range(len(reach)) if j not in inside)
+        inside |= {a, b}
+        out.append((a, b, w))
+    return sorted(out)
+
+
+def as_rows(edges) -> list[tuple]:
+    return sorted(zip(*(x.tolist() for x in edges), strict=True))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 18))
+def test_forests_of_parts_make_up_the_tree(seed, n):
+    rng = np.random.default_rng(seed)
+    x, core = rng.integers(0, 5, (n, 2)).astype(float), rng.integers(0, 3, n).astype(float)
     reach = np.maximum(np.maximum(l1(x), core[:, None]), core)
-    inside, total = {0}, 0.0
-    while len(inside) < 12:
-        w, j = min((reach[i, j], j) for i in inside for j in range(12) if j not in inside)
-        inside.add(j)
-        total += w
-    assert density.spanning_tree(x, core)[2].sum() == total
-    assert (density.stable_clusters(1, *density.spanning_tree(x[:1], core), 2) == -1).all()
+    tree = prim(reach)
+    assert as_rows(density.forest_of_matrix(reach.copy(), np.arange(n), np.arange(n), True)) == tree
+    left = np.sort(rng.choice(n, rng.integers(0, n), replace=False))
+    right = np.setdiff1d(np.arange(n), left)
+    parts = [density.forest_of_matrix(reach[np.ix_(a, b)].copy(), a, b, a is b) for a, b in ((left, left), (right, right), (left, right)) if len(a) and len(b)]
+    assert as_rows(density.forest_of_edges(*(np.concatenate(v) for v in zip(*parts, strict=True)))) == tree
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6))
+def test_equal_matchings_have_an_order(seed):
+    rng = np.random.default_rng(seed)
+    table = rng.integers(0, rng.integers(2, 5), (rng.integers(1, 6), rng.integers(1, 6))).astype(float)
+
+    def all_of(i: int, used: frozenset):
+        if i == table.shape[0]:
+            yield 0, []
+            return
+        yield from all_of(i + 1, used)
+        for j in range(table.shape[1]):
+            if j not in used and table[i, j]:
+                yield from ((least - table[i, j], [(i, j), *rest]) for least, rest in all_of(i + 1, used | {j}))
+
+    assert metrics.match_clusters(table) == min(all_of(0, frozenset()))[1]
 
 
 def test_scores(spark):
@@ -240,7 +277,7 @@ def test_stability(spark, blobs):
 
 
 def test_stability_takes_all_rows(spark, blobs, monkeypatch):
-    """Of few rows in the driver, of more by block rows: the same; of too many: refused, not sampled."""
+    """Of few rows a task a split, of more by block rows: the same; of too many: refused, not sampled."""
     _, df = blobs
     with pytest.raises(ValueError):
         pipeline.split_half(df, splits=1, unit=10, limit=37)
@@ -249,13 +286,49 @@ def test_stability_takes_all_rows(spark, blobs, monkeypatch):
     one = pipeline.preference_sweep(df, steps=2, splits=1, unit=10, limit=75), pipeline.split_half(df, splits=1, unit=10, limit=38)
     monkeypatch.setattr(affinity, "ONE_TASK", 1)
     monkeypatch.setattr(distance, "BLOCK", 16)
-    monkeypatch.setattr(pipeline, "_ap", None)
+    monkeypatch.setattr(pipeline.grid, "split_scores", None)
     spread = pipeline.preference_sweep(df, steps=2, splits=1, unit=10, limit=75), pipeline.split_half(df, splits=1, unit=10, limit=38)
     assert [r["K"] for r in spread[0]] == [r["K"] for r in one[0]] and [r["best"] for r in spread[0]] == [r["best"] for r in one[0]]
     for a, b in zip((*spread[0], spread[1]), (*one[0], one[1]), strict=True):
         assert list(a.values()) == pytest.approx(list(b.values()))
 
 
+def test_runs_of_a_grid_are_those_of_single_calls(spark, blobs):
+    """Every method and seed: the same clusters and scores as clustering by itself."""
+    _, df = blobs
+    full = methods.cluster(df, "ap_full", unit=10).labels
+    names = ("ap_sampled", "ap_coreset", "ap_kmeans", "ap_stratified")
+    for options in ({"sample_size": 30, "strata": 5, "preference": -300.0}, {"sample_size": 30, "strata": 5}, {"sample_size": 100}):
+        found = pipeline.seed_variance(df, "x", full, names, (1, 2), unit=10, **options)
+        assert [(r["method"], r["seed"]) for r in found] == [(m, s) for m in names for s in (1, 2)]
+        for r in found:
+            alone = methods.cluster(df, r["method"], seed=r["seed"], unit=10, **options).labels
+            both = alone.select("win", F.col("label").alias("a")).join(full.select("win", F.col("label").alias("b")), "win")
+            assert r["K"] == alone.select("label").distinct().count() and r["ari_vs_ap_full"] == metrics.agreement(both).first()["ari"], r
+
+
+def test_runs_without_exemplars(spark):
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "win long, vec array<double>")
+    near = plan_grid.nearest_runs(rows, spark.createDataFrame([(0, 0, [1.0]), (0, 1, [4.0]), (2, 5, [9.0])], "run long, pos long, vec array<double>"))
+    assert sorted(map(tuple, near.collect())) == sorted([(0, i, int(i > 2)) for i in range(6)] + [(2, i, 5) for i in range(6)])
+
+
+def test_affinity_over_given_distances(spark, blobs, monkeypatch):
+    """One task, or block rows of several: the clusters of the matrix, for each kind of preference."""
+    x, df = blobs
+    pairs = distance.pairs(df).withColumn("d", F.col("d") / 10)
+    for preference in (None, "median", -300.0):
+        labels, found = affinity.cluster_matrix(l1(x) / 10, preference)
+        want = {i: (int(k), int(found[k])) for i, k in enumerate(labels)}
+        for most in (2500, 1):
+            monkeypatch.setattr(affinity, "ONE_TASK", most)
+            assert {r["win"]: (r["label"], r["exemplar"]) for r in affinity.of_distances(pairs, df, preference).collect()} == want
+    one = spark.createDataFrame([(7, [0.0])], "win long, vec array<double>")
+    assert affinity.of_distances(distance.pairs(one), one).collect()[0]["label"] == 0
+    with pytest.raises(ValueError):
+        affinity.of_distances(pairs, df, limit=74)
+
+
 def test_figure_table_of_a_whole_table(spark, data):
     """Several rows meet in a cell: the largest counts, in whatever order they come."""
     x = catalog._embeddings(spark, data).selectExpr("win", "'d' || (win % 50) AS dataset", "'m' || (win % 3) AS method", "label")
@@ -267,19 +340,37 @@ def test_figure_table_of_a_whole_table(spark, data):
         assert {(r["dataset"], m): r[m] for r in found for m in ("m0", "m1", "m2")} == want
 
 
-def test_trees_grown_in_rounds_are_the_same(spark, monkeypatch):
-    """Whole-number vectors with many ties: one task and rounds give one tree and one labelling."""
+def test_trees_from_blocks_are_the_same(spark, monkeypatch):
+    """Whole-number vectors with many ties: blocks and tasks of any size give the tree of the whole matrix and its labelling."""
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.integers(0, 6, (60, 3)), rng.integers(20, 26, (50, 3)), rng.integers(0, 40, (15, 3))]).astype(float)
-    df = spark.createDataFrame([(3 * i + 1, v.tolist()) for i, v in enumerate(x)], "win long, vec array<double>")
-    alone = {r["win"]: r["label"] for r in density.hdbscan(df, 10).collect()}
-    core = np.sort(np.abs(x[:, None] - x[None]).sum(axis=2), axis=1)[:, 1]
-    placed = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(x, core, strict=True))], "place long, vec array<double>, core double")
-    edges = lambda t: sorted((min(a, b), max(a, b), w) for a, b, w in zip(*(v.tolist() for v in t), strict=True))
-    assert edges(density.spanning_tree(x, core)) == edges(density.spanning_tree_in_rounds(placed, len(x)))
-    monkeypatch.setattr(density, "ONE_TASK", 10)
-    assert {r["win"]: r["label"] for r in density.hdbscan(df, 10).collect()} == alone
-    assert len(set(alone.values()) - {-1}) == 2
+    df = spark.createDataFrame([(3 * i + 1, v.tolist()) for i, v in enumerate(x)], "win long, vec array<double>").repartition(4)
+    core = np.sort(l1(x), axis=1)[:, 1]
+    tree = prim(np.maximum(np.maximum(l1(x), core[:, None]), core))
+    a, b, w = (np.array(v) for v in zip(*tree, strict=True))
+    labels = density.stable_clusters(len(x), a, b, w, 10)
+    assert len(set(labels.tolist()) - {-1}) == 2
+    for block, edges in ((density.BLOCK, density.EDGES), (7, 50)):
+        monkeypatch.setattr(density, "BLOCK", block)
+        monkeypatch.setattr(density, "EDGES", edges)
+        assert {r["win"]: r["label"] for r in density.hdbscan(df, 10).collect()} == {3 * i + 1: int(k) for i, k in enumerate(labels)}
+
+
+def test_density_of_few_rows(spark):
+    for n in (0, 1, 2):
+        rows = density.hdbscan(spark.createDataFrame([(i, [float(i)]) for i in range(n)], "win long, vec array<double>"), 5).collect()
+        assert sorted(map(tuple, rows)) == [(i, -1) for i in range(n)]
+
+
+def test_density_of_many_rows(spark):
+    """100,000 rows in three far groups and some noise, without a matrix of all pairs."""
+    rng = np.random.default_rng(0)
+    at, noise = rng.integers(0, 3, 100_000), rng.random(100_000) < 0.01
+    x = np.where(noise[:, None], rng.integers(-20_000, 40_000, (100_000, 2)), rng.integers(0, 1500, (100_000, 2)) + at[:, None] * 9000)
+    df = spark.createDataFrame(pa.table({"win": np.arange(100_000), "vec": pa.array(list(x.astype(np.int32)))}))
+    found = np.array([r["label"] for r in density.hdbscan(df, 400).orderBy("win").collect()])
+    groups = [found[(at == k) & ~noise] for k in range(3)]
+    assert len(set(found.tolist()) - {-1}) == 3 and all((g == np.bincount(g + 1).argmax() - 1).mean() > 0.99 for g in groups)
 
 
 def test_affinity_in_lots_is_the_same(monkeypatch):
