@@ -12,7 +12,8 @@ Candidates: equal sets are one class from the start. A bucket gives a star, each
 first held against the one centre with which it shares most buckets: a pair a class. Confirmed links make components. Where a bucket still
 holds several components, the members outside of its largest one are held against members of the others: first against the best
 few by their signatures, then more, at last against all. Pairs within one component are never needed, and of the others
-only those are tried whose signatures, two bits a bin (``SKETCH`` numbers), differ in ``DIFFER`` bins at most; a pair of similarity 0.85 differs in 27 of them on average.
+only those are tried that two short digests let pass: signatures, two bits a bin (``SKETCH`` numbers), that differ in ``DIFFER`` bins at most (a pair of
+similarity 0.85 differs in 27 of them on average), and maps of ``64 * MAP`` bits that have a bit for each member of a set: what is set in one map alone is a shingle that the other set lacks, which bounds the similarity and loses nothing.
 
 Pairs are confirmed on the full sets, which are made again for the documents in buckets only; a centre's set meets those of its pairs in lots of at most ``GROUP``.
 
@@ -47,8 +48,8 @@ STEP = 1 << 14
 GROUP = 64
 #: Members that one outside of its bucket's largest component is held against in the rounds after the first; the last round takes all.
 WIDTHS = (4, 64, None)
-#: Numbers of a sketch, and the bins in which likely pairs may differ.
-SKETCH, DIFFER = 8, 76
+#: Numbers of a sketch and of a map of members, and the bins in which likely pairs may differ.
+SKETCH, MAP, DIFFER = 8, 16, 76
 #: Random orders of bins, in lots of so many places.
 LOTS = (16, 128, 1024)
 
@@ -123,6 +124,13 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(planes, bitorder="little").view(np.int64)
 
 
+def member_map(members: np.ndarray) -> np.ndarray:
+    """A bit of 64 * MAP for each member of a set, as MAP numbers."""
+    bits = np.zeros(64 * MAP, bool)
+    bits[(c.mix(members + c.U64(0xA0761D6478BD642F)) % c.U64(64 * MAP)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _digest(members: np.ndarray) -> tuple[int, int]:
     """128 bits that tell a set, as two signed numbers."""
     raw = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
@@ -140,7 +148,7 @@ def _signer(shingle: int):
                     d1.append(a)
                     d2.append(b)
                     values = signature(members) if len(members) else None
-                    sketches.append(None if values is None else sketch(values))
+                    sketches.append(None if values is None else np.concatenate([sketch(values), member_map(members)]))
                     keys.append(None if values is None else band_keys(values).view(np.int64))
             arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, d1, d2)), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d1", "d2", "sketch", "keys"])
@@ -192,24 +200,44 @@ def _confirmer(percent: int):
     return kernel
 
 
+def _asked_sets(known):
+    """Kernel that passes the sets (node, members) on that the filter may know."""
+
+    def kernel(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(c.passes(known.value, c.mix(batch.column(0).to_numpy().view(np.uint64)))))
+
+    return kernel
+
+
+def _hashes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(c.mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["h"])
+
+
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets (node, members) are similar enough; a is the centre."""
+    """Those of the pairs (a, b) whose full sets (node, members) are similar enough; a is the centre. Only sets in pairs are moved."""
     many = pairs.groupBy("a").agg(F.count("*").alias("many"))
     lot = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / GROUP).cast("long"))
     lots = pairs.join(many, "a").select("a", lot.alias("lot"), "b")
-    roles = lots.select("a", "lot", "b", F.col("b").alias("node")).union(lots.select("a", "lot", F.lit(None).cast("long"), "a").distinct())
-    groups = roles.join(sets, "node").select("a", "lot", "b", "members").repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+    roles = c.written(lots.select("a", "lot", "b", F.col("b").alias("node")).union(lots.select("a", "lot", F.lit(None).cast("long"), "a").distinct()), "roles")
+    known = sets.sparkSession.sparkContext.broadcast(c.filter_of(c.in_arrow(roles.select("node").distinct(), _hashes, "h long")))
+    asked = c.in_arrow(sets, _asked_sets(known), "node long, members binary")
+    groups = roles.join(asked, "node").select("a", "lot", "b", "members").repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
     return c.written(c.in_arrow(groups, _confirmer(percent), "a long, b long"), "links")
 
 
 def _likely(x: str, y: str, percent: int):
-    """Whether rows x and y of the table of nodes can be similar enough, by sizes and sketches."""
+    """Whether rows x and y of the table of nodes can be similar enough, by sizes, sketches and maps of members; and the bins in which they differ."""
     differ = " + ".join(f"bit_count(({x}.s{k} ^ {y}.s{k}) | ({x}.s{k + SKETCH // 2} ^ {y}.s{k + SKETCH // 2}))" for k in range(SKETCH // 2))
-    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {differ} <= {DIFFER}"), F.expr(differ)
+    lacks = lambda p, q: " + ".join(f"bit_count({p}.s{k} & ~{q}.s{k})" for k in range(SKETCH, SKETCH + MAP))
+    shared = f"least({x}.n - ({lacks(x, y)}), {y}.n - ({lacks(y, x)}))"
+    sizes = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    return F.expr(f"{sizes} AND {differ} <= {DIFFER} AND {100 + percent} * {shared} >= {percent} * ({x}.n + {y}.n)"), F.expr(differ)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Confirmed links (a, b) that make up all components of the nodes (node, d1, d2, n, s0, ..., keys); None without candidates."""
+def _grouped(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """node and component of the nodes (node, d1, d2, n, s0, ..., keys) that are linked; None without candidates."""
     index = nodes.select("node", F.explode("keys").alias("key"))
     shared = c.written(index.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many"), "shared")
     members = c.written(index.join(shared, "key").select("key", "node", "centre"), "members")
@@ -227,13 +255,11 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Dat
     star = star.join(short.alias("x"), F.col("a") == F.col("x.node")).join(short.alias("y"), F.col("b") == F.col("y.node")).where(likely).select("a", "b")
     tried = c.written(star, "pairs")
     links = _confirmed(sets, tried, percent)
+    group = c.written(components(links), "groups")
     for width in WIDTHS:
-        group = components(links)
         table = c.written(members.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
         sizes = table.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("largest"), F.count("*").alias("many"))
         mixed = c.written(table.join(sizes.where("many > 1"), "key").join(short, "node").drop("many"), "mixed")
-        if mixed.isEmpty():
-            break
         x, y = mixed.where("component <> largest").alias("x"), mixed.alias("y")
         once = F.expr("x.key = y.key AND x.component <> y.component AND (y.component = y.largest OR x.node < y.node)")
         pairs = x.join(y, once & likely).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), differ.alias("differ")).distinct()
@@ -242,8 +268,13 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Dat
         if width:
             pairs = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(width)).alias("class")).agg(F.min(F.struct("differ", "b")).alias("best")).select("a", "best.b")
         pairs = c.written(pairs.select("a", "b"), "pairs")
-        links, tried = links.union(_confirmed(sets, pairs, percent)), tried.union(pairs)
-    return links
+        if pairs.isEmpty():  # nothing is left to be tried
+            break
+        more = _confirmed(sets, pairs, percent)
+        links, tried = links.union(more), tried.union(pairs)
+        if not more.isEmpty():
+            group = c.written(components(links), "groups")
+    return group
 
 
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -253,11 +284,11 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCE
     prints = c.written(prints.withColumn("row", F.monotonically_increasing_id()), "signatures", short=False)
     classes = c.written(prints.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = prints.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = c.written(nodes.select(F.col("row").alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)), "keys"), "nodes", short=False)
-    links = _links(docs, nodes, shingle, percent)
+    nodes = c.written(nodes.select(F.col("row").alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH + MAP)), "keys"), "nodes", short=False)
+    group = _grouped(docs, nodes, shingle, percent)
     of = classes.select("d1", "d2", F.col("least").alias("component_id"))
-    if links is not None:
-        named = c.written(classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    if group is not None:
+        named = c.written(classes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
         of = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("d1", "d2", "component_id")
     found = prints.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
     found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
