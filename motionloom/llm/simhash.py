@@ -17,9 +17,10 @@ of its links (fewer rows than fingerprints), never all pairs, and no link is los
 components of the forests are components of the links.
 
 Defined cases. Null and empty texts have fingerprint 0 and are linked like any
-other. Rows that repeat a text or a doc_id each get their row. A null doc_id gets
+other. Rows that repeat a text or a doc_id each get their row; a repeated doc_id with another text doesn't link. A null doc_id gets
 its fingerprint and the component of its link group, and links others like any row, but
-names no component: a group of null doc_ids alone has a null one. An empty table gives an empty result. Other columns pass through.
+names no component: a group of null doc_ids alone has a null one. ``dedup`` decides by row: of each group the row with the smallest doc_id (null last, ties by a hash of the text)
+stays, and no other text goes with its doc_id. An empty table gives an empty result. Other columns pass through.
 
 Scale. One scan of the text; from there on 16 bytes per row and 64 keys of 16 bytes per
 distinct fingerprint are shuffled. Copies collapse into one fingerprint first. Each
@@ -32,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -46,8 +47,6 @@ STEP = 1 << 14
 BUCKET = 1024
 #: Buckets up to this size are compared together, by the distance of their members' places.
 SMALL = 32
-#: Parts by which fingerprints without a doc_id are numbered.
-PARTS = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,7 +90,7 @@ def _fingerprint(batches):
     for batch in batches:
         found = [fingerprints(data, offs) for _, _, data, offs in c.text_blocks(batch.column(1))]
         fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["row", "fp"])
 
 
 def _absorb(fp: np.ndarray, left: np.ndarray, join) -> np.ndarray:
@@ -226,38 +225,32 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(part.view(np.int64), BITS)), pa.array(np.repeat(own, BITS))], ["key", "fp", "node"])
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits) and component_id (the smallest doc_id of its link group, null without any) of each row."""
-    prints = c.written(c.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprint, "doc_id long, fp long"), "fingerprints")
-    # A fingerprint's node is its smallest doc_id; those that only rows without a doc_id hold are numbered above all others.
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    distinct = c.written(distinct, "distinct")
-    top, unknown = distinct.agg(F.max("node"), F.count_if(F.col("node").isNull())).first()
-    if unknown:
-        part = F.pmod(F.xxhash64("fp"), F.lit(PARTS))
-        place = (F.row_number().over(Window.partitionBy("_part").orderBy("fp")).cast("long") - 1) * PARTS + F.col("_part")
-        above = distinct.where("node IS NULL").withColumn("_part", part).select("fp", (place + F.lit(-1 if top is None else top) + 1).alias("node"))
-        distinct = c.written(distinct.where("node IS NOT NULL").union(above), "nodes")
-    index = c.in_arrow(distinct.select("fp", "node"), _keys, "key long, fp long, node long")
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text), fp, group (a fingerprint of its link group) and component_id of each row."""
+    given = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("row"), "text")
+    prints = c.in_arrow(given, _fingerprint, "row struct<doc_id: long, h: long>, fp long")
+    prints = c.written(prints.select("row.doc_id", "row.h", "fp"), "fingerprints")
+    distinct = c.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    index = c.in_arrow(distinct.select("fp", F.col("fp").alias("node")), _keys, "key long, fp long, node long")
     sorted_keys = index.repartition("key").sortWithinPartitions("key")
     found = components(c.in_arrow(sorted_keys, _links, "a long, b long"))
-    least = F.coalesce("component", distinct["node"])
-    if unknown:
-        least = F.when(least <= F.lit(top).cast("long"), least)
-    of = distinct.join(found, distinct["node"] == found["node"], "left").select("fp", least.alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    of = c.written(of, "groups")
+    named = of.groupBy("group").agg(F.min("least").alias("component_id"))
+    return prints.join(of.select("fp", "group").join(named, "group"), "fp").select("doc_id", "h", "fp", "group", "component_id")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group stays, the one with the smallest doc_id, with all its columns.
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed 64 bits) and component_id (the smallest doc_id of its link group, null without any) of each row."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
-    Of rows that repeat that doc_id one stays; rows without a doc_id stay.
-    """
-    names = docs.columns
-    gone = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    row = docs.select(F.struct(*(F.col(f"`{k}`") for k in names)).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = row.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():
-        kept = kept.where("_id IS NULL").union(kept.where("_id IS NOT NULL").dropDuplicates(["_id"]))
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group stays, with all its columns: the one with the smallest doc_id (null last, ties by a hash of the text)."""
+    names, rows = docs.columns, c.written(_grouped(docs).select("doc_id", "h", "group"), "rows")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.h").alias("_h"))
+    row = docs.select(F.struct(*(F.col(f"`{k}`") for k in names)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_own"))
+    kept = row.join(first, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_h")), "left_semi")
+    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # rows that repeat both
+        kept = kept.dropDuplicates(["_id", "_own"])
     return kept.select(*(F.col("_row").getField(k).alias(k) for k in names))

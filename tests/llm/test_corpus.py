@@ -76,7 +76,7 @@ def brute_components(prints: list[int], ids: list, bits: int = 4) -> list:
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= bits or ids[i] is not None and ids[i] == ids[j]:
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
                 a, b = find(i), find(j)
                 group[max(a, b)] = min(a, b)
     least = defaultdict(list)
@@ -86,6 +86,17 @@ def brute_components(prints: list[int], ids: list, bits: int = 4) -> list:
     return [min(least[find(i)], default=None) for i in range(len(ids))]
 
 
+def link_groups(prints: list[int], bits: int = 4) -> list[int]:
+    """The number of each row's link group."""
+    return brute_components(prints, list(range(len(prints))), bits)
+
+
+def text_hash(text) -> int:
+    """The engine's hash of a text, a signed number."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
 def test_simhash_against_brute_force(docs, empty):
     found = simhash.near_groups(docs).collect()
     rows = documents()
@@ -99,12 +110,14 @@ def test_simhash_against_brute_force(docs, empty):
 def test_simhash_dedup_keeps_one_of_each_group(docs):
     rows = documents()
     prints = [fingerprint(r[1]) for r in rows]
-    groups = brute_components(prints, [r[0] for r in rows])
     kept = simhash.dedup(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in ids if x is not None) == sorted({g for g in groups if g is not None})
-    assert ids.count(None) == 2
+    groups = link_groups(prints)
+    best = {}
+    for r, g in zip(rows, groups, strict=True):
+        best[g] = min(best.get(g, (True,)), (r[0] is None, r[0] or 0, text_hash(r[1]), r[1] or ""))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, text_hash(r["text"]), r["text"] or "") for r in kept.collect()) == sorted(best.values())
+    assert {21, None} & {r["doc_id"] for r in kept.collect()} == {21} and "other text of a known id" in {r["text"] for r in kept.collect()}
 
 
 def test_simhash_links_through_rows_without_an_id(spark):

@@ -7,7 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from test_corpus import SCHEMA, brute_components, brute_quality, fingerprint, words_of
+from test_corpus import SCHEMA, brute_quality, fingerprint, link_groups, text_hash, words_of
 
 import corpus_pipeline
 from motionloom.llm import common, packing, quality, queries
@@ -59,9 +59,10 @@ def brute_pipeline(rows: list[tuple], good: set) -> Counter:
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])].append(r)
     rows = [min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values()]
-    component = brute_components([fingerprint(r[1]) for r in rows], [r[0] for r in rows])
-    rows = [r for r, g in zip(rows, component, strict=True) if r[0] is None or r[0] == g]
-    rows = list({r[0] if r[0] is not None else (None, r[1]): r for r in rows}.values())
+    near = defaultdict(list)
+    for r, g in zip(rows, link_groups([fingerprint(r[1]) for r in rows]), strict=True):
+        near[g].append(r)
+    rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0, text_hash(r[1]))) for g in near.values()]
 
     sizes, lines = defaultdict(int), defaultdict(list)
     for r in rows:
