@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as c
+
 #: Words of running text, names and slugs.
 WORDS = (
     "harbour lantern meadow copper window silver orchard river garden marble winter thunder candle forest island bottle kitchen shadow ribbon velvet"
@@ -167,17 +169,26 @@ def _filled(template: str, first: int) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
+#: Forms that one plan fills: generated code for many more would be too long to be compiled.
+FORMS_AT_ONCE = 8
+
+
 def findings(spark: SparkSession, rows: int, forms=FORMS) -> DataFrame:
-    """token, left, right, path and label of `rows` findings, dealt evenly over the forms; the same in any run."""
-    kind = F.col("i") % len(forms)
-
-    def column(place: int) -> Column:
-        out = None
-        for k, form in enumerate(forms):
-            value = _filled(form[place], 2 * place)
-            out = F.when(kind == k, value) if out is None else out.when(kind == k, value)
-        return out
-
-    labels = F.element_at(F.array(*(F.lit(float(f[0])) for f in forms)), (kind + 1).cast("int"))
-    table = _pools(spark.range(0, rows, 1, 4).toDF("i"))
-    return table.select(column(2).alias("token"), column(1).alias("left"), column(3).alias("right"), column(4).alias("path"), labels.alias("label"))
+    """token, left, right, path and label of `rows` findings, dealt evenly over the forms; the same in any run, and made once: a written table in four parts."""
+    pools, table = _pools(spark.range(0, rows, 1, 4).toDF("i")), None
+    for first in range(0, len(forms), FORMS_AT_ONCE):
+        own = forms[first : first + FORMS_AT_ONCE]
+        kind = F.col("i") % len(forms) - first
+
+        def column(place: int, own=own, kind=kind) -> Column:
+            out = None
+            for k, form in enumerate(own):
+                value = _filled(form[place], 2 * place)
+                out = F.when(kind == k, value) if out is None else out.when(kind == k, value)
+            return out
+
+        labels = F.element_at(F.array(*(F.lit(float(f[0])) for f in own)), (kind + 1).cast("int"))
+        part = pools.where(kind.between(0, len(own) - 1)).select("i", column(2).alias("token"), column(1).alias("left"), column(3).alias("right"), column(4).alias("path"), labels.alias("label"))
+        table = part if table is None else table.union(part)
+    table = c.written(table, "findings")
+    return table.repartitionById(4, F.floor(F.col("i") * 4 / max(rows, 1)).cast("int")).sortWithinPartitions("i").drop("i")
