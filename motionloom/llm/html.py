@@ -51,6 +51,8 @@ RAW_TAGS = frozenset("script style textarea noscript template iframe object svg
 TEXT_TAGS = frozenset("script style textarea noscript iframe".split())
 #: Elements whose own names tell about the page as a whole.
 WHOLE_TAGS = frozenset("html body".split())
+#: Elements that aren't content, unless most of the page's prose is in them: so many characters and blocks of it at least.
+HOLDERS, HELD, HELD_BLOCKS = ("form", "header", "aside"), 200, 2
 #: Tags that close an open element of the same kind, up to the containers after it.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu", "dir")),
@@ -63,9 +65,9 @@ CLOSES = {
 }
 #: Words of class, id and role names: of what is no article, however much prose it has.
 BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies"
-    " copyright disqus dialog feedback foot footer gdpr hidden login logo masthead menu menus modal nav navbar navigation newsletter notice notices notification"
-    " notifications overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies reply respond rss search share sharing"
+    "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commenter commenters commentlist commentary complementary consent contentinfo cookie cookies"
+    " copyright discussion discussions disqus dialog feedback foot footer gdpr hidden login logo masthead menu menus modal nav navbar navigation newsletter notice notices notification"
+    " notifications overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies reply respond responses reviews rss search share sharing"
     " sidebar signin signup skip social sponsor sponsored subscribe subscription toolbar topbar trending warning".split()
 )
 #: Of what may also stand around an article.
@@ -236,12 +238,14 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 _SPLIT = re.compile(r"[^a-z]+")
 _LONG_REFERENCE = re.compile(r"&#0*([0-9]{8})[0-9]*")
+#: A heading above readers' comments.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader|user)?\s*(?:comments?|replies|responses|discussion|reviews)\s*(?:\(?\d+\)?)?\s*:?", re.I)
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)]*$")
 
 
 def _kind(name: str) -> str:
     """What a class, id or role stands for: bad, weak, good or nothing."""
-    parts = {x for x in _SPLIT.split(name) if x}
+    parts = {x for x in _SPLIT.split(name) if len(x) > 2 or x in ("ad", "to")} or {x for x in _SPLIT.split(name) if x}  # one or two letters are a prefix
     plain = BOX_NAMES | CONTENT_NAMES
     if parts <= ENTRY_NAMES | HEAD_NAMES and not parts.isdisjoint(ENTRY_NAMES):  # the head of an article, as in "entry-header"
         return "good"
@@ -253,13 +257,16 @@ def _kind(name: str) -> str:
 
 
 class Element:
-    __slots__ = ("tag", "depth", "parent", "bad", "weak", "good", "hidden", "seen", "within")
+    __slots__ = ("tag", "depth", "parent", "bad", "weak", "good", "hidden", "seen", "within", "holders")
 
     def __init__(self, tag: str, names: str, parent: Element | None) -> None:
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.bad, self.weak, self.good, self.hidden = (parent.bad, parent.weak, parent.good, parent.hidden) if parent else (False, None, False, False)
         self.seen = parent.seen if parent else frozenset()
         self.within = parent.within if parent else frozenset()
+        self.holders = parent.holders if parent else {}  # the outermost of the elements that may hold a whole page after all
+        if tag in HOLDERS and tag not in self.holders:
+            self.holders = self.holders | {tag: self}
         if tag not in self.within:
             self.within = self.within | {tag}
         if tag in ("article", "main"):
@@ -381,12 +388,14 @@ def is_prose(text: str, share: float) -> bool:
     return len(text) >= PROSE and share < 0.5 and _SENTENCE.search(text) is not None
 
 
-def describe(element: Element, text: str, share: float, weak: float) -> list[float]:
-    """The values of FEATURES; weak: how much a weak name counts."""
+def describe(element: Element, text: str, share: float, weak: float, excused: frozenset = frozenset(), commented: bool = False) -> list[float]:
+    """The values of FEATURES; weak: how much a weak name counts; excused: elements that don't count as what they are; commented: stands under a heading of comments."""
     seen, tag, n = element.seen, element.tag, len(text)
+    if excused:
+        seen = seen - {k for k, x in element.holders.items() if id(x) in excused}
     return [
         1.0, "content" in seen, "nav" in seen, "header" in seen, "footer" in seen, "aside" in seen, "form" in seen, "head" in seen,
-        element.bad, weak, element.good, share, share > 0.8 and not (tag[:1] == "h" and tag[1:].isdigit()), tag in ("p", "blockquote", "pre"), tag[:1] == "h" and tag[1:].isdigit(), tag == "li", tag in ("td", "th", "dd", "dt"),
+        element.bad or commented, weak, element.good, share, share > 0.8 and not (tag[:1] == "h" and tag[1:].isdigit()), tag in ("p", "blockquote", "pre"), tag[:1] == "h" and tag[1:].isdigit(), tag == "li", tag in ("td", "th", "dd", "dt"),
         min(n, 400) / 200, is_prose(text, share), n < 25, _SENTENCE.search(text) is not None, "©" in text or "opyright" in text,
     ]
 
@@ -463,6 +472,38 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                     around[b][a] += flow
 
 
+def _excused(found: list[tuple[Element, str, float]]) -> frozenset:
+    """Forms, headers and asides that hold more than half of the page's prose: whole pages stand in them on some sites."""
+    total, inside = 0, {}
+    for element, text, share in found:
+        if is_prose(text, share) and not element.bad and element.seen.isdisjoint(("nav", "footer", "head")):
+            total += len(text)
+            for holder in element.holders.values():
+                size = inside.setdefault(id(holder), [0, 0])
+                size[0] += len(text)
+                size[1] += 1
+    return frozenset(k for k, (size, many) in inside.items() if size >= HELD and many >= HELD_BLOCKS and 2 * size > total)
+
+
+def _commented(found: list[tuple[Element, str, float]]) -> list[bool]:
+    """Which blocks stand under a heading of readers' comments, in its box, up to the next heading as high; prose must come before it."""
+    out, box, level, prose = [], None, 0, False
+    for element, text, share in found:
+        tag = element.tag
+        height = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0
+        if box is not None:
+            x = element.parent
+            while x is not None and x.depth > box.depth:
+                x = x.parent
+            if x is not box or height and height <= level:
+                box = None
+        if box is None and prose and height > 1 and _COMMENTS.fullmatch(text):
+            box, level = element.parent, height
+        out.append(box is not None)
+        prose = prose or is_prose(text, share)
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     found = blocks(page or "")
@@ -476,7 +517,8 @@ def extract(page: str | None) -> str:
             size[0] += len(text)
             size[1] += len(text) * is_prose(text, share)
     weak = [0.0 if not x[0].weak else 1 - (box := boxes[id(x[0].weak)])[1] / box[0] for x in found]
-    odds = (np.array([describe(*x, v) for x, v in zip(found, weak, strict=True)], float) @ w).tolist()
+    excused, commented = _excused(found), _commented(found)
+    odds = (np.array([describe(*x, v, excused, z) for x, v, z in zip(found, weak, commented, strict=True)], float) @ w).tolist()
     edges, last = [], {}
     for k, (element, _, share) in enumerate(found):
         if k:

@@ -156,3 +156,40 @@ def test_very_long_page_and_many_pages_in_bounded_batches(spark):
     found = {r["page_id"]: r for r in html.extract_pages(pages).collect()}
     assert len(found) == 51 and all(found[k]["text"] == PROSE[k % 3] for k in range(50))
     assert found[99]["text"].count("\n") == 29_999 and found[99]["n_chars"] == len(found[99]["text"])
+
+
+BRIDGE = [
+    "The old bridge over the river was closed in spring, and the people of the lower town had to walk around by the mill for months.",
+    "In the third week of June the council met in the school, because the hall was too small for all who wanted to hear what it would say.",
+    "Nobody was surprised when the engineer read out the costs, but the silence afterwards lasted longer than anyone there could remember.",
+]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in BRIDGE)
+
+
+@pytest.mark.parametrize("wrap", ["<form action='/'>{}</form>", "<form><main>{}</main></form>", "<form><div class='content'>{}</div></form>", "<header>{}</header>", "<aside>{}</aside>", "<form><div id='page'><article>{}</article></div></form>"])
+def test_whole_pages_in_a_form_or_header(wrap):
+    page = "<html><head><title>T</title></head><body>" + wrap.format("<h1>The bridge</h1>" + PARAGRAPHS) + "<form><p>Your name, please.</p></form><footer><p>All rights reserved.</p></footer></body></html>"
+    assert html.extract(page) == "\n".join(["The bridge", *BRIDGE])
+
+
+COMMENTS = ["I was there too, and it was not at all like this; it rained on all of the three days that we spent in the town.", "What a nice story, thank you very much for it, and please write more about the mill and those who lived in it."]
+
+
+@pytest.mark.parametrize("wrap", [
+    "<ul class='commentlist'>{}</ul>", "<div class='c-comments'><div class='c-comments__item'>{}</div></div>", "<div class='user-reviews'>{}</div>",
+    "<section class='discussion'><h3>3 Comments</h3>{}</section>", "<h2>Comments</h2><div>{}</div>", "<div><h3>Comments (2)</h3>{}</div>",
+])
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comment_layouts(wrap, outer, inside):
+    item = "<li>{}</li>" if "<ul" in wrap else "<p>{}</p>"
+    comments = wrap.format("".join(item.format(x) for x in COMMENTS))
+    page = outer.format("<h1>The bridge</h1>" + PARAGRAPHS + comments * inside) + comments * (not inside)
+    assert html.extract(f"<html><body>{page}</body></html>") == "\n".join(["The bridge", *BRIDGE])
+
+
+def test_an_article_about_comments_stays():
+    page = f"<article><h1>Comments</h1><h2>Discussion</h2>{PARAGRAPHS}</article>"
+    assert all(x in html.extract(page) for x in BRIDGE)
+    page = f"<article><h1>The town</h1><p>{BRIDGE[0]}</p><h2>Comments on the plan</h2><p>{BRIDGE[1]}</p><h2>Costs</h2><p>{BRIDGE[2]}</p></article>"
+    assert all(x in html.extract(page) for x in BRIDGE)
