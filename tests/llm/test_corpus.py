@@ -550,7 +550,7 @@ def test_forest_on_held_out_findings(spark):
 def test_queries_against_sql(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     expected, found = con.sql(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, d).toPandas()
     assert sorted(expected) == sorted(found)
