@@ -12,7 +12,7 @@ from .operators.sequence import ranked
 from .plans import methods, oracle, pipeline
 from .plans.oracle import sql
 from .session import materialised, scratch
-from .sources import events, files
+from .sources import events, files, matlab
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,6 +91,28 @@ def ragged_scan(spark, d):
     return raw.join(ids, "seq").select("line", F.col("Command").alias("c0"), F.col("RegisterAddress").alias("c1"), F.col("DataElement9").alias("c12"), F.col("DataElement11").alias("c14"))
 
 
+@query(ORACLE_SQL["ragged_scan"])
+def log_files(spark, d):
+    """The same lines written as several log files, each with a header, and read as one log."""
+    p, path = events.packets(spark, d), scratch(spark, "logs")
+    cells = [F.col("command").cast("string"), F.col("register").cast("string"), F.col("ts").cast("string"), *(F.col(k).cast("string") for k in S.SENSORS)]
+    counter = F.when(F.col("seq") % 7 == 3, F.lit("n/a")).otherwise(F.col("counter").cast("string"))
+    line = F.concat_ws(",", *cells, counter, F.when(F.col("seq") % 5 == 0, F.lit(",1.5")))
+    lines = p.repartitionByRange(5, "seq").sortWithinPartitions("seq").select(line.alias("Command,RegisterAddress,Timestamp"))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    ids = ranked(p.select(F.col("seq").alias("line")), "line", "seq")
+    raw = files.ragged_csv(spark, path)
+    return raw.join(ids, "seq").select("line", F.col("Command").alias("c0"), F.col("RegisterAddress").alias("c1"), F.col("DataElement9").alias("c12"), F.col("DataElement11").alias("c14"))
+
+
+@query(sql("SELECT win, label + 1 AS label FROM labelled", "labelled"))
+def matlab_labels(spark, d):
+    """Labels of the windows as the content of a MATLAB file, and read from it."""
+    v = _vectors(spark, d)
+    near = distance.nearest(v, v.where("win % 16 = 0").select(F.floor(F.col("win") / 16).cast("long").alias("pos"), "vec"))
+    return matlab.labels_of(matlab.contents(near.select(F.col("i").alias("win"), (F.col("j") + 1).alias("label"))))
+
+
 @query(sql("SELECT seq, ts, ax, counter FROM packets WHERE register = 34", "packets"))
 def motion_filter(spark, d):
     return clean.motion(events.packets(spark, d)).select("seq", "ts", "ax", "counter")
@@ -221,6 +243,15 @@ def bundle_table(spark, d):
     return table.withColumn("vec", F.array_join(F.col("vec").cast("array<string>"), ","))
 
 
+@query("SELECT 'd' || (vec_id % 3) AS dataset, 'm' || vec_id AS method, CASE WHEN vec_id % 4 > 0 THEN vec_id / 8.0::DOUBLE END AS t_dist_s, label * 0.5::DOUBLE AS t_algo_s, vec_id / 4.0::DOUBLE AS t_s FROM embeddings WHERE vec_id % 5 > 0")
+def recorded_timings(spark, d):
+    """Seconds of earlier runs, written as CSV with missing and foreign cells, and read again."""
+    x, path = events.vectors(spark, d), scratch(spark, "timings")
+    seconds = [F.when(F.col("win") % 4 > 0, F.col("win") / 8.0).alias("t_dist_s"), (F.col("label") * 0.5).alias("t_algo_s"), F.when(F.col("win") % 5 > 0, (F.col("win") / 4.0).cast("string")).otherwise("n/a").alias("t_s")]
+    files.write_csv(x.select(F.concat(F.lit("d"), F.col("win") % 3).alias("dataset"), F.concat(F.lit("m"), "win").alias("method"), *seconds), path)
+    return files.timings(spark, path)
+
+
 # Distances
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import shuffle_key
+from ..functions.expressions import l1, shuffle_key
 from ..session import in_arrow, materialised
 from .distance import nearest
 from .sequence import ranked
@@ -101,6 +101,36 @@ def k_means(df: DataFrame, k: int, seed: int = 42, key: str = "win", vec: str =
     return model.transform(x).drop("_f"), model
 
 
+def bounded_blocks(rows: DataFrame, most: int, key: str = "win", vec: str = "vec") -> DataFrame:
+    """rows with column block for cluster: clusters of more than `most` rows are halved until none is, each time between two rows far apart.
+
+    A half is what is nearer to one of the two, up to the median; if over a quarter of the rows tie with it, such as copies, these are dealt out by a hash. A round is a few aggregates over
+    the large blocks alone, and there are as many as the largest one has halves to make.
+    """
+    x = materialised(rows.withColumn("block", F.col("cluster").cast("long")).drop("cluster"), "blocks")
+    for step in range(60):
+        large = materialised(x.groupBy("block").count().where(F.col("count") > most).select("block"), "large")
+        if large.isEmpty():
+            break
+        own = x.join(large, "block").select("block", key, vec)
+
+        def far_from(pivots: DataFrame, own=own) -> DataFrame:
+            return own.join(pivots, "block").groupBy("block").agg(F.max_by(vec, F.struct(l1(F.col(vec), F.col("pivot")), -F.col(key))).alias("pivot"))
+
+        one = materialised(far_from(own.groupBy("block").agg(F.min_by(vec, key).alias("pivot"))), "pivots")
+        two = far_from(one).withColumnRenamed("pivot", "other")
+        nearer = l1(F.col(vec), F.col("pivot")) - l1(F.col(vec), F.col("other"))
+        sides = materialised(own.join(one, "block").join(two, "block").select("block", F.col(key).alias("_key"), nearer.alias("d")), "sides")
+        middle = sides.groupBy("block").agg(F.percentile_approx("d", 0.5, 10_000).alias("m"))
+        met = sides.join(middle, "block")
+        ties = met.groupBy("block").agg((4 * F.count_if(F.col("d") == F.col("m")) > F.count("*")).alias("tied"))
+        dealt = F.shiftrightunsigned(F.xxhash64("_key"), step).bitwiseAND(1)
+        half = F.when(F.col("tied") & (F.col("d") == F.col("m")), dealt).otherwise((F.col("d") > F.col("m")).cast("long"))
+        found = met.join(ties, "block").select("_key", half.alias("half"))
+        x = materialised(x.join(found, F.col(key) == F.col("_key"), "left").withColumn("block", F.col("block") * 2 + F.coalesce("half", F.lit(0))).drop("_key", "half"), "blocks")
+    return x
+
+
 def k_means_representatives(df: DataFrame, k: int, seed: int = 42, key: str = "win", vec: str = "vec") -> DataFrame:
     """Rows nearest to the K-means centres, each once: at most k."""
     _, model = k_means(df, k, seed, key, vec)

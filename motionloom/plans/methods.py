@@ -74,13 +74,11 @@ BLOCK_ROWS = 5000
 def ap_twolevel(rows: DataFrame, *, blocks: int | None = None, preference=None, seed: int = 42, unit: float = S.UNIT, **_) -> Clustering:
     """K-means blocks in parallel, each with its own exemplars; these compete once more; all rows go to the nearest winner.
 
-    A block of more than BLOCK_ROWS rows is dealt out to several tasks, each with its own exemplars.
+    Blocks of more than BLOCK_ROWS rows are halved, between rows far apart, until none is.
     """
     n = rows.count()
     blocked, _model = sampling.k_means(rows, blocks or max(4, n // 2500), seed)
-    blocked = materialised(blocked.select("win", "vec", "cluster"), "blocked")
-    parts = blocked.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("parts"))
-    blocked = blocked.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("win"), "parts"))
+    blocked = sampling.bounded_blocks(blocked.select("win", "vec", "cluster"), BLOCK_ROWS)
     kind = "median" if preference is None else preference
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +87,7 @@ def ap_twolevel(rows: DataFrame, *, blocks: int | None = None, preference=None,
         _, found = affinity.cluster_matrix(cityblock(x, x) / unit, kind, max_iter=300)
         return pd.DataFrame({"win": pdf["win"].to_numpy()[found], "vec": list(x[found])})
 
-    first = materialised(blocked.select("cluster", "part", F.col("win").cast("long").alias("win"), F.col("vec").cast("array<double>").alias("vec")).groupBy("cluster", "part").applyInPandas(one, "win long, vec array<double>"), "candidates")
+    first = materialised(blocked.select("block", F.col("win").cast("long").alias("win"), F.col("vec").cast("array<double>").alias("vec")).groupBy("block").applyInPandas(one, "win long, vec array<double>"), "candidates")
     final = affinity.dense(first.dropDuplicates(["win"]), kind, unit=unit, max_iter=500, convergence=30)
     exemplars = materialised(_exemplars(final), "exemplars")
     return Clustering(materialised(assign(rows, exemplars), "assigned"), exemplars, preference)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
 import traceback
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,32 +51,42 @@ def prepare(packets: DataFrame, label: str | None = None, feature: str = "histog
 
 
 class Store:
-    """Results by data set, method and options, as tables under one folder."""
+    """Results by data set, method and options, as tables under one folder.
+
+    A result's labels go to a folder of their own; a note that names it is added last, and the latest note counts. So labels and note appear together,
+    a writer that dies before its note leaves the result before as it was, and two writers don't mix.
+    """
+
+    NOTE = "labels string, preference double, seconds double, at double"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _place(self, dataset: str, method: str, options: dict) -> str:
         key = json.dumps(options, sort_keys=True, default=str)
-        import hashlib
-
         return f"{self.path}/{dataset}/{method}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
 
     def get(self, dataset: str, method: str, options: dict, n: int) -> Clustering | None:
         """A stored result with as many rows as there are windows; its preference and seconds come with it."""
+        place = self._place(dataset, method, options)
         try:
-            labels = self.spark.read.parquet(self._place(dataset, method, options) + "/labels")
-            note = self.spark.read.json(self._place(dataset, method, options) + "/note").first()
-        except Exception:  # nothing is stored there
+            note = self.spark.read.schema(self.NOTE).json(place + "/notes").orderBy(F.desc("at"), "labels").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        if labels.count() != n:
+        if note is None:
             return None
-        return Clustering(labels, None, note["preference"] if "preference" in note else None, note["seconds"], options)
+        labels = self.spark.read.parquet(f"{place}/{note['labels']}")
+        return Clustering(labels, None, note["preference"], note["seconds"], options) if labels.count() == n else None
 
     def put(self, dataset: str, method: str, options: dict, result: Clustering) -> None:
-        place = self._place(dataset, method, options)
-        result.labels.write.mode("overwrite").parquet(place + "/labels")
-        self.spark.createDataFrame([(result.preference, result.seconds)], "preference double, seconds double").coalesce(1).write.mode("overwrite").json(place + "/note")
+        place, name = self._place(dataset, method, options), f"labels-{uuid.uuid4().hex}"
+        result.labels.write.parquet(f"{place}/{name}")
+        self._note(place, (name, result.preference, float(result.seconds), time.time()))
+
+    def _note(self, place: str, note: tuple) -> None:
+        self.spark.createDataFrame([note], self.NOTE).coalesce(1).write.mode("append").json(place + "/notes")
 
 
 def matrix(recordings: dict[str, DataFrame], methods=S.METHODS, *, store: Store | None = None, force: bool | set[str] = False, options: dict | None = None) -> list[dict]:

@@ -293,6 +293,19 @@ def test_stability_takes_all_rows(spark, blobs, monkeypatch):
         assert list(a.values()) == pytest.approx(list(b.values()))
 
 
+def test_blocks_are_bounded_neighbourhoods(spark):
+    """Large clusters are halved until they fit; a cut lies between far rows, and copies are dealt out."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(k * 100, 1, (60, 3)) for k in range(4)] + [np.full((100, 3), 7.0)])
+    cluster = np.array([0] * 240 + [1] * 100)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, cluster, strict=True))], "win long, vec array<double>, cluster int")
+    found = {r["win"]: r["block"] for r in sampling.bounded_blocks(df, 60).collect()}
+    sizes = np.unique(list(found.values()), return_counts=True)[1]
+    assert len(found) == 340 and sizes.max() <= 60
+    assert all(len({found[60 * k + i] for i in range(60)}) == 1 for k in range(4)) and not {found[i] for i in range(240)} & {found[i] for i in range(240, 340)}
+    assert sampling.bounded_blocks(df.where("win < 5"), 60).select("block").distinct().count() == 1
+
+
 def test_runs_of_a_grid_are_those_of_single_calls(spark, blobs):
     """Every method and seed: the same clusters and scores as clustering by itself."""
     _, df = blobs
@@ -356,6 +369,13 @@ def test_trees_from_blocks_are_the_same(spark, monkeypatch):
         assert {r["win"]: r["label"] for r in density.hdbscan(df, 10).collect()} == {3 * i + 1: int(k) for i, k in enumerate(labels)}
 
 
+def test_estimates_grow_with_pairs(spark):
+    joint = spark.createDataFrame([(i, [[float(i % 7)] * 4] * 6) for i in range(40)], "win long, pts array<array<float>>")
+    for name in ("sliced_w1", "exact_emd", "sinkhorn"):
+        few, many = (transport.estimate_seconds(joint, name, n_splits=k, n_probe=20) for k in (1, 1000))
+        assert 0 < few < many
+
+
 def test_density_of_few_rows(spark):
     for n in (0, 1, 2):
         rows = density.hdbscan(spark.createDataFrame([(i, [float(i)]) for i in range(n)], "win long, vec array<double>"), 5).collect()

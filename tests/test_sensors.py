@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from motionloom import schema as S
 from motionloom.functions.expressions import digitise, highpass
 from motionloom.operators import clean, sequence, signal, windows
-from motionloom.sources import files
+from motionloom.plans import methods, pipeline
+from motionloom.sources import files, matlab
 
 NAMES = [f.name for f in S.PACKETS]
 
@@ -162,3 +163,55 @@ def test_spans_agree_with_the_whole_recording(spark, monkeypatch):
     assert len(whole) == 20_000 and (whole["pos"] == spans["pos"]).all()
     for k in ("y_ga", "z", "z_gyro", "tot_accel"):
         assert np.allclose(whole[k].astype(float), spans[k].astype(float), rtol=0, atol=1e-9, equal_nan=True)
+
+
+def test_log_files_keep_their_order(spark, tmp_path, monkeypatch):
+    """Several files, split by Spark within lines' bounds, each with a header; lines count on from file to file."""
+    want = []
+    for k, lines in enumerate((700, 1, 0, 300)):
+        rows = [f"{k},34,{i / 10},{i},{'x' if i % 3 else ''}" for i in range(lines)] if lines != 1 else [""]
+        (tmp_path / f"log-{k}.csv").write_text("\n".join(["Command,RegisterAddress,Timestamp", *rows]) + "\n")
+        want += [(None, None) if not r else (float(k), float(r.split(",")[3])) for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = files.ragged_csv(spark, str(tmp_path)).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["seq"] for r in found] == list(range(len(want)))
+    assert [(r["Command"], r["DataElement0"]) for r in found] == want
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_matlab_labels(spark, tmp_path, compress):
+    values = [3, 1, 0, 255, 2, 2, 1]
+    path = tmp_path / "labels.mat"
+    path.write_bytes(matlab.encoded(np.array(values), compress=compress))
+    assert [tuple(r) for r in matlab.labels(spark, str(path)).orderBy("win").collect()] == list(enumerate(values))
+    with pytest.raises(KeyError, match="Clusters"):
+        matlab.decoded(path.read_bytes(), "Other")
+    with pytest.raises(Exception, match="'none' is not among the fields"):
+        matlab.labels(spark, str(path), field="none").collect()
+    assert matlab.decoded(matlab.encoded(np.array([70_000, 5]))).tolist() == [70_000, 5] and not len(matlab.decoded(matlab.encoded(np.array([], int))))
+
+
+def test_a_writer_that_dies_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    store = pipeline.Store(spark, str(tmp_path))
+    labels = lambda k: spark.createDataFrame([(i, k) for i in range(4)], "win long, label int")
+    assert store.get("d", "m", {}, 4) is None
+    store.put("d", "m", {}, methods.Clustering(labels(1), None, -2.5, 1.0))
+
+    def dies(place, note):
+        raise OSError("gone")
+
+    monkeypatch.setattr(store, "_note", dies)
+    with pytest.raises(OSError):
+        store.put("d", "m", {}, methods.Clustering(labels(2), None, None, 1.0))
+    monkeypatch.undo()
+    found = store.get("d", "m", {}, 4)
+    assert {r["label"] for r in found.labels.collect()} == {1} and found.preference == -2.5
+    store.put("d", "m", {}, methods.Clustering(labels(3), None, None, 2.0))
+    found = store.get("d", "m", {}, 4)
+    assert {r["label"] for r in found.labels.collect()} == {3} and found.preference is None and found.seconds == 2.0
+    assert store.get("d", "m", {}, 5) is None and store.get("d", "m", {"k": 1}, 4) is None
