@@ -5,9 +5,8 @@ each group, mixing orders (and repeats) documents by a curriculum, packing place
 their tokens in sequences.
 
 Defined cases, beyond those of the operators. Null and empty texts, and texts of white space, go with the quality rules, so that
-no later stage sees them. Rows that repeat a doc_id with equal texts end as one, as do near copies; of rows that repeat a doc_id with other texts one
-stays in near-duplicate removal. Rows without a doc_id take part in all stages, and none of them goes as another's near copy. Of ties
-in exact removal the smallest doc_id stays. A very long text is one document all the way; packing cuts it. An empty table gives an
+no later stage sees them. Duplicates are decided by row: a row goes if its text is an equal or near copy of one that stays, and never because another row has its doc_id; of
+each group the smallest doc_id stays (in exact removal after the longest text), rows without a doc_id after all others. A very long text is one document all the way; packing cuts it. An empty table gives an
 empty result with the same columns. Other columns, whatever their names, pass through to the last stage, which returns pieces.
 """
 
