@@ -80,7 +80,7 @@ def brute_pipeline(rows: list[tuple], good: set) -> Counter:
     full, out = packing.tokens("byte_bpe_50k").full, Counter()
     for s in order:
         at = 0
-        for r in sorted(lines[s], key=lambda r: (r[0] % 2**31 * 1103515245 + 12345) % 2**31) * 2:
+        for r in sorted(lines[s], key=lambda r: ((r[0] % 2**31 * 1103515245 + 12345) % 2**31, len(words_of(r[1])))) * 2:
             n = len(words_of(r[1]))
             if 2 * max(0, min(n, int(share[s] + 1e-9) - at)) >= n:
                 ids = np.array([*full.encode(r[1], add_special_tokens=False).ids, 2], "<u4")
@@ -98,7 +98,8 @@ def awkward() -> list[tuple]:
     texts += [base, base, base.replace(" ", "  "), base.upper(), base + " tail", base[:500] + " other " + base[500:]]
     texts += [prose(int(n)) for n in rng.integers(10, 300, 30)] + [prose(9000), prose(40) + " <|endoftext|> " + prose(20)]
     rows = [(i, t, "en", ["a", "b", None, "c"][i % 4], None, 1, True, i) for i, t in enumerate(texts)]
-    return [*rows, rows[20], rows[20], (None, None, None, None, None, None, None, None)]
+    again = (20, prose(77), "en", "a", None, 1, True, 0)  # another text of a known id
+    return [*rows, rows[20], rows[20], (None, None, None, None, None, None, None, None), again]
 
 
 def test_whole_pipeline_against_brute_force(spark, tmp_path):
