@@ -10,6 +10,7 @@ from motionloom import schema as S
 from motionloom.functions.expressions import digitise, highpass
 from motionloom.operators import clean, sequence, signal, windows
 from motionloom.plans import methods, pipeline
+from motionloom.session import materialised
 from motionloom.sources import files, matlab
 
 NAMES = [f.name for f in S.PACKETS]
@@ -72,6 +73,16 @@ def test_neighbours_across_blocks(spark):
     assert [r["r"] for r in ranks] == list(range(30))
 
 
+def test_lots_of_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "TASK_BLOCKS", 4)
+    for n in (1000, 10_000):
+        found = sequence.around(spark.range(n).select(F.col("id").alias("pos"), F.when(F.col("id") % 7 == 3, F.col("id")).alias("v")), "pos", ["v"], block=8)
+        table = materialised(found, "around", lots=True)
+        sizes = [r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == n and max(sizes) <= 4 * 4 * 8  # no more rows in a task for a longer recording
+        assert table.where("pos >= 3 AND _prev_v.v <> pos - (pos - 3) % 7").isEmpty()
+
+
 def sequential(x):
     b0, pole = highpass()
     e = np.concatenate([2 * x[0] - x[6:0:-1], x, 2 * x[-1] - x[-2:-8:-1]])
