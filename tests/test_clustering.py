@@ -50,6 +50,28 @@ def test_joins(spark, blobs, monkeypatch):
         distance.min_affinity(df, mode="other")
 
 
+def test_sixteen_bits_hold_the_sums_of_ranges():
+    rng = np.random.default_rng(3)
+    for width in (1023, 1024, 32767, 32768):  # sums of 64 ranges up to and above 2**16
+        x = rng.integers(0, 2, (40, 64)) * float(width) - width // 2
+        x[0], x[1] = x.min(), x.max()
+        assert np.array_equal(distance.cityblock(x, x[:7]), l1(x, x[:7]))
+    single = np.array([[-20000.0], [20000.0], [12767.0]])
+    assert np.array_equal(distance.cityblock(single, single), l1(single))
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_a_task_has_one_cell_of_the_grid(spark, blobs, monkeypatch, upper):
+    monkeypatch.setattr(distance, "PAIRS", 64)
+    from pyspark import TaskContext
+
+    def kernel(lk, lv, rk, rv, same):
+        return np.full(1, TaskContext.get().partitionId()), np.array([len(lk) * len(rk)]), np.ones(1)
+
+    met = distance.block_join(blobs[1], blobs[1], kernel, ("task", "n", "d"), upper=upper).groupBy("task").agg(F.count("*").alias("n")).collect()
+    assert len(met) >= 32 and {r["n"] for r in met} == {1}
+
+
 def test_search_in_cells_finds_nine_of_ten_neighbours(spark, data):
     """The registered query by its own defaults, against all distances."""
     x = catalog._embeddings(spark, data).orderBy("win").toPandas()
