@@ -236,20 +236,31 @@ def _likely(x: str, y: str, percent: int):
     return F.expr(f"{sizes} AND {differ} <= {DIFFER} AND {100 + percent} * {shared} >= {percent} * ({x}.n + {y}.n)"), F.expr(differ)
 
 
+def _met(mixed: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b, differ) of members (key, node, component, largest, n, s0, ..., keys) of different components of a bucket.
+
+    Copies with small changes share most of their buckets; a pair is made in the first one alone, by the order of keys.
+    """
+    likely, differ = _likely("x", "y", percent)
+    x, y = mixed.where("component <> largest").alias("x"), mixed.alias("y")
+    once = F.expr("x.key = y.key AND x.component <> y.component AND (y.component = y.largest OR x.node < y.node)")
+    first = F.expr("x.key = array_min(array_intersect(x.keys, y.keys))")
+    return x.join(y, once & likely & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), differ.alias("differ"))
+
+
 def _grouped(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """node and component of the nodes (node, d1, d2, n, s0, ..., keys) that are linked; None without candidates."""
     index = nodes.select("node", F.explode("keys").alias("key"))
     shared = c.written(index.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many"), "shared")
     members = c.written(index.join(shared, "key").select("key", "node", "centre"), "members")
-    own = nodes.drop("keys").join(members.select("node").distinct(), "node", "left_semi")
-    held = c.written(own, "held")
+    held = c.written(nodes.join(members.select("node").distinct(), "node", "left_semi"), "held")
     if held.isEmpty():
         return None
     known = docs.sparkSession.sparkContext.broadcast(c.filter_of(held.select(F.col("d1").alias("h"))))
     sets = c.in_arrow(docs.select("text"), _set_maker(known, shingle), "d1 long, d2 long, members binary").groupBy("d1", "d2").agg(F.first("members").alias("members"))
     sets = c.written(held.select("node", "d1", "d2").join(sets, ["d1", "d2"]).select("node", "members"), "sets", short=False)
-    short = held.drop("d1", "d2")
-    likely, differ = _likely("x", "y", percent)
+    short = held.drop("d1", "d2", "keys")
+    likely, _ = _likely("x", "y", percent)
 
     star = members.where("node <> centre").groupBy("node", "centre").count().groupBy("node").agg(F.max(F.struct("count", -F.col("centre"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("node").alias("b"))
     star = star.join(short.alias("x"), F.col("a") == F.col("x.node")).join(short.alias("y"), F.col("b") == F.col("y.node")).where(likely).select("a", "b")
@@ -259,10 +270,8 @@ def _grouped(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> D
     for width in WIDTHS:
         table = c.written(members.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
         sizes = table.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("largest"), F.count("*").alias("many"))
-        mixed = c.written(table.join(sizes.where("many > 1"), "key").join(short, "node").drop("many"), "mixed")
-        x, y = mixed.where("component <> largest").alias("x"), mixed.alias("y")
-        once = F.expr("x.key = y.key AND x.component <> y.component AND (y.component = y.largest OR x.node < y.node)")
-        pairs = x.join(y, once & likely).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), differ.alias("differ")).distinct()
+        mixed = c.written(table.join(sizes.where("many > 1"), "key").join(held.drop("d1", "d2"), "node").drop("many"), "mixed")
+        pairs = _met(mixed, percent)
         both = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = pairs.join(both, ["a", "b"], "left_anti")
         if width:

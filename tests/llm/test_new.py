@@ -204,6 +204,14 @@ def test_minhash_of_a_crowd_around_the_limit(spark):
     assert Counter(map(tuple, found.collect())) == Counter(brute_groups(rows))
 
 
+def test_minhash_makes_a_pair_in_one_of_its_buckets(spark):
+    numbers = range(minhash.SKETCH + minhash.MAP)
+    rows = [(k, node, node, 0, 10, *(0 for _ in numbers), [5, 7, 9]) for k in (5, 7, 9) for node in range(4)]
+    mixed = spark.createDataFrame(rows, "key long, node long, component long, largest long, n long, " + ", ".join(f"s{k} long" for k in numbers) + ", keys array<long>")
+    met = minhash._met(mixed, 85)
+    assert sorted(tuple(sorted((r["a"], r["b"]))) for r in met.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+
+
 def test_minhash_of_empty_and_lonely_tables(spark, empty):
     assert minhash.near_groups(empty).count() == 0
     rows = [(1, "a b c"), (2, ""), (3, None), (None, " ")]
