@@ -8,7 +8,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from motionloom.operators import affinity, distance
+from motionloom.operators import affinity, distance, transport
 
 
 def blobs() -> np.ndarray:
@@ -100,3 +100,33 @@ def test_block_rows_in_files(spark, monkeypatch):
     assert got(affinity.of_distances(pairs, df, held=0, max_iter=8)) == want
     with pytest.raises(ValueError):
         affinity.of_distances(pairs, df, limit=74)
+
+
+def test_easy_plans_need_no_newton_steps(monkeypatch):
+    """Plain scaling reaches the same plans; costs are those of whole arrays, in any layout."""
+    rng = np.random.default_rng(2)
+    for n in (4, 20):
+        a, b = rng.normal(0, 0.25, (2, 50, n, 4))
+        cost = transport._ground(a, b)
+        assert np.array_equal(cost, np.abs(a[:, :, None, :] - b[:, None, :, :]).sum(axis=-1))
+        monkeypatch.setattr(transport, "EASY", 0)
+        slow = transport.sinkhorn_cost(cost, 0.5)
+        monkeypatch.setattr(transport, "EASY", 20)
+        hard = transport.sinkhorn_cost(cost, 0.1)  # some are left after STEPS
+        assert hard[1].all() and np.allclose(hard[0], [transport.sinkhorn_cost(c[None], 0.1)[0][0] for c in cost], atol=1e-8)
+        monkeypatch.setattr(np.linalg, "solve", None)
+        fast = transport.sinkhorn_cost(cost, 0.5)
+        monkeypatch.undo()
+        assert fast[1].all() and np.allclose(fast[0], slow[0], atol=1e-8)
+
+
+def test_sliced_distances_ship_points(spark, monkeypatch):
+    """The grid gets 4 values a point, not 100; distances are those of the projected rows, bit by bit."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(0, 1, (12, 60, 4)).astype(np.float32))], "win long, pts array<array<float>>")
+    wide = transport.sliced_features(df)
+    want = sorted(map(tuple, distance.pairs(wide).collect())), sorted(map(tuple, distance.cross(wide, wide.where("win < 3")).collect()))
+    seen, join = [], distance.block_join
+    monkeypatch.setattr(distance, "block_join", lambda a, b, *args, **kw: (seen.append(len(a.select("vec").first()[0])), join(a, b, *args, **kw))[1])
+    got = sorted(map(tuple, transport.joint_distances(df, "sliced_w1").collect())), sorted(map(tuple, transport.joint_distances(df, "sliced_w1", df.where("win < 3")).collect()))
+    assert got == want and seen == [240, 240]
