@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from motionloom.operators import affinity, distance, transport
+from motionloom.plans import pipeline
 
 
 def blobs() -> np.ndarray:
@@ -130,3 +131,12 @@ def test_sliced_distances_ship_points(spark, monkeypatch):
     monkeypatch.setattr(distance, "block_join", lambda a, b, *args, **kw: (seen.append(len(a.select("vec").first()[0])), join(a, b, *args, **kw))[1])
     got = sorted(map(tuple, transport.joint_distances(df, "sliced_w1").collect())), sorted(map(tuple, transport.joint_distances(df, "sliced_w1", df.where("win < 3")).collect()))
     assert got == want and seen == [240, 240]
+
+
+def test_halves_of_more_rows_are_one_job(spark, monkeypatch):
+    """Rows that are too many for a task, whose halves are not: all splits at once, with the scores of a small recording."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(blobs())], "win long, vec array<double>")
+    want = pipeline.split_half(df, splits=2, unit=10)
+    monkeypatch.setattr(affinity, "ONE_TASK", 20)
+    monkeypatch.setattr(affinity, "dense", None)
+    assert pipeline.split_half(df, splits=2, unit=10) == want and want["splits"] == 2
