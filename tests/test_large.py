@@ -8,7 +8,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from motionloom.operators import affinity, distance, transport
+from motionloom.operators import affinity, distance, metrics, transport
 from motionloom.plans import pipeline
 
 
@@ -140,3 +140,36 @@ def test_halves_of_more_rows_are_one_job(spark, monkeypatch):
     monkeypatch.setattr(affinity, "ONE_TASK", 20)
     monkeypatch.setattr(affinity, "dense", None)
     assert pipeline.split_half(df, splits=2, unit=10) == want and want["splits"] == 2
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_silhouette_meets_no_pairs(spark, monkeypatch, whole):
+    """Several groups of rows and values cut by batches, against all pairs; noise is left out, a single member scores 0."""
+
+    def never(*_, **__):
+        raise AssertionError("rows were compared in pairs")
+
+    monkeypatch.setattr(distance, "_on_grid", never)
+    monkeypatch.setattr(metrics, "GROUP", 40, raising=False)
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(c, 4, (50, 5)) for c in (0, 9, 30)])
+    v = v.round() if whole else v
+    label = np.repeat([3, 0, 7], 50)
+    label[:3], label[60] = -1, 12
+    used = np.flatnonzero(label >= 0)
+    d = np.abs(v[used, None] - v[None, used]).sum(2)
+    scores = []
+    for i, own in enumerate(label[used]):
+        means = {c: d[i, label[used] == c].sum() / max((label[used] == c).sum() - (c == own), 1) for c in set(label[used])}
+        b = min(m for c, m in means.items() if c != own)
+        scores.append(0 if (label[used] == own).sum() == 1 else (b - means[own]) / max(b, means[own]))
+    rows = spark.createDataFrame([(i, [float(c) for c in x], int(k)) for i, (x, k) in enumerate(zip(v, label, strict=True))], "win long, vec array<double>, label int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = metrics.silhouette(rows, most=None).first()["silhouette"]
+        alone = metrics.silhouette(rows.where("label = 3"), most=None).first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found == pytest.approx(np.mean(scores), abs=5.1e-5)
+    assert alone["silhouette"] is None and alone["quality"] is None
