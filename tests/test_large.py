@@ -7,9 +7,10 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motionloom.operators import affinity, distance, metrics, transport
-from motionloom.plans import pipeline
+from motionloom.plans import methods, pipeline
 
 
 def blobs() -> np.ndarray:
@@ -173,3 +174,26 @@ def test_silhouette_meets_no_pairs(spark, monkeypatch, whole):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert found == pytest.approx(np.mean(scores), abs=5.1e-5)
     assert alone["silhouette"] is None and alone["quality"] is None
+
+
+def test_two_level_blocks_have_a_task_each(spark, monkeypatch):
+    """Small blocks aren't put together in a task, and each gives the exemplars of its own matrix."""
+    seen, write = {}, methods.materialised
+
+    def noted(df, name, **options):
+        seen[name] = df
+        return write(df, name, **options)
+
+    monkeypatch.setattr(methods, "materialised", noted)
+    v = blobs()
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "win long, vec array<double>")
+    labels = methods.cluster(rows, "ap_twolevel", blocks=3, unit=1.0).labels
+    assert labels.count() == len(v)
+    tasks = seen["candidates"].select("win", F.spark_partition_id().alias("task")).collect()
+    exemplars = {r["win"] for r in tasks}
+    assert len({r["task"] for r in tasks}) == 3
+    expected = set()
+    for a in range(0, len(v), 25):  # k-means finds the blobs
+        x = v[a : a + 25]
+        expected |= {a + int(k) for k in affinity.cluster_matrix(distance.cityblock(x, x), "median", max_iter=300)[1]}
+    assert exemplars == expected
