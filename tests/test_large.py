@@ -197,3 +197,15 @@ def test_two_level_blocks_have_a_task_each(spark, monkeypatch):
         x = v[a : a + 25]
         expected |= {a + int(k) for k in affinity.cluster_matrix(distance.cityblock(x, x), "median", max_iter=300)[1]}
     assert exemplars == expected
+
+
+def test_ranking_of_neighbours_has_tasks_by_candidates(spark, monkeypatch):
+    """Candidates of few bytes aren't ranked in few tasks, and neighbours stay the same."""
+    monkeypatch.setattr(distance, "RANKED", 20, raising=False)
+    v = blobs()
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "win long, vec array<double>")
+    found = distance.neighbours(rows, 4).withColumn("task", F.spark_partition_id()).collect()
+    d = np.abs(v[:, None] - v[None]).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert {(r["i"], r["rank"], r["j"]) for r in found} == {(i, n + 1, int(j)) for i in range(len(v)) for n, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[:4])}
+    assert len({r["task"] for r in found}) > 8
