@@ -83,6 +83,32 @@ def test_lots_of_blocks_are_bounded(spark, monkeypatch):
         assert table.where("pos >= 3 AND _prev_v.v <> pos - (pos - 3) % 7").isEmpty()
 
 
+def test_ends_of_blocks_sort_no_rows(spark):
+    """Numbers travel as such, and their blocks' ends come from hash aggregates; names are found as well."""
+    rows = [(i, float(i) if i % 11 == 4 else None, i if i in (9, 30) else None, f"s{i}" if i in (12, 13) else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "pos long, v double, w int, s string")
+    found = sequence.around(df, "pos", ["v", "w", "s"], block=4).orderBy("pos").collect()
+    for k in range(1, 4):
+        name = df.columns[k]
+        known = [(r[0], r[k]) for r in rows if r[k] is not None]
+        for r in found:
+            assert (tuple(r[f"_prev_{name}"]) if r[f"_prev_{name}"] else None) == max((x for x in known if x[0] <= r["pos"]), default=None)
+            assert (tuple(r[f"_next_{name}"]) if r[f"_next_{name}"] else None) == min((x for x in known if x[0] >= r["pos"]), default=None)
+    plan = sequence.around(df, "pos", ["v", "w"], block=4)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_clean_writes_no_more_files_together(spark, monkeypatch):
+    """What is filled and kept stays in the tasks that made it, however few cores there are."""
+    seen = {}
+    plain = clean.materialised
+    monkeypatch.setattr(clean, "materialised", lambda df, name, **kinds: (seen.update({name: kinds.get("lots")}), plain(df, name, **kinds))[1])
+    rows = [(34, i * 0.005, float(i % 128), 1.0) for i in range(120) if i % 60 != 7]
+    found = clean.clean(packets(spark, rows))[0]
+    assert found.count() == 120 and found.where("folder IS NULL OR ax IS NULL").isEmpty()
+    assert seen == {"filled": True, "kept": True, "clean": True}
+
+
 def sequential(x):
     b0, pole = highpass()
     e = np.concatenate([2 * x[0] - x[6:0:-1], x, 2 * x[-1] - x[-2:-8:-1]])
