@@ -209,3 +209,12 @@ def test_ranking_of_neighbours_has_tasks_by_candidates(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     assert {(r["i"], r["rank"], r["j"]) for r in found} == {(i, n + 1, int(j)) for i in range(len(v)) for n, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[:4])}
     assert len({r["task"] for r in found}) > 8
+
+
+def test_matrix_skips_no_method_by_size(spark, monkeypatch):
+    """Without a limit of the caller's the full method runs at any number of windows."""
+    monkeypatch.setattr(pipeline.S, "AP_FULL_LIMIT", 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(blobs())], "win long, vec array<double>")
+    row, sampled = pipeline.matrix({"b": df}, ("ap_full", "ap_sampled"), options={"unit": 10, "sample_size": 30})
+    assert row["status"] == "ok" and row["n_clusters"] > 0 and sampled["ari_vs_ap_full"] is not None
+    assert pipeline.matrix({"b": df}, ("ap_full",), options={"unit": 10, "limit": 5})[0]["status"] == "skipped"
