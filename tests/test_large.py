@@ -218,3 +218,24 @@ def test_matrix_skips_no_method_by_size(spark, monkeypatch):
     row, sampled = pipeline.matrix({"b": df}, ("ap_full", "ap_sampled"), options={"unit": 10, "sample_size": 30})
     assert row["status"] == "ok" and row["n_clusters"] > 0 and sampled["ari_vs_ap_full"] is not None
     assert pipeline.matrix({"b": df}, ("ap_full",), options={"unit": 10, "limit": 5})[0]["status"] == "skipped"
+
+
+def test_told_messages_are_few_and_give_the_labels_of_the_matrix(monkeypatch):
+    """Of more rows than a task holds no matrix lies in memory or in files: what is told one by one is a small part of it, and labels stay the same."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 6, (200, 8)) for c in (0, 30, 70, 90)]).round()
+    own = np.arange(len(x))
+    s = affinity.Similarities(own, x, 10.0)
+    whole = s[:]
+    preferences = (whole.min(), float(np.median(whole)))
+    want = [affinity.propagate(whole, own, p) for p in preferences]
+    sizes, keep = [], affinity.Told._keep
+    monkeypatch.setattr(affinity.Told, "_keep", lambda self, k, entries: (sizes.append(len(entries[0])), keep(self, k, entries))[1])
+    monkeypatch.setattr(affinity, "SLAB", 1 << 16)
+    slabs = len(affinity.slabs(len(x), len(x)))
+    for held in (0, 30_000):
+        for p, (labels, found) in zip(preferences, want, strict=True):
+            sizes.clear()
+            got = affinity.propagate(s, own, p, held=held)
+            assert np.array_equal(got[0], labels) and np.array_equal(got[1], found)
+            assert max(sum(sizes[k : k + slabs]) for k in range(0, len(sizes), slabs)) < 0.25 * len(x) ** 2
