@@ -239,3 +239,18 @@ def test_told_messages_are_few_and_give_the_labels_of_the_matrix(monkeypatch):
             got = affinity.propagate(s, own, p, held=held)
             assert np.array_equal(got[0], labels) and np.array_equal(got[1], found)
             assert max(sum(sizes[k : k + slabs]) for k in range(0, len(sizes), slabs)) < 0.25 * len(x) ** 2
+
+
+def test_nearest_of_a_block_sorts_few_distances(monkeypatch):
+    """A bound from minima of classes of columns, ties and a rest of columns without a class included."""
+    rng = np.random.default_rng(8)
+    left, right = rng.integers(0, 4, (20, 3)).astype(float), rng.integers(0, 4, (1003, 3)).astype(float)
+    lk, rk = np.arange(20), np.arange(1003) + 5
+    d = np.abs(left[:, None] - right[None]).sum(2)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **kw: (sizes.append(x.shape[1]), partition(x, *a, **kw))[1])
+    for k in (1, 7, 62):
+        i, j, near = distance._least(lk, left, rk, right, k)
+        want = [(n, int(m) + 5, d[n, m]) for n in range(20) for m in np.lexsort((rk, d[n]))[:k]]
+        assert list(zip(i.tolist(), j.tolist(), near.tolist(), strict=True)) == want
+    assert max(sizes) < 1003 / 10
