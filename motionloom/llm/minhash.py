@@ -1,7 +1,7 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
 
 A document's set: A-Z lower-cased, words between ASCII white space, distinct runs of ``SHINGLE`` words (fewer words: the whole
-sequence), each as its 64-bit XXH3. Documents are linked if ``100 * intersection >= PERCENT * union``.
+sequence), each as a 64-bit hash of its words' hashes. Documents are linked if ``100 * intersection >= PERCENT * union``.
 
 Signature: one hash of each shingle says its bin (of ``BANDS * ROWS``) and its rank there; a bin keeps its least one. An empty
 bin takes the value of the first filled one in its own random order of bins (the same for all documents), so that
@@ -32,7 +32,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +41,6 @@ from .graph import components
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Shingles that are hashed at once.
-STEP = 1 << 14
 #: Pairs of one centre that a task confirms in a row.
 GROUP = 64
 #: Members that one outside of its bucket's largest component is held against in the rounds after the first; the last round takes all.
@@ -59,31 +56,38 @@ _PROBES = (c.mix(np.arange(sum(LOTS) * BINS, dtype=c.U64) + c.U64(1 << 40)) % c.
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE):
-    """The sorted set of each document."""
+    """The sorted set of each document; words and runs of them are hashed for the whole block at once."""
     starts, ends, doc = c.words_of(data, offs)
     n = len(offs) - 1
     if not len(starts):
         yield from (np.zeros(0, np.uint64) for _ in range(n))
         return
-    # Words once more, one blank after each: a shingle is then one slice.
-    width = ends - starts
-    new_ends = np.cumsum(width + 1)
-    new_starts = new_ends - width - 1
-    packed = np.full(int(new_ends[-1]), 32, np.uint8)
-    at = np.ones(len(packed), bool)
-    at[new_ends - 1] = False
-    packed[at] = _LOWER[data[~c.IS_SPACE[data]]]
-    text = packed.tobytes()
+    words = c.word_hashes(_LOWER[data], starts, ends)
     first = np.searchsorted(doc, np.arange(n + 1), "left")
-    digest = xxhash.xxh3_64_intdigest
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        many, reach = max(b - a - shingle + 1, min(b - a, 1)), min(shingle, b - a) - 1
-        h = np.empty(many, np.uint64)
-        for p in range(0, many, STEP):
-            q = min(p + STEP, many)
-            begin, stop = new_starts[a + p : a + q].tolist(), (new_ends[a + p + reach : a + q + reach] - 1).tolist()
-            h[p:q] = [digest(text[x:y]) for x, y in zip(begin, stop, strict=True)]
-        yield np.unique(h)
+    many = np.diff(first)
+    runs = np.maximum(many - shingle + 1, np.minimum(many, 1))  # of each document, its last words' places aside
+    h = np.empty(len(words), np.uint64)
+    whole = len(words) - shingle + 1
+    if whole > 0:
+        h[:whole] = _run(words[k : k + whole] for k in range(shingle))
+    for k in np.flatnonzero((many > 0) & (many < shingle)).tolist():
+        h[first[k]] = _run(words[p : p + 1] for p in range(first[k], first[k + 1]))[0]
+    for a, b in zip(first[:-1].tolist(), (first[:-1] + runs).tolist(), strict=True):
+        own = np.sort(h[a:b])
+        if len(own) > 1:
+            fresh = np.empty(len(own), bool)
+            fresh[0] = True
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            own = own[fresh]
+        yield own
+
+
+def _run(words) -> np.ndarray:
+    """Hashes of runs of words from those of their first, second and further words; runs of different lengths are told apart."""
+    h = None
+    for k, x in enumerate(words, 1):
+        h = c.mix(x + c.U64(k)) if h is None else c.mix(h * c.U64(c.BASES[0]) + c.mix(x + c.U64(k)))
+    return h
 
 
 def signature(members: np.ndarray) -> np.ndarray:
@@ -110,25 +114,27 @@ def signature(members: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a signature."""
+    """One 64-bit key for each band of a signature, or of each of several."""
     key = np.arange(1, BANDS + 1, dtype=c.U64)
-    for x in values.reshape(BANDS, ROWS).T:
+    for x in np.moveaxis(values.reshape(*values.shape[:-1], BANDS, ROWS), -1, 0):
         key = c.mix(key * c.U64(c.BASES[0]) + x)
     return key
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """Two bits of each value of a signature, as SKETCH numbers: first the lower bits of all bins, then the upper ones."""
-    planes = np.zeros((2, 32 * SKETCH), bool)
-    planes[0, :BINS], planes[1, :BINS] = values & c.U64(1), values >> c.U64(1) & c.U64(1)
-    return np.packbits(planes, bitorder="little").view(np.int64)
+    """Two bits of each value of a signature, or of each of several, as SKETCH numbers: first the lower bits of all bins, then the upper ones."""
+    planes = np.zeros((*values.shape[:-1], 2, 32 * SKETCH), bool)
+    planes[..., 0, :BINS], planes[..., 1, :BINS] = values & c.U64(1), values >> c.U64(1) & c.U64(1)
+    return np.packbits(planes.reshape(*values.shape[:-1], 64 * SKETCH), axis=-1, bitorder="little").view(np.int64)
 
 
-def member_map(members: np.ndarray) -> np.ndarray:
-    """A bit of 64 * MAP for each member of a set, as MAP numbers."""
-    bits = np.zeros(64 * MAP, bool)
-    bits[(c.mix(members + c.U64(0xA0761D6478BD642F)) % c.U64(64 * MAP)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+def member_map(members: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """A bit of 64 * MAP for each member of a set, as MAP numbers; sizes: of several sets, one after another."""
+    many = 1 if sizes is None else len(sizes)
+    bits = np.zeros((many, 64 * MAP), bool)
+    bits[0 if sizes is None else np.repeat(np.arange(many), sizes), (c.mix(members + c.U64(0xA0761D6478BD642F)) % c.U64(64 * MAP)).astype(np.int64)] = True
+    out = np.packbits(bits, axis=-1, bitorder="little").view(np.int64)
+    return out[0] if sizes is None else out
 
 
 def _digest(members: np.ndarray) -> tuple[int, int]:
@@ -137,21 +143,26 @@ def _digest(members: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def _lists(rows: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists, at the places that are known; the others are null."""
+    ends = np.concatenate([[0], np.cumsum(known)]) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel()), mask=pa.array(~known))
+
+
 def _signer(shingle: int):
     def kernel(batches):
         for batch in batches:
-            size, d1, d2, sketches, keys = [], [], [], [], []
-            for _, _, data, offs in c.text_blocks(batch.column(1)):
-                for members in shingle_sets(data, offs, shingle):
-                    size.append(len(members))
-                    a, b = _digest(members) if len(members) else (None, None)
-                    d1.append(a)
-                    d2.append(b)
-                    values = signature(members) if len(members) else None
-                    sketches.append(None if values is None else np.concatenate([sketch(values), member_map(members)]))
-                    keys.append(None if values is None else band_keys(values).view(np.int64))
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, d1, d2)), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d1", "d2", "sketch", "keys"])
+            for first, last, data, offs in c.text_blocks(batch.column(1)):
+                sets = list(shingle_sets(data, offs, shingle))
+                sizes = np.array([len(x) for x in sets])
+                known, full = sizes > 0, [x for x in sets if len(x)]
+                values = np.stack([signature(x) for x in full]) if full else np.zeros((0, BINS), np.uint64)
+                digests = np.array([_digest(x) for x in full], np.int64).reshape(-1, 2)
+                place = np.maximum(np.cumsum(known) - 1, 0)
+                maps = member_map(np.concatenate(full), sizes[known]) if full else np.zeros((0, MAP), np.int64)
+                told = [pa.array(digests[place, k] if full else np.zeros(len(sets), np.int64), mask=~known) for k in (0, 1)]
+                arrays = [batch.column(0).slice(first, last - first), pa.array(sizes), *told, _lists(np.concatenate([sketch(values), maps], axis=1), known), _lists(band_keys(values).view(np.int64), known)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d1", "d2", "sketch", "keys"])
 
     return kernel
 
@@ -163,13 +174,13 @@ def _set_maker(known, shingle: int):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, data, offs in c.text_blocks(batch.column(0)):
-                found = []
-                for members in shingle_sets(data, offs, shingle):
-                    if len(members):
-                        d = _digest(members)
-                        if d not in seen and c.passes(known.value, np.array([d[0]], np.int64).view(np.uint64))[0]:
-                            seen.add(d)
-                            found.append((*d, members.tobytes()))
+                sets = [x for x in shingle_sets(data, offs, shingle) if len(x)]
+                digests, found = [_digest(x) for x in sets], []
+                asked = c.passes(known.value, np.array([d[0] for d in digests], np.int64).view(np.uint64))
+                for d, members, ask in zip(digests, sets, asked.tolist(), strict=True):
+                    if ask and d not in seen:
+                        seen.add(d)
+                        found.append((*d, members.tobytes()))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["d1", "d2", "members"])
 

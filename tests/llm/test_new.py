@@ -233,3 +233,17 @@ def test_signatures_agree_as_often_as_sets_are_similar(size):
         x, y = minhash.member_map(x).view(np.uint64), minhash.member_map(y).view(np.uint64)
         assert np.bitwise_count(y & ~x).sum() == 0 and np.bitwise_count(x & ~y).sum() <= int(0.15 * size)
     assert abs(np.mean(share)) < 0.01
+
+
+def test_shingles_of_a_block_are_hashed_at_once(monkeypatch):
+    """One pass over a block's words; sets meet as those of the shingles' texts do, short and empty documents included."""
+    rng, calls, hashes = np.random.default_rng(3), [], common.word_hashes
+    texts = ["", " \n", "a", "A", "a b", "b a", "ab", "a a a a", "a a", "a  b\tc", "A B C", "a b c d", "b c a"] + [" ".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(0, 9, 80)]
+    monkeypatch.setattr(common, "word_hashes", lambda *a: (calls.append(1), hashes(*a))[1])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *map(len, texts)])
+    found = [set(x.tolist()) for x in minhash.shingle_sets(data, offs)]
+    assert len(calls) == 1
+    words = [t.lower().split() for t in texts]
+    want = [{tuple(w[i : i + 3]) for i in range(max(len(w) - 2, min(len(w), 1)))} for w in words]
+    assert all(len(x & y) == len(p & q) for x, p in zip(found, want, strict=True) for y, q in zip(found, want, strict=True))
