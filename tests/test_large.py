@@ -254,3 +254,17 @@ def test_nearest_of_a_block_sorts_few_distances(monkeypatch):
         want = [(n, int(m) + 5, d[n, m]) for n in range(20) for m in np.lexsort((rk, d[n]))[:k]]
         assert list(zip(i.tolist(), j.tolist(), near.tolist(), strict=True)) == want
     assert max(sizes) < 1003 / 10
+
+
+def test_blocks_of_vectors_hold_the_messages_alone(monkeypatch):
+    """A block's clusters are those of its matrix of distances, with three matrices at once instead of five."""
+    monkeypatch.setattr(affinity, "SLAB", 1 << 15)
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 60, (700, 6)).astype(float)
+    want = affinity.cluster_matrix(distance.cityblock(x, x) / 10, "median", max_iter=3)
+    tracemalloc.start()
+    got = affinity.cluster_vectors(x, 10, "median", max_iter=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert most < 4.6 * 8 * 700 * 700
